@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from . import curriculum_mix, secret_scan
 from .bestfit_pack import pack_documents
 from .common import table
+from .imatch import imatch_report
+from .loglinear_lm import lm_scores
 from .near_dup import near_duplicates
 from .quality_cascade import quality_report
 from .token_counts import token_counts
@@ -26,6 +28,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op5_loglinear_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix.mix_report(table(spark, sf_dir, "documents"))
 
@@ -38,9 +44,13 @@ def op8_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch_report(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op6_curriculum_mix, op7_quality_rules, op8_bestfit_packing, op10_minhash_near_dup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op5_loglinear_lm, op6_curriculum_mix, op7_quality_rules, op8_bestfit_packing, op9_imatch, op10_minhash_near_dup)}
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.oracle_sql(), "op6_curriculum_mix": curriculum_mix.ORACLE_SQL}
