@@ -7,8 +7,8 @@ buckets. In each bucket a random member, another one in each band, is the centre
 bucket of n gives n - 1 pairs. Pairs are confirmed on the full sets.
 
 A star can miss a link between two members neither of which is the centre. That matters only if they end up in
-different components; members of a bucket that still lie in different components are therefore compared in further
-rounds (see ``leftover_pairs``), until no bucket holds an uncompared pair of components.
+different components, so the members of buckets in which several components meet go through a prefix-filtered join, which
+finds every such link among them (see ``leftover_pairs``).
 
 Components come from alternating large-star and small-star steps on edge tables in the shared folder.
 
@@ -34,6 +34,8 @@ SHINGLE = 3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BINS, BANDS, ROWS = 128, 25, 5
+#: Hash slots whose counts order the shingles in the join of what stars leave: a bounded array for any corpus.
+SLOTS = 1 << 17
 BLOCK = 16 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -168,14 +170,52 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def leftover_pairs(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of a bucket's members that lie in different components and may still be linked."""
+def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(SLOTS, np.int64)
+    for b in batches:
+        for v in b["shingles"]:
+            total += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"slot": at, "n": total[at]})
+
+
+def _prefixes(loads):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rank = loads.value
+        for b in batches:
+            sizes, keys = [], []
+            for v in b["shingles"]:
+                s = np.frombuffer(v.as_buffer(), np.uint64)
+                k = len(s) - -(-len(s) * PERCENT // 100) + 1
+                order = np.lexsort((s, rank[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]
+                sizes.append(len(s))
+                keys.append(s[order].view(np.int64))
+            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_pydict({"shingle": flat, "id": b["id"].take(pa.array(at)), "component": b["component"].take(pa.array(at)), "n": np.asarray(sizes, np.int64)[at]})
+
+    return run
+
+
+def leftover_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that stars didn't compare and that may still link two components: a prefix-filtered join.
+
+    It takes the members of buckets in which several components meet. Shingles are ordered by how often they occur,
+    judged by counts of ``SLOTS`` hash slots, rare ones first; two sets with enough in common share one of their first
+    n - ceil(n * PERCENT / 100) + 1 shingles, whatever the order. What many documents share stands last and is no key.
+    """
+    spark, kind = sets.sparkSession, sets.schema["id"].dataType.simpleString()
     tagged = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed_buckets = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    left = tagged.join(mixed_buckets, "bucket")
-    other = left.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "component")])
-    pairs = left.join(other, "bucket").filter("id < o_id and component <> o_component")
-    return _like_sized(pairs, "n", "o_n").select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
+    meeting = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
+    members = tagged.join(meeting, "bucket").select("id", "component").distinct()
+    left = stage(sets.join(members, "id"))
+    loads = np.zeros(SLOTS, np.int64)
+    found = left.select("shingles").mapInArrow(_loads, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    loads[found["slot"].to_numpy()] = found["n"].to_numpy()
+    keys = stage(left.mapInArrow(_prefixes(spark.sparkContext.broadcast(loads)), f"shingle long, id {kind}, component {kind}, n long"))
+    other = keys.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n")])
+    pairs = _like_sized(keys.join(other, "shingle").filter("id < o_id and component <> o_component"), "n", "o_n")
+    return pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -183,14 +223,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     rows = stage(sketches(docs))
     with_set = rows.filter("key is not null and doc_id is not null")
     classes = stage(with_set.groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n")))
-    buckets = stage(classes.select("id", "n", F.explode("bands").alias("bucket")))
+    single = classes.select("id", "n", F.explode("bands").alias("bucket"))
+    buckets = stage(single.join(single.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket"))
     pairs = stage(star_pairs(buckets))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     kind = docs.schema["doc_id"].dataType.simpleString()
+    # Sorted and merged at any size: the same plan for a small corpus as for a large one.
+    wanted = buckets.select("id").distinct().hint("merge")
     source = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(wanted, "id", "left_semi")
     sets = stage(source.mapInArrow(_sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
     links = stage(confirmed(pairs, sets))
     labels = stage(components(links))
+    more = stage(confirmed(leftover_pairs(buckets, labels, sets), sets))
+    if not more.isEmpty():
+        labels = stage(components(links.unionByName(more)))
     ids = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
     out = rows.select("doc_id", "key", "n_shingles").join(ids, "key", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
