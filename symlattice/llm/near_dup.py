@@ -192,7 +192,7 @@ def _prefixes(loads):
                 keys.append(s[order].view(np.int64))
             at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"shingle": flat, "id": b["id"].take(pa.array(at)), "component": b["component"].take(pa.array(at)), "n": np.asarray(sizes, np.int64)[at]})
+            yield pa.RecordBatch.from_pydict({"shingle": flat, "id": b["id"].take(pa.array(at)), "component": b["component"].take(pa.array(at)), "n": np.asarray(sizes, np.int64)[at], "at": np.concatenate([np.arange(len(k)) for k in keys]) if keys else flat})
 
     return run
 
@@ -212,9 +212,12 @@ def leftover_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     loads = np.zeros(SLOTS, np.int64)
     found = left.select("shingles").mapInArrow(_loads, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     loads[found["slot"].to_numpy()] = found["n"].to_numpy()
-    keys = stage(left.mapInArrow(_prefixes(spark.sparkContext.broadcast(loads)), f"shingle long, id {kind}, component {kind}, n long"))
-    other = keys.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n")])
-    pairs = _like_sized(keys.join(other, "shingle").filter("id < o_id and component <> o_component"), "n", "o_n")
+    keys = stage(left.mapInArrow(_prefixes(spark.sparkContext.broadcast(loads)), f"shingle long, id {kind}, component {kind}, n long, at long"))
+    other = keys.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", "at")])
+    # At the first shingle that two sets share, what stands before it on either side is not in both.
+    most = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    enough = most * 100 >= (F.col("n") + F.col("o_n") - most) * PERCENT
+    pairs = _like_sized(keys.join(other, "shingle").filter("id < o_id and component <> o_component").filter(enough), "n", "o_n")
     return pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
 
 
