@@ -15,6 +15,7 @@ from .loglinear_lm import lm_scores
 from .near_dup import near_duplicates
 from .quality_cascade import quality_report
 from .style_tree import extract_pages
+from .suffix_dedup import removed_passages
 from .token_counts import token_counts
 
 #: Tokens above which a document counts as over the limit.
@@ -25,6 +26,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removed_passages(table(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
@@ -57,5 +62,5 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op3_token_counts, op4_style_tree, op5_loglinear_lm, op6_curriculum_mix, op7_quality_rules, op8_bestfit_packing, op9_imatch, op10_minhash_near_dup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_token_counts, op4_style_tree, op5_loglinear_lm, op6_curriculum_mix, op7_quality_rules, op8_bestfit_packing, op9_imatch, op10_minhash_near_dup)}
 ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.oracle_sql(), "op6_curriculum_mix": curriculum_mix.ORACLE_SQL}
