@@ -9,8 +9,8 @@ The lexicon is broadcast: a term in a share ``LEAST`` of all documents leaves ro
 ``LEAST`` terms, however many documents there are, and the threshold is raised until at most ``LEXICON`` terms pass. A
 text without terms of the lexicon has the hash of all its sorted terms in every place; a text without words that of none.
 
-A null text is empty. Rows of one doc_id are one document, whose terms are all of theirs; a null doc_id comes last in
-descending order and gets no next text.
+A null text is empty. Rows that repeat a doc_id stand in any order, each next to the other; rows with a null doc_id get no
+next text.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import functions as F
 
 from .common import frequent, stage, text_or_empty
 
-SUBSETS = 30
+SUBSETS = 24
 #: A term is in subset r if its r-th hash is 0 modulo this.
 SPARSITY = 96
 LEAST, MOST = 0.001, 0.25
 LEXICON = 1 << 17
-ROWS_PER_BUCKET = 20_000
+#: Ranges of ids, and rows in one as long as there are not too many ranges.
+RANGES, ROWS_PER_RANGE = 10_000, 4_000
 
 
 def terms(text: Column) -> Column:
@@ -49,7 +50,7 @@ def lexicon(docs: DataFrame) -> DataFrame:
 def hashes(found: Column, whole: Column) -> Column:
     """A fingerprint: for each subset, the hash of the sorted terms in it, 0 for none; ``whole`` throughout without any terms."""
     one = lambda r: F.transform(F.filter(found, lambda x: x["mask"].bitwiseAND(F.lit(1 << r)) != 0), lambda x: x["term"])
-    each = [F.when(F.size(one(r)) > 0, F.xxhash64(one(r))).otherwise(F.lit(0)) for r in range(SUBSETS)]
+    each = [F.when(F.size(one(r)) > 0, F.hash(one(r))).otherwise(F.lit(0)) for r in range(SUBSETS)]
     return F.when(F.size(found) == 0, F.array_repeat(whole, SUBSETS)).otherwise(F.array(*each))
 
 
@@ -60,67 +61,70 @@ def likeness(a: Column, b: Column) -> Column:
     return F.round(F.size(F.filter(both, lambda x: (x["a"] == x["b"]) & (x["a"] != 0))) / F.greatest(used, F.lit(1)), 6)
 
 
-def following(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id and more) with next_id: the next one in descending order; after the last comes the first.
+def ranges(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with ``_r``, a range of doc_id cut at quantiles, and (_r, after), the id that follows a range downwards.
 
-    Ranges of ids, cut at quantiles, are ordered each on its own; a table with a row for each range joins their ends.
+    After the lowest range comes the highest, so the order is a ring. There are at most ``RANGES`` ranges.
     """
-    n = ids.count()
-    k = max(1, min(10_000, n // ROWS_PER_BUCKET))
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / k) for i in range(1, k)]), 10_000)).first()[0] if k > 1 else []
+    n = docs.count()
+    k = max(1, min(RANGES, n // ROWS_PER_RANGE))
+    cuts = docs.agg(F.percentile_approx("doc_id", F.array(*[F.lit(i / k) for i in range(1, k)]), 10_000)).first()[0] if k > 1 else []
     cuts = sorted(set(cuts or []))
-    at = F.lit(0)
-    if cuts:
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") > c))
-    ranged = ids.withColumn("_r", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at))
-    ends = ranged.groupBy("_r").agg(F.max("doc_id").alias("_hi"))
-    by = W.orderBy(F.col("_r").desc())
-    ends = ends.withColumn("_after", F.coalesce(F.lead("_hi").over(by), F.first("_hi").over(by))).select(F.col("_r").alias("_er"), "_after")
-    down = W.partitionBy("_r").orderBy(F.col("doc_id").desc_nulls_last())
-    last = F.lead(F.lit(1)).over(down).isNull()
-    return ranged.withColumn("_lead", F.lead("doc_id").over(down)).withColumn("_last", last).join(F.broadcast(ends), F.col("_r") == F.col("_er")).withColumn(
-        "next_id", F.when(F.col("_last"), F.col("_after")).otherwise(F.col("_lead"))
-    ).drop("_r", "_er", "_lead", "_last", "_after")
-
-
-def fingerprints(docs: DataFrame, lex: DataFrame, texts: list[str], keep: list[str]) -> DataFrame:
-    """``keep`` of each row of ``docs``, by doc_id, with fp_<name>, the fingerprint of each of the text columns.
-
-    Terms meet the broadcast lexicon as rows; grouping them by doc_id again moves nothing if ``docs`` are dealt by it.
+    at = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("doc_id") > c)) if cuts else F.lit(0)
+    ranged = docs.withColumn("_r", at)
+    tops = sorted((r[0], r[1]) for r in ranged.groupBy("_r").agg(F.max("doc_id")).collect())
+    after = [(r, tops[i - 1][0], tops[i - 1][1]) for i, (r, _) in enumerate(tops)]
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return ranged, docs.sparkSession.createDataFrame(after, f"_r int, _below int, after {kind}")
+
+
+def fingerprints(docs: DataFrame, lex: DataFrame, texts: list[str], key: list[str], keep: list[str]) -> DataFrame:
+    """``key`` and ``keep`` of each row of ``docs``, with fp_<name>, the fingerprint of each of the text columns.
+
+    Terms meet the broadcast lexicon as rows; grouping them by the key again moves nothing if ``docs`` are dealt by it.
     """
-    listed = docs.select(*keep, *[terms(F.col(t)).alias(t) for t in texts])
-    whole = [F.xxhash64(F.sort_array(t), F.lit(1)).alias(f"_w_{t}") for t in texts]
+    listed = docs.select(*key, *keep, *[terms(F.col(t)).alias(t) for t in texts])
+    whole = [F.hash(F.sort_array(t), F.lit(1)).alias(f"_w_{t}") for t in texts]
     own = F.array(F.struct(F.lit(None).cast("string").alias("term"), F.lit(-1).alias("of")))
 
     def marked(t: str, i: int) -> Column:
         return F.transform(t, lambda x: F.struct(x.alias("term"), F.lit(i).alias("of")))
 
-    each = [marked(t, i) for i, t in enumerate(texts)]
-    rows = listed.select(*keep, *whole, F.explode(F.concat(own, *each)).alias("x"))
-    first = F.col("x.of") < 0
-    slim = rows.select("doc_id", F.col("x.term").alias("term"), F.col("x.of").alias("of"), *[F.when(first, F.col(c)).alias(c) for c in [*keep, *[f"_w_{t}" for t in texts]] if c != "doc_id"])
+    once = [*keep, *[f"_w_{t}" for t in texts]]
+    rows = listed.select(*key, *keep, *whole, F.explode(F.concat(own, *[marked(t, i) for i, t in enumerate(texts)])).alias("x"))
+    slim = rows.select(*key, F.col("x.term").alias("term"), F.col("x.of").alias("of"), *[F.when(F.col("x.of") < 0, F.col(c)).alias(c) for c in once])
     met = slim.join(F.broadcast(lex), "term", "left").filter("of < 0 or mask <> 0")
     got = [F.sort_array(F.collect_list(F.when(F.col("of") == i, F.struct("term", "mask")))).alias(f"_f_{t}") for i, t in enumerate(texts)]
-    rest = [F.first(c, ignorenulls=True).alias(c) for c in [*keep, *[f"_w_{t}" for t in texts]] if c != "doc_id"]
-    grouped = met.groupBy("doc_id").agg(*got, *rest)
-    return grouped.select(*keep, *[hashes(F.col(f"_f_{t}"), F.col(f"_w_{t}")).alias(f"fp_{t}") for t in texts])
+    grouped = met.groupBy(*key).agg(*got, *[F.first(c, ignorenulls=True).alias(c) for c in once])
+    return grouped.select(*key, *keep, *[hashes(F.col(f"_f_{t}"), F.col(f"_w_{t}")).alias(f"fp_{t}") for t in texts])
 
 
 def imatch_report(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and their likeness and the next document's."""
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
-    lex = lexicon(docs)
-    order = stage(following(docs.select("doc_id", F.length("text").alias("n_chars"))).select("doc_id", "next_id", F.floor(F.col("n_chars") / 2).cast("int").alias("half")))
-    # The start of a document goes to the one before it, as much of it as that one's edit takes.
-    starts = order.select(F.col("doc_id").alias("to"), F.col("next_id").alias("doc_id"), "half").join(docs, "doc_id")
-    starts = starts.select("to", F.substring(F.col("text"), F.lit(1), F.col("half")).alias("start"))
-    half = F.length("text") - F.floor(F.length("text") / 2).cast("int")
-    edited = docs.join(starts, docs["doc_id"] == starts["to"], "left").select("doc_id", "text", F.concat(F.substring(F.col("text"), F.lit(1), half), F.coalesce("start", F.lit(""))).alias("edited"))
-    measured = edited.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
-    found = stage(fingerprints(measured, lex, ["text", "edited"], ["doc_id", "n_chars", "edited_sha256"]))
-    ahead = order.select("doc_id", "next_id").join(found.select(F.col("doc_id").alias("next_id"), F.col("fp_text").alias("fp_next")), "next_id", "left")
-    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x), 16, "0")), "")
-    return found.join(ahead, "doc_id", "left").select(
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    lex = lexicon(texts)
+    ranged, after = ranges(texts.filter("doc_id is not null"))
+    # Texts move once, to their ranges; there the next one is the row below, or the top of the range below.
+    tops = texts.join(F.broadcast(after.select("_r", F.col("after").alias("doc_id"))), "doc_id").groupBy("_r").agg(F.first("text").alias("top"))
+    down = W.partitionBy("_r").orderBy(F.col("doc_id").desc())
+    placed = ranged.withColumn("_n", F.row_number().over(down)).withColumn("_next", F.lead("text").over(down)).join(tops.hint("merge"), "_r", "left")
+    lone = texts.filter("doc_id is null").withColumn("_r", F.lit(-1)).withColumn("_n", F.monotonically_increasing_id()).withColumn("_next", F.lit("")).withColumn("top", F.lit(""))
+    size, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
+
+    def measured(d: DataFrame) -> DataFrame:
+        edited = F.concat(F.substring(F.col("text"), F.lit(1), size - half), F.substring(F.coalesce("_next", "top", F.lit("")), F.lit(1), half))
+        cut = d.select("_r", "_n", "doc_id", "text", edited.alias("edited"))
+        rows = cut.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited_sha256", F.sha2("edited", 256))
+        return fingerprints(rows, lex, ["text", "edited"], ["_r", "_n"], ["doc_id", "n_chars", "edited_sha256"])
+
+    found = measured(placed).withColumn("fp_next", F.lead("fp_text").over(W.partitionBy("_r").orderBy("_n")))
+    none = F.lit(None).cast(found.schema["fp_next"].dataType)
+    found = stage(found.unionByName(measured(lone).withColumn("fp_next", none)))
+    # A row for each range: at most RANGES.
+    first = found.filter("_n = 1 and _r >= 0").select(F.col("_r").alias("_below"), F.col("fp_text").alias("fp_top"))
+    below = after.join(F.broadcast(first), "_below").select("_r", "fp_top")
+    shown = lambda c: F.array_join(F.transform(c, lambda x: F.lpad(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
+    return found.join(F.broadcast(below), "_r", "left").select(
         "doc_id", "n_chars", "edited_sha256", shown("fp_text").alias("fingerprint"), shown("fp_edited").alias("edited_fingerprint"),
-        likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), F.coalesce(likeness(F.col("fp_text"), F.col("fp_next")), F.lit(0.0)).alias("near_next"),
+        likeness(F.col("fp_text"), F.col("fp_edited")).alias("near_edited"), F.coalesce(likeness(F.col("fp_text"), F.coalesce("fp_next", "fp_top")), F.lit(0.0)).alias("near_next"),
     )
