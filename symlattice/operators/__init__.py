@@ -1 +1 @@
-"""."""
+"""Graph, retrieval and text operators over DataFrames."""

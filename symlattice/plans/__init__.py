@@ -1 +1 @@
-"""."""
+"""Registered queries and the facade that puts operators together."""

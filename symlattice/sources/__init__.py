@@ -1 +1 @@
-"""."""
+"""Readers: project trees, sessions, skills and tables."""

@@ -1 +1 @@
-"""."""
+"""Micro-batch re-indexing and sessions over streams."""
