@@ -30,15 +30,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, stage, text_or_empty
+from .common import arrow_rows, blocks, text_or_empty
 from .pretokens import ragged_take
 
 LENGTH, FIRST = 50, 24
 #: Positions of a run at most: as many as a mask has bits.
 RUN = 63
-BLOCK = 16 << 20
+#: Bytes of text in a block: each takes some 40 bytes of a worker's memory.
+BLOCK = 6 << 20
 #: Bytes of text for each group of names.
-GROUP = 24 << 20
+GROUP = 64 << 20
+#: Names meet by their upper bits; a chance meeting only adds a run to look at.
+DROPPED = np.uint64(16)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
 
 
@@ -79,11 +82,11 @@ class Runs:
         while 2 * j <= w:
             m, j = np.minimum(m[:-j], m[j:]), 2 * j
         m = np.minimum(m[: len(m) - (w - j)], m[w - j :])
-        inside = np.zeros(n + 1, np.int32)
+        inside = np.zeros(n + 1, np.int8)
         long = size >= LENGTH
         np.add.at(inside, self.starts[long], 1)
         np.add.at(inside, (self.starts + size - LENGTH + 1)[long], -1)
-        inside = np.cumsum(inside[:-1]) > 0
+        inside = np.cumsum(inside[:-1], dtype=np.int8) > 0
         begin = np.zeros(n, bool)
         begin[0] = True
         begin[1 : len(m)] = m[1:] != m[:-1]
@@ -120,8 +123,9 @@ def _name_groups(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in blocks(batches, BLOCK):
             runs = Runs([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in table["text"].chunk(0)])
-            order = np.argsort(runs.least, kind="stable")
-            names, owner = runs.least[order], runs.owner[order]
+            upper = runs.least.astype(np.uint64) >> DROPPED
+            order = np.argsort(upper, kind="stable")
+            names, owner = upper[order], runs.owner[order]
             first = np.flatnonzero(np.append(True, names[1:] != names[:-1])) if len(names) else np.zeros(0, np.int64)
             if len(first):
                 many = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
@@ -134,7 +138,7 @@ def _name_groups(groups: int):
             by = np.argsort(names[sent], kind="stable")
             sent, flags = sent[by], flags[by]
             values, index = names[sent], order[sent].astype(np.uint32) | flags
-            edges = np.searchsorted(values, (np.arange(1, groups) * (2**64 // groups)).astype(np.uint64)) if groups > 1 else np.zeros(0, np.int64)
+            edges = np.searchsorted(values, (np.arange(1, groups) * ((1 << 64 - int(DROPPED)) // groups)).astype(np.uint64)) if groups > 1 else np.zeros(0, np.int64)
             cuts = [0, *edges.tolist(), len(values)]
             ids, th = table["doc_id"].chunk(0).to_pylist(), table["th"].chunk(0).to_pylist()
             out = {"grp": [], "names": [], "index": [], "first": [], "ids": [], "th": [], "settled": []}
@@ -339,10 +343,9 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for each row of ``docs``."""
     arrow_rows(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.xxhash64("text"))
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.hash("text").cast("long"))
     known = texts.filter("doc_id is not null")
-    parts = stage(repeated_runs(known))
-    runs = parts.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    runs = repeated_runs(known).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     # Both joins deal the same texts by the same keys, so Spark shuffles them once. Merged at any size: one plan for all.
     sent = known.join(runs.hint("merge"), ["doc_id", "th"]).mapInArrow(_settle, f"m long, doc_id {kind}, th long, s long, mask long, bytes binary")
     ranked = sent.repartition("m").sortWithinPartitions("m").mapInArrow(_rank, f"doc_id {kind}, th long, s long, mask long")
