@@ -96,9 +96,11 @@ def mix_report(docs: DataFrame) -> DataFrame:
 
 def training_order(docs: DataFrame) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, in the order of training (a sort by range)."""
-    mixed = mix(sized(docs)).filter("rounds > 0")
+    # The row travels as one column, so no name of its own can clash with a step's.
+    rows = sized(docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))).drop("text")
+    mixed = mix(rows).filter("rounds > 0")
     copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
-    return copies.withColumn("_at", position(F.col("_copy"))).orderBy("_at", "doc_id").select(docs.columns)
+    return copies.withColumn("_at", position(F.col("_copy"))).orderBy("_at", "doc_id").select("_row.*")
 
 
 ORACLE_SQL = """
