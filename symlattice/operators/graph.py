@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.text import directory
 
 CALL, REF, IMPL = 1, 2, 3
@@ -60,7 +61,7 @@ def closure(pairs: DataFrame, hops: int = HOPS) -> DataFrame:
     front = reached
     for k in range(2, hops + 1):
         step = front.select("a", F.col("b").alias("via")).join(pairs.select(F.col("a").alias("via"), "b"), "via").select("a", "b").distinct()
-        front = step.join(reached, ["a", "b"], "left_anti").withColumn("hops", F.lit(k)).cache()
+        front = cut(step.join(reached, ["a", "b"], "left_anti").withColumn("hops", F.lit(k)))
         if front.isEmpty():
             break
         reached = reached.unionByName(front)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 OUT, IN, BOTH = "out", "in", "both"
 
 
@@ -30,7 +32,7 @@ def discover(edges: DataFrame, start: int, depth: int, direction: str = OUT, kin
     for level in range(1, depth + 1):
         found = front.join(step, "cur").join(visited, "nxt", "left_anti").withColumn("path", F.concat("path", F.array("edge_id")))
         first = found.groupBy("nxt").agg(F.min(F.struct("path", "edge_id", "from_id", "to_id")).alias("e"))
-        new = first.select(F.lit(level).alias("level"), "nxt", "e.*").cache()
+        new = cut(first.select(F.lit(level).alias("level"), "nxt", "e.*"))
         levels.append(new)
         front = new.select(F.col("nxt").alias("cur"), "path")
         visited = visited.unionByName(new.select("nxt"))
