@@ -169,8 +169,9 @@ def secret_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame
 
 def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with every found span of ``text`` replaced by ``<secret>``; overlapping spans become one."""
-    # The row travels as one column, so no name of its own can clash with a step's.
-    scanned = secret_scan(docs.select("doc_id", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row")), rules)
+    # Other columns travel as one, so no name of theirs can clash with a step's.
+    others = [docs[c] for c in docs.columns if c not in ("doc_id", "text")]
+    scanned = secret_scan(docs.select("doc_id", "text", F.struct(*others, F.lit(0).alias("_")).alias("_row")), rules)
 
     def cut(acc: Column, x: Column) -> Column:
         before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0)))
@@ -180,7 +181,7 @@ def mask_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
     masked = F.when(F.size("found") > 0, F.aggregate("found", zero, cut, rest)).otherwise(F.col("text"))
-    return scanned.select(*[masked.alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    return scanned.select(*[masked.alias(c) if c == "text" else F.col(c) if c == "doc_id" else F.col("_row")[c].alias(c) for c in docs.columns])
 
 
 def oracle_sql(rules: tuple[Rule, ...] = RULES) -> str:
