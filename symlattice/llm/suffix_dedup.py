@@ -39,7 +39,7 @@ RUN = 63
 #: Bytes of text in a block: each takes some 40 bytes of a worker's memory.
 BLOCK = 6 << 20
 #: Bytes of text for each group of names.
-GROUP = 64 << 20
+GROUP = 48 << 20
 #: Names meet by their upper bits; a chance meeting only adds a run to look at.
 DROPPED = np.uint64(16)
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9))
@@ -100,7 +100,8 @@ class Runs:
             length = np.diff(np.append(at, n))
         keep = inside[at]
         self.at, self.length = at[keep], length[keep]
-        self.least = m[self.at]
+        # Least names lie close to 0; mixed once more they spread evenly over all groups.
+        self.least = pair(m[self.at], np.zeros(len(self.at), np.uint64))
         self.owner = np.searchsorted(self.starts, self.at, "right") - 1
         # Empty texts share their start with the next one, which is the owner.
         self.first_run = np.searchsorted(self.owner, np.arange(len(texts) + 1))
@@ -140,19 +141,22 @@ def _name_groups(groups: int):
             values, index = names[sent], order[sent].astype(np.uint32) | flags
             edges = np.searchsorted(values, (np.arange(1, groups) * ((1 << 64 - int(DROPPED)) // groups)).astype(np.uint64)) if groups > 1 else np.zeros(0, np.int64)
             cuts = [0, *edges.tolist(), len(values)]
-            ids, th = table["doc_id"].chunk(0).to_pylist(), table["th"].chunk(0).to_pylist()
+            ids, th = table["doc_id"].chunk(0), table["th"].chunk(0)
             out = {"grp": [], "names": [], "index": [], "first": [], "ids": [], "th": [], "settled": []}
             home = int(values[0] % np.uint64(groups)) if len(values) else 0
             for g in range(groups):
-                v = values[cuts[g] : cuts[g + 1]]
-                if len(v) or g == home:
+                v, at = values[cuts[g] : cuts[g + 1]], index[cuts[g] : cuts[g + 1]]
+                done = settled if g == home else settled[:0]
+                if len(v) or len(done):
+                    # Only the documents that have runs here go along.
+                    docs = np.unique(np.concatenate([runs.owner[at & ~_MANY], runs.owner[done]]))
                     out["grp"].append(g)
                     out["names"].append(_planes(np.diff(v, prepend=np.uint64(0))))
-                    out["index"].append(_planes(index[cuts[g] : cuts[g + 1]]))
-                    out["first"].append(_planes(runs.first_run.astype(np.uint32)))
-                    out["ids"].append(ids)
-                    out["th"].append(th)
-                    out["settled"].append(_planes(settled.astype(np.uint32)) if g == home else b"")
+                    out["index"].append(_planes(at))
+                    out["first"].append(_planes(np.append(runs.first_run[docs], len(runs.at)).astype(np.uint32)))
+                    out["ids"].append(ids.take(pa.array(docs)).to_pylist())
+                    out["th"].append(th.take(pa.array(docs)).to_pylist())
+                    out["settled"].append(_planes(done.astype(np.uint32)))
             kind = table["doc_id"].type
             yield pa.RecordBatch.from_pydict(
                 {"grp": pa.array(out["grp"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("names", "index", "first", "settled")} | {"ids": pa.array(out["ids"], pa.list_(kind)), "th": pa.array(out["th"], pa.list_(pa.int64()))}
@@ -196,10 +200,8 @@ def _met(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(out["doc_id"], table["ids"].type.value_type), "th": pa.array(out["th"], pa.int64()), "runs": pa.array(out["runs"], pa.list_(pa.int32()))})
 
 
-def repeated_runs(docs: DataFrame) -> DataFrame:
+def repeated_runs(docs: DataFrame, groups: int) -> DataFrame:
     """(doc_id, th, runs): the runs of each document whose first rank another document has, in parts."""
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = max(4, -(-total // GROUP))
     kind = docs.schema["doc_id"].dataType.simpleString()
     dealt = docs.mapInArrow(_name_groups(groups), f"grp int, names binary, index binary, first binary, settled binary, ids array<{kind}>, th array<long>")
     return dealt.groupBy("grp").applyInArrow(_met, f"doc_id {kind}, th long, runs array<int>")
@@ -251,7 +253,14 @@ def _masks(run: np.ndarray, place: np.ndarray, yes: np.ndarray, n: int) -> np.nd
     return out
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _settle(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _settled(batches, buckets)
+
+    return run
+
+
+def _settled(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Settle what a block can, and send on the runs with positions for which it is the block's smallest document."""
     for table in blocks(batches, BLOCK):
         runs = Runs([x.as_buffer().to_pybytes() for x in table["text"].chunk(0)])
@@ -265,19 +274,47 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = double(runs.names, at[k] + place, ids[owner[k]])
         done = _masks(k, place, here, len(picked))
         local = at - runs.starts[owner]
-        some = done > 0
-        spread = pair(done, at.astype(np.uint64)).view(np.int64)
-        yield pa.RecordBatch.from_pydict({"m": spread[some], "doc_id": pa.array(ids[owner[some]], table["doc_id"].type), "th": th[owner[some]], "s": local[some], "mask": done[some].view(np.int64), "bytes": pa.nulls(int(some.sum()), pa.binary())})
         open_k, open_place = k[~here], place[~here]
         first = np.flatnonzero(np.diff(open_k, prepend=-1))
         r, lo = open_k[first], open_place[first]
         hi = open_place[np.append(first[1:], len(open_k)) - 1] if len(first) else lo
+        done_at = np.flatnonzero(done)
+        # Settled masks and open spans, bundled by bucket: compressed together, neighbouring texts take little room.
+        which = np.concatenate([pair(least[done_at], done[done_at]), least[r]]) % np.uint64(buckets)
+        order = np.argsort(which, kind="stable")
+        edges = np.searchsorted(which[order], np.arange(buckets + 1))
+        run = np.concatenate([done_at, r])
+        begin = np.concatenate([np.zeros(len(done_at), np.int64), lo])
+        size = np.concatenate([np.zeros(len(done_at), np.int64), hi - lo + LENGTH])
+        mask = np.concatenate([done[done_at], np.zeros(len(r), np.uint64)])
         data = runs.data.tobytes()
-        spans = [data[a:z] for a, z in zip((at[r] + lo).tolist(), (at[r] + hi + LENGTH).tolist())]
-        for a in range(0, len(r), 1 << 16):
-            z = slice(a, a + (1 << 16))
-            o = owner[r[z]]
-            yield pa.RecordBatch.from_pydict({"m": least[r[z]].view(np.int64), "doc_id": pa.array(ids[o], table["doc_id"].type), "th": th[o], "s": (local[r] + lo)[z], "mask": np.zeros(len(o), np.int64), "bytes": pa.array(spans[z], pa.binary())})
+        out = {"bucket": [], "bundle": []}
+        for g in np.flatnonzero(np.diff(edges)):
+            x = order[edges[g] : edges[g + 1]]
+            x = x[np.argsort(run[x], kind="stable")]
+            q = run[x]
+            o = owner[q]
+            spans = b"".join(data[a:z] for a, z in zip((at[q] + begin[x]).tolist(), (at[q] + begin[x] + size[x]).tolist()))
+            columns = (least[q], ids[o].astype(np.int64), th[o], (local[q] + begin[x]).astype(np.uint32), mask[x], size[x].astype(np.uint32))
+            raw = b"".join(map(_planes, columns)) + spans
+            out["bucket"].append(int(g))
+            out["bundle"].append(len(x).to_bytes(4, "little") + len(raw).to_bytes(4, "little") + pa.compress(raw, "zstd", asbytes=True))
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(out["bucket"], pa.int32()), "bundle": pa.array(out["bundle"], pa.binary())})
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for bundle in b["bundle"].to_pylist():
+            n, size = int.from_bytes(bundle[:4], "little"), int.from_bytes(bundle[4:8], "little")
+            raw, columns, at = pa.decompress(bundle[8:], size, "zstd", asbytes=True), [], 0
+            for kind in (np.int64, np.int64, np.int64, np.uint32, np.int64, np.uint32):
+                width = np.dtype(kind).itemsize * n
+                columns.append(_numbers(raw[at : at + width], kind))
+                at += width
+            m, ids, th, s, mask, length = columns
+            offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int32)
+            spans = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(raw[at:])])
+            yield pa.RecordBatch.from_pydict({"m": m, "doc_id": ids, "th": th, "s": s.astype(np.int64), "mask": mask, "bytes": pc.if_else(pa.array(length > 0), spans, pa.scalar(None, pa.binary()))})
 
 
 def _rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -345,10 +382,13 @@ def removed_passages(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("th", F.hash("text").cast("long"))
     known = texts.filter("doc_id is not null")
-    runs = repeated_runs(known).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    total = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = max(4, -(-total // GROUP))
+    runs = repeated_runs(known, groups).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("runs")).alias("runs"))
     # Both joins deal the same texts by the same keys, so Spark shuffles them once. Merged at any size: one plan for all.
-    sent = known.join(runs.hint("merge"), ["doc_id", "th"]).mapInArrow(_settle, f"m long, doc_id {kind}, th long, s long, mask long, bytes binary")
-    ranked = sent.repartition("m").sortWithinPartitions("m").mapInArrow(_rank, f"doc_id {kind}, th long, s long, mask long")
+    sent = known.join(runs.hint("merge"), ["doc_id", "th"]).mapInArrow(_settle(groups), "bucket int, bundle binary")
+    dealt = sent.repartition("bucket").mapInArrow(_unbundle, "m long, doc_id long, th long, s long, mask long, bytes binary")
+    ranked = dealt.withColumn("doc_id", F.col("doc_id").cast(kind)).sortWithinPartitions("m").mapInArrow(_rank, f"doc_id {kind}, th long, s long, mask long")
     found = ranked.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "mask")).alias("found"))
     both = known.join(found.hint("merge"), ["doc_id", "th"], "left").unionByName(texts.filter("doc_id is null"), allowMissingColumns=True)
     return both.mapInArrow(_cut, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
