@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, stage
 
-FEW = 20
-LEAST = 0.3
+FEW = 100
+LEAST = 0.85
 #: How much of an inner node's importance its children give.
 BELOW = 0.7
 DEPTH = 12
