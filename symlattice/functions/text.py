@@ -120,3 +120,15 @@ def is_blocked_path(path: Column) -> Column:
 def words(text: Column) -> Column:
     """Lower-case words of ASCII letters, digits and underscores, and of all characters beyond ASCII."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9_\\x{80}-\\x{10FFFF}]+"), lambda w: w != "")
+
+
+def progress_step(done: Column, total: Column, percent: int = 5) -> Column:
+    """The step of ``percent`` that a progress has reached; none without a total."""
+    return F.when(total > 0, F.floor(done * 100 / total / percent))
+
+
+def repaired(text: Column) -> Column:
+    """UTF-8 that was read as Windows-1252 or Latin-1 and saved again: undone where the bytes are valid UTF-8."""
+    raw = F.encode(text, "ISO-8859-1")
+    wrong = F.rlike(text, F.lit("[\\x{c2}-\\x{f4}][\\x{80}-\\x{bf}]")) & ~F.rlike(text, F.lit("[\\x{100}-\\x{10FFFF}]"))
+    return F.when(wrong & F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(text)

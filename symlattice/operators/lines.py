@@ -47,3 +47,19 @@ def listing(entries: DataFrame, part: str = "") -> DataFrame:
     """Directory entries (name, is_dir, size), directories first, optionally only names with ``part`` in any case."""
     shown = entries.filter(F.contains(F.lower("name"), F.lit(part.lower()))) if part else entries
     return shown.orderBy(F.desc("is_dir"), "name")
+
+
+RING_LINES = 200
+
+
+def ring_tail(files: DataFrame, key: str, most: int = RING_LINES) -> DataFrame:
+    """What a ring of lines still holds after all were appended: beyond ``most`` lines, the older half goes at once."""
+    n = F.size(F.split("text", "\n"))
+    kept = F.when(n <= most, n).otherwise(most // 2 + 1 + F.pmod(n - most - 1, F.lit(most - most // 2)))
+    tail = files.select(key, (n - kept).alias("gone"), F.posexplode(F.slice(F.split("text", "\n"), n - kept + 1, kept)).alias("pos", "line"))
+    return tail.select(key, (F.col("gone") + F.col("pos") + 1).alias("num"), "line")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """Distinct keys in the order in which they first came."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"))

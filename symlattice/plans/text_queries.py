@@ -92,6 +92,32 @@ def approx_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", X.approximate_tokens(F.col("text")).alias("tokens"))
 
 
+def ring_tail(spark: SparkSession, d: str) -> DataFrame:
+    return N.ring_tail(_docs(spark, d), "doc_id", 10)
+
+
+def modified_files(spark: SparkSession, d: str) -> DataFrame:
+    """Users in the order of their first events."""
+    return N.first_seen(table(spark, d, "events"), "user_id", "event_id")
+
+
+def progress_steps(spark: SparkSession, d: str) -> DataFrame:
+    """How far into its conversation each message stands, in steps of 5 %."""
+    from pyspark.sql import Window as W
+
+    c = table(spark, d, "conversations").select("conv_id", "turn")
+    whole = W.partitionBy("conv_id")
+    return c.select("conv_id", "turn", X.progress_step(F.row_number().over(whole.orderBy("turn")), F.count("*").over(whole)).alias("step"))
+
+
+def list_dir(spark: SparkSession, d: str) -> DataFrame:
+    """The top of the site tree: each first part of an address, a directory if more follows, with the sizes of files."""
+    path = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://[^/]*/?", ""), "[?#].*$", "")
+    parts = table(spark, d, "pages").select(F.split(path, "/").alias("p"), F.length("html").cast("long").alias("size"))
+    entries = parts.groupBy(F.element_at("p", 1).alias("name"), (F.size("p") > 1).alias("is_dir")).agg(F.sum("size").alias("size"))
+    return N.listing(entries.filter("name <> ''"), "E")
+
+
 _ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g')"
 _D = "d as (select doc_id, coalesce(text, '') as text, lang, source from documents)"
 _L = f"{_D}, l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as num, len(string_split(text, chr(10))) as n from d)"
@@ -115,5 +141,9 @@ SQL: dict[str, str] = {
     "url_filter": "select page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) as host, regexp_extract(url, '\\?([^#]*)', 1) as query from pages where regexp_matches(url, '^https?://')",
     "safe_path": f"with p as (select page_id, replace(lower(case when contains(url, 'www.') then '/usr' else '/home/usr' end || '/' || regexp_replace(url, '^[a-z]+://[^/]*/', '')), '/', '\\') as u from pages) select page_id, not ({_BLOCKED}) as safe from p",
     "approx_tokens": f"with {_D}, x as (select doc_id, length(text) as n, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) as a from d) select doc_id, (a // 4 + floor((n - a) * 0.6::double))::bigint as tokens from x",
+    "ring_tail": f"with {_L} select doc_id, num, line from l where num > n - case when n <= 10 then n else 6 + (n - 11) % 5 end",
+    "modified_files": "select user_id, min(event_id) as first from events group by user_id",
+    "progress_steps": "select conv_id, turn, floor((row_number() over (partition by conv_id order by turn)) * 100 / (count(*) over (partition by conv_id)) / 5)::bigint as step from conversations",
+    "list_dir": "with p as (select string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', ''), '/') as p, length(html)::bigint as size from pages) select p[1] as name, len(p) > 1 as is_dir, sum(size)::bigint as size from p where p[1] <> '' and contains(lower(p[1]), 'e') group by all",
 }
 QUERIES = {k: globals()[k] for k in SQL}

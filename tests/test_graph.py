@@ -201,3 +201,16 @@ def test_sessions_and_skills(spark, tmp_path):
     got = {r.name: r for r in catalog.skills(spark, str(tmp_path / "s")).collect()}
     assert set(got) == {"pdf", "own"} and got["pdf"].category == "document" and got["pdf"].description == "reads" and got["pdf"].body == "body" and got["own"].category == "code"
     assert [r.name for r in catalog.matching(catalog.skills(spark, str(tmp_path / "s")), "DOC").collect()] == ["pdf"]
+
+
+def test_sinks_and_repair(spark, tmp_path):
+    from symlattice.functions.text import repaired
+    from symlattice.sources import sinks
+
+    assert sinks.free_name({"proj", "proj-2"}, "/w/proj/", "x") == "proj-3" and sinks.free_name(set(), "", "x") == "x"
+    m = spark.createDataFrame([(2, "assistant", "b"), (1, "user", "a")], "seq int, role string, content string")
+    sinks.save_session(m, str(tmp_path), "one", "/w")
+    sinks.save_session(m, str(tmp_path), "one", "/w2")
+    row = catalog.sessions(spark, str(tmp_path)).first()
+    assert (row.name, row.working_dir, [x.content for x in row.messages]) == ("one", "/w2", ["a", "b"])
+    assert one(spark, repaired(F.lit("Ã©tÃ©"))) == "été" and one(spark, repaired(F.lit("été"))) == "été"
