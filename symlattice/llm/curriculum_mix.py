@@ -65,20 +65,21 @@ def mix(docs: DataFrame) -> DataFrame:
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(1, n / ROWS_PER_BUCKET), 16)))
     hashed = docs.withColumn("_h", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).withColumn("_b", F.substring("_h", 1, digits))
-    sums = stage(hashed.groupBy("source", "_b").agg(F.sum("size").alias("size")))
-    before = F.sum("size").over(W.partitionBy("source").orderBy("_b")) - F.col("size")
-    targets = source_targets(sums)
-    starts = sums.select("source", "_b", before.alias("_before")).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    starts = starts.select(F.col("source").alias("_s"), F.col("_b").alias("_sb"), "_before", "source_size", "slope", "target")
-    inner = F.sum("size").over(W.partitionBy("source", "_b").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
-    placed = hashed.withColumn("_inner", inner).join(starts, (F.col("_b") == F.col("_sb")) & F.col("source").eqNullSafe(F.col("_s")))
+    # Sources as a pair that is never null, so that the join and the window deal the rows alike: rows move once.
+    hashed = hashed.withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull())
+    sums = stage(hashed.groupBy("source", "_s", "_none", "_b").agg(F.sum("size").alias("size")))
+    before = F.sum("size").over(W.partitionBy("_s", "_none").orderBy("_b")) - F.col("size")
+    targets = source_targets(sums).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull()).drop("source")
+    starts = sums.select("_s", "_none", "_b", before.alias("_before")).join(targets, ["_s", "_none"]).select("_s", "_none", "_b", "_before", "source_size", "slope", "target")
+    inner = F.sum("size").over(W.partitionBy("_s", "_none", "_b").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    placed = hashed.join(starts.hint("merge"), ["_s", "_none", "_b"]).withColumn("_inner", inner)
     size = F.greatest("source_size", F.lit(1))
     whole = placed.withColumn("place", F.col("_before") + F.col("_inner")).withColumn("_full", F.floor(F.col("target") / size))
     left = F.col("target") - F.col("_full") * F.col("source_size")
     more = F.when((F.col("size") > 0) & (2 * F.col("place") + F.col("size") <= 2 * left), 1).otherwise(0)
     rounds = whole.withColumn("rounds", F.when(F.col("size") > 0, F.col("_full") + more).otherwise(0).cast("long")).withColumn("taken", F.col("rounds") * F.col("size"))
     out = rounds.withColumn("position", F.when(F.col("rounds") > 0, position(F.lit(0))))
-    return out.drop("_h", "_b", "_s", "_sb", "_before", "_inner", "_full")
+    return out.drop("_h", "_b", "_s", "_none", "_before", "_inner", "_full")
 
 
 def position(copy: Column) -> Column:
