@@ -27,8 +27,8 @@ from .common import arrow_rows, blocks, bucket_ranks, row_ids, stage, text_or_em
 CAPACITY = 4096
 END = 1
 #: Pre-tokens whose ids a worker remembers; beyond that it starts anew.
-REMEMBERED = 600_000
-BLOCK = 24 << 20
+REMEMBERED = 300_000
+BLOCK = 8 << 20
 
 
 class TightestBin:
@@ -109,24 +109,25 @@ def best_fit_runs(histogram: list[tuple[int, int]], capacity: int = CAPACITY) ->
 def _pieces(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, seen = P.tokenizer(), 0
-        known: dict[str, list[int]] = {}
+        known: dict[str, bytes] = {}  # ids as bytes: a tenth of the room of a list
         for block in blocks(batches, BLOCK):
             texts, n = block["text"].chunk(0), block.num_rows
             coded = P.Coded(texts)
-            flat, ends = [], []
+            parts = []
             for w in coded.words:
+                each = []
                 for p in P.SPLIT.findall(w):
                     ids = known.get(p)
                     if ids is None:
-                        ids = known[p] = P.piece_ids(p, tok)
-                    flat += ids
-                ends.append(len(flat))
+                        ids = known[p] = np.asarray(P.piece_ids(p, tok), "<u4").tobytes()
+                    each.append(ids)
+                parts.append(b"".join(each))
             if len(known) > REMEMBERED:
                 known.clear()
-            pool = np.asarray(flat, np.uint32)
-            del flat
-            stop = np.asarray(ends, np.int64)
-            per_word = np.diff(stop, prepend=0)
+            per_word = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+            pool = np.frombuffer(b"".join(parts), "<u4")
+            del parts
+            stop = np.cumsum(per_word)
             text_end = np.cumsum(coded.per_text)
             rid = row_ids(seen, n)
             seen += n

@@ -81,6 +81,7 @@ def blocks(batches: Iterable[pa.RecordBatch], target_bytes: int = 16 << 20) -> I
         if size >= target_bytes:
             yield pa.Table.from_batches(held).combine_chunks()
             held, size = [], 0
+            pa.default_memory_pool().release_unused()  # workers live on into later stages
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

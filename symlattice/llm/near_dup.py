@@ -36,7 +36,7 @@ PERCENT = 85
 BINS, BANDS, ROWS = 128, 25, 5
 #: Hash slots whose counts order the shingles in the join of what stars leave: a bounded array for any corpus.
 SLOTS = 1 << 17
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
 

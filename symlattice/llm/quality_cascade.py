@@ -24,7 +24,7 @@ from .common import arrow_rows, blocks
 
 SAMPLE_ROWS = 2000
 WINDOW = 8
-BLOCK = 16 << 20
+BLOCK = 6 << 20
 
 
 class Texts:
