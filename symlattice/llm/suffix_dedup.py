@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, text_or_empty
+from .common import arrow_rows, blocks, row_ids, text_or_empty
 from .pretokens import ragged_take
 
 LENGTH, FIRST = 50, 24
@@ -122,6 +122,7 @@ _MANY = np.uint32(1 << 31)
 
 def _name_groups(groups: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
         for table in blocks(batches, BLOCK):
             runs = Runs([x.as_buffer().to_pybytes() if x.is_valid else b"" for x in table["text"].chunk(0)])
             upper = runs.least.astype(np.uint64) >> DROPPED
@@ -141,32 +142,31 @@ def _name_groups(groups: int):
             values, index = names[sent], order[sent].astype(np.uint32) | flags
             edges = np.searchsorted(values, (np.arange(1, groups) * ((1 << 64 - int(DROPPED)) // groups)).astype(np.uint64)) if groups > 1 else np.zeros(0, np.int64)
             cuts = [0, *edges.tolist(), len(values)]
-            ids, th = table["doc_id"].chunk(0), table["th"].chunk(0)
-            out = {"grp": [], "names": [], "index": [], "first": [], "ids": [], "th": [], "settled": []}
-            home = int(values[0] % np.uint64(groups)) if len(values) else 0
+            # What turns runs into documents goes along once, with the group that the block calls home.
+            home = int(row_ids(seen, 1)[0] % groups)
+            blk = int(row_ids(seen, 1)[0])
+            seen += 1
+            out = {"grp": [], "names": [], "index": [], "first": [], "settled": [], "ids": [], "th": []}
             for g in range(groups):
-                v, at = values[cuts[g] : cuts[g + 1]], index[cuts[g] : cuts[g + 1]]
-                done = settled if g == home else settled[:0]
-                if len(v) or len(done):
-                    # Only the documents that have runs here go along.
-                    docs = np.unique(np.concatenate([runs.owner[at & ~_MANY], runs.owner[done]]))
+                v = values[cuts[g] : cuts[g + 1]]
+                if len(v) or g == home:
                     out["grp"].append(g)
                     out["names"].append(_planes(np.diff(v, prepend=np.uint64(0))))
-                    out["index"].append(_planes(at))
-                    out["first"].append(_planes(np.append(runs.first_run[docs], len(runs.at)).astype(np.uint32)))
-                    out["ids"].append(ids.take(pa.array(docs)).to_pylist())
-                    out["th"].append(th.take(pa.array(docs)).to_pylist())
-                    out["settled"].append(_planes(done.astype(np.uint32)))
-            kind = table["doc_id"].type
+                    out["index"].append(_planes(index[cuts[g] : cuts[g + 1]]))
+                    out["first"].append(_planes(runs.first_run.astype(np.uint32)) if g == home else b"")
+                    out["settled"].append(_planes(settled.astype(np.uint32)) if g == home else b"")
+                    out["ids"].append(table["doc_id"].chunk(0).to_pylist() if g == home else [])
+                    out["th"].append(table["th"].chunk(0).to_pylist() if g == home else [])
             yield pa.RecordBatch.from_pydict(
-                {"grp": pa.array(out["grp"], pa.int32())} | {k: pa.array(out[k], pa.binary()) for k in ("names", "index", "first", "settled")} | {"ids": pa.array(out["ids"], pa.list_(kind)), "th": pa.array(out["th"], pa.list_(pa.int64()))}
-            )
+                {"grp": pa.array(out["grp"], pa.int32()), "blk": pa.array([blk] * len(out["grp"]), pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("names", "index", "first", "settled")}
+                | {"ids": pa.array(out["ids"], pa.list_(table["doc_id"].type)), "th": pa.array(out["th"], pa.list_(pa.int64()))}
+            )
 
     return run
 
 
 def _met(table: pa.Table) -> pa.Table:
-    """The runs of one group of names that more than one document has: (doc_id, th, runs)."""
+    """For each block in one group of names, its runs whose name another document has, too."""
     names, index, block = [], [], []
     for i, (a, b) in enumerate(zip(table["names"].to_pylist(), table["index"].to_pylist())):
         v = np.cumsum(_numbers(a, np.uint64), dtype=np.uint64)
@@ -174,8 +174,7 @@ def _met(table: pa.Table) -> pa.Table:
         index.append(_numbers(b, np.uint32))
         block.append(np.full(len(v), i, np.int64))
     names, index, block = map(np.concatenate, (names, index, block))
-    many, run = (index & _MANY) > 0, (index & ~_MANY).astype(np.int64)
-    firsts = [_numbers(f, np.uint32).astype(np.int64) for f in table["first"].to_pylist()]
+    many, run = (index & _MANY) > 0, index & ~_MANY
     # Within a block, names of more than one document are flagged, so names from two blocks or flagged ones are repeated.
     order = np.argsort(names, kind="stable")
     s, b, m = names[order], block[order], many[order]
@@ -185,26 +184,31 @@ def _met(table: pa.Table) -> pa.Table:
         again = (np.minimum.reduceat(b, first) != np.maximum.reduceat(b, first)) | np.logical_or.reduceat(m, first)
         found[order] = np.repeat(again, np.diff(np.append(first, len(s))))
     found &= ~many
-    out = {"doc_id": [], "th": [], "runs": []}
-    for i, f in enumerate(firsts):
-        lo, hi = np.searchsorted(block, [i, i + 1])
-        got = np.sort(np.concatenate([run[lo:hi][found[lo:hi]], _numbers(table["settled"][i].as_py(), np.uint32).astype(np.int64)]))
-        doc = np.searchsorted(f, got, "right") - 1
-        cut = np.flatnonzero(np.diff(doc, prepend=-1))
-        ids, th = table["ids"][i].as_py(), table["th"][i].as_py()
-        for a, z in zip(cut.tolist(), [*cut[1:].tolist(), len(got)]):
-            d = int(doc[a])
-            out["doc_id"].append(ids[d])
-            out["th"].append(th[d])
-            out["runs"].append((got[a:z] - f[d]).astype(np.int32))
-    return pa.table({"doc_id": pa.array(out["doc_id"], table["ids"].type.value_type), "th": pa.array(out["th"], pa.int64()), "runs": pa.array(out["runs"], pa.list_(pa.int32()))})
+    edges = np.searchsorted(block, np.arange(table.num_rows + 1))
+    runs = [_planes(np.sort(run[a:z][found[a:z]])) for a, z in zip(edges[:-1].tolist(), edges[1:].tolist())]
+    return table.select(["blk", "first", "settled", "ids", "th"]).append_column("runs", pa.array(runs, pa.binary()))
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """(doc_id, th, runs) for a block's documents, from what all groups found."""
+    home = next(i for i, f in enumerate(table["first"].to_pylist()) if f)
+    first = _numbers(table["first"][home].as_py(), np.uint32).astype(np.int64)
+    parts = [_numbers(x, np.uint32) for c in ("runs", "settled") for x in table[c].to_pylist()]
+    got = np.sort(np.concatenate(parts)).astype(np.int64)
+    doc = np.searchsorted(first, got, "right") - 1
+    cut = np.flatnonzero(np.diff(doc, prepend=-1))
+    at = pa.array(doc[cut])
+    local = pa.ListArray.from_arrays(pa.array(np.append(cut, len(got)).astype(np.int32)), pa.array((got - first[doc]).astype(np.int32)))
+    return pa.table({"doc_id": table["ids"][home].values.take(at), "th": table["th"][home].values.take(at), "runs": local})
 
 
 def repeated_runs(docs: DataFrame, groups: int) -> DataFrame:
-    """(doc_id, th, runs): the runs of each document whose first rank another document has, in parts."""
+    """(doc_id, th, runs): the runs of each document whose first rank another document has."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    dealt = docs.mapInArrow(_name_groups(groups), f"grp int, names binary, index binary, first binary, settled binary, ids array<{kind}>, th array<long>")
-    return dealt.groupBy("grp").applyInArrow(_met, f"doc_id {kind}, th long, runs array<int>")
+    tables = f"first binary, settled binary, ids array<{kind}>, th array<long>"
+    dealt = docs.mapInArrow(_name_groups(groups), f"grp int, blk long, names binary, index binary, {tables}")
+    met = dealt.groupBy("grp").applyInArrow(_met, f"blk long, {tables}, runs binary")
+    return met.groupBy("blk").applyInArrow(_by_document, f"doc_id {kind}, th long, runs array<int>")
 
 
 def covered(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
