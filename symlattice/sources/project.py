@@ -35,7 +35,8 @@ DEFAULT_IGNORES = (
     "**/res/anim*/", "**/res/animator*/", "**/res/color*/", "**/res/drawable*/", "**/res/font*/", "**/res/layout*/",
     "**/res/menu*/", "**/res/mipmap*/", "**/res/navigation*/", "**/res/transition*/", "**/res/values*/", "**/res/xml*/",
 )
-SKIPPED_DIRECTORIES = r"^(\.git|\.go-agent|\.go-agent-.*|\.codegraph|\.codegraph-.*)$"
+#: Folders that are never entered: the version store's and those in which an index lives.
+SKIPPED_DIRECTORIES = r"^(\.git|\.symlattice|\.symlattice-.*)$"
 LARGEST = 1_048_576
 
 
