@@ -1,18 +1,21 @@
 """Main text of web pages by site style trees.
 
-The pages of a host are merged into one tree: a node stands for all elements with the same path of tags and classes
-below the body. A presentation node's importance is the entropy, over its host's pages, of the ways its children are
-laid out: what every page lays out alike says little. A content node's importance is one minus the mean entropy of its
-texts over pages: texts that many pages share say little. An inner node mixes its own importance with its children's.
-Branches in which no node reaches ``LEAST`` are removed from each page of the host; hosts with fewer than ``FEW`` pages
-are merged with each other, as a page alone shows nothing.
+The pages of a host are merged into one tree: a node stands for all elements with the same path of tags, classes and roles
+below the body. Pages that have the same texts in ``article`` and ``main``, or elsewhere if they have none, count as one. A presentation node's importance
+is the entropy, over its host's pages, of the ways its children are laid out. A text's importance at a node is one minus
+the entropy of its places over pages: what many pages share says little. A content node's importance is the mean of its
+texts'. A text counts ``OWN`` by itself and else by its node and the layout of the node above; texts below ``LEAST`` are
+removed, so a text that one page has always stays. Hosts with fewer than ``FEW`` pages share a tree.
 
 What HTML itself declares counts as evidence in the tree: elements for navigation, page headers and footers, asides and
-forms, and classes or ids named for menus, adverts, notices, sidebars or comments have importance 0 with all below them,
-``article`` and ``main`` have 1. Scripts, styles and other unshown elements never become nodes.
-
-Counts of texts are sums that Spark combines before it shuffles, so a host with a third of all pages is no hot group.
-A null page is empty and gets the empty text; repeated rows are each extracted; a null url is a host of its own.
+forms have importance 0 with all below them; under ``article`` and ``main`` 1 stands in for the node's importance, so only
+texts that nearly all pages share go. Classes or ids named for menus, adverts, notices, sidebars or comments give 0 unless
+the branch holds most of what the host's pages without ``article`` and ``main`` say, or one of these stands below. Scripts,
+styles and other unshown elements never become nodes.
+
+Pages are parsed once. Counts of texts are sums that Spark combines before it shuffles, so a host with a third of all
+pages is no hot group. A null page is empty and gets the empty text; repeated rows are each extracted; a null url is a host
+of its own.
 """
 
 from __future__ import annotations
@@ -20,8 +23,8 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -29,11 +32,13 @@ from pyspark.sql import functions as F
 
 from .common import arrow_rows, stage
 
-FEW = 100
-LEAST = 0.85
-#: How much of an inner node's importance its children give.
-BELOW = 0.7
+LEAST = 0.3
+#: How much of a text's importance it gives itself, and how much of a node's its texts give.
+OWN, BELOW = 0.8, 0.7
 DEPTH = 12
+FEW = 100
+#: Share of a host's text above which a branch is what its pages are for, whatever its name.
+MOST = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 UNSHOWN = frozenset("script style noscript template svg iframe object canvas math head select textarea button datalist audio video".split())
@@ -46,16 +51,32 @@ ENDS = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
 BARRIERS = frozenset("ul ol table dl body article section div main nav aside footer header".split())
 LOW = frozenset("nav header footer aside form menu dialog".split())
 HIGH = frozenset(("article", "main"))
-_LOW_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice\w*|popup|modal|newsletter|subscribe|share|social|related|sidebar|menu|nav|navbar|navigation|breadcrumbs?|comments?|footer|header|toolbar|search)(?:$|[\s_-])", re.I)
+_LOW_NAMES = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice\w*|popup|modal|newsletter|subscribe|share|social|related|sidebar|menu|nav|navbar|navigation|breadcrumbs?|comments?|footer|header|toolbar|search")
+_PARTS = re.compile(r"[\s_-]+")
+#: Kinds of nodes: declared low, declared high, neither.
+LOWER, HIGHER, OPEN = 0, 1, 2
+
+
+class Node(NamedTuple):
+    """An element's place: hashes of its path and its parent's, its kind, and hashes of the paths with a low name at or above it."""
+
+    path: int
+    parent: int
+    kind: int
+    named: tuple[int, ...]
+
+
+def _hash(*parts: object) -> int:
+    return xxhash.xxh3_64_intdigest("/".join(map(str, parts))) >> 1
 
 
 class Page:
-    """A page as blocks (path, text) in page order and, for each element, its path and its children's names."""
+    """A page as blocks (node, text) in page order and, for each element, its path and its children's names."""
 
     def __init__(self, source: str) -> None:
-        self.blocks: list[tuple[str, str]] = []
-        self.layouts: list[tuple[str, str]] = []
-        self._open: list[list] = [["", "", []]]  # tag, path, children's names
+        self.blocks: list[tuple[Node, str]] = []
+        self.layouts: list[tuple[int, str]] = []
+        self._open: list[list] = [["", Node(0, 0, OPEN, ()), []]]  # tag, node, children's names
         self._text: list[str] = []
         at = 0
         while m := _TOKEN.search(source, at):
@@ -86,9 +107,9 @@ class Page:
             self.blocks.append((self._open[-1][1], text))
 
     def _close(self) -> None:
-        _, path, children = self._open.pop()
+        _, node, children = self._open.pop()
         shape = [c for i, c in enumerate(children) if i == 0 or c != children[i - 1] or i > 1 and c != children[i - 2]]
-        self.layouts.append((path, ",".join(shape) + f":{len(children)}"))
+        self.layouts.append((node.path, ",".join(shape) + f":{len(children)}"))
 
     def _start(self, tag: str, attributes: str) -> None:
         if tag in INLINE:
@@ -108,12 +129,16 @@ class Page:
                 break
         if tag in VOID:
             return
-        names = " ".join(a or b or c for k, a, b, c in _NAMED.findall(attributes))
-        marked = "-" if tag in LOW or names and _LOW_NAMES.search(names) else "+" if tag in HIGH else ""
-        name = marked + tag + "".join("." + x for x in sorted(names.lower().split())[:3])
-        parent = self._open[-1]
-        parent[2].append(name)
-        self._open.append([tag, f"{parent[1]}/{name}" if len(self._open) <= DEPTH else parent[1], []])
+        named = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMED.findall(attributes)}
+        name = tag + "".join("." + x for x in sorted(" ".join(named.values()).split())[:3])
+        above, names = self._open[-1][1], {x for x in _PARTS.split(" ".join(named.values())) if _LOW_NAMES.fullmatch(x)}
+        path, kind, low = _hash(above.path, name), above.kind, above.named
+        if kind != LOWER and (tag in LOW or names) and not (kind == HIGHER and tag == "header"):
+            kind = LOWER
+        elif kind == OPEN and tag in HIGH:
+            kind = HIGHER
+        self._open[-1][2].append(name)
+        self._open.append([tag, Node(path, above.path, kind, low) if len(self._open) <= DEPTH else above, []])
 
     def _end(self, tag: str) -> None:
         if tag in INLINE:
@@ -126,90 +151,77 @@ class Page:
                 break
 
 
-def declared(path: str) -> float | None:
-    """The importance that the page's own markup declares for a path, if any. A header inside an article is part of it."""
-    steps, inside = path.split("/"), False
-    for s in steps:
-        if s.startswith("-") and not (inside and s.startswith("-header")):
-            return 0.0
-        inside |= s.startswith("+")
-    return 1.0 if inside else None
+_KEYS = pa.struct([("key", pa.int64()), ("path", pa.int64()), ("parent", pa.int64()), ("kind", pa.int8()), ("named", pa.list_(pa.int64())), ("chars", pa.int64()), ("n", pa.int64()), ("free", pa.int64())])
+_LAYOUTS = pa.struct([("path", pa.int64()), ("layout", pa.int64()), ("n", pa.int64())])
+_BLOCKS = pa.struct([("key", pa.int64()), ("kind", pa.int8()), ("named", pa.list_(pa.int64())), ("text", pa.string())])
+_PARSED = "site string, same long, source long, texts array<struct<key:long,path:long,parent:long,kind:tinyint,named:array<long>,chars:long,n:long,free:long>>, layouts array<struct<path:long,layout:long,n:long>>, blocks array<struct<key:long,kind:tinyint,named:array<long>,text:string>>"
 
 
-def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each (page, path): its layout and, for each text in it, a hash and how often it occurs."""
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each page's blocks, its counts of texts and layouts, a hash of the texts by which it counts as one page, and one of its source."""
     for b in batches:
-        out = {"site": [], "path": [], "layout": [], "text": [], "n": []}
-        for site, source in zip(b["site"].to_pylist(), b["html"].to_pylist()):
-            page, counts = Page(source), {}
+        out: dict[str, list] = {"same": [], "source": [], "texts": [], "layouts": [], "blocks": []}
+        for source in b["html"].to_pylist():
+            page, texts, layouts, blocks = Page(source), {}, {}, []
+            free = not any(node.kind == HIGHER for node, _ in page.blocks)
+            for node, text in page.blocks:
+                key = _hash(node.path, text)
+                blocks.append({"key": key, "kind": node.kind, "named": node.named, "text": text})
+                one = texts.setdefault(key, {"key": key, **node._asdict(), "chars": len(text), "n": 0, "free": 0})
+                one["n"] += 1
+                one["free"] += free
             for path, shape in page.layouts:
-                key = (path, xxhash.xxh3_64_intdigest(shape) >> 1, None)
-                counts[key] = counts.get(key, 0) + 1
-            for path, text in page.blocks:
-                key = (path, None, xxhash.xxh3_64_intdigest(text) >> 1)
-                counts[key] = counts.get(key, 0) + 1
-            for (path, layout, text), n in counts.items():
-                for k, v in zip(out, (site, path, layout, text, n)):
-                    out[k].append(v)
-        yield pa.RecordBatch.from_pydict({"site": pa.array(out["site"], pa.string()), "path": pa.array(out["path"], pa.string()), "layout": pa.array(out["layout"], pa.int64()), "text": pa.array(out["text"], pa.int64()), "n": pa.array(out["n"], pa.int64())})
-
-
-def _low_branches(nodes: pd.DataFrame) -> pd.DataFrame:
-    """The noisy branches of a site from its (path, looks, says) rows; one row for each node of the style tree."""
-    own = {r.path: (r.looks, r.says) for r in nodes.itertuples()}
-    paths = {"/".join(p.split("/")[:i]) for p in own for i in range(1, p.count("/") + 2)} - {""}
-    below: dict[str, list[str]] = {}
-    for p in paths:
-        below.setdefault(p.rpartition("/")[0], []).append(p)
-    worth: dict[str, float] = {}
-    best: dict[str, float] = {}
-    for p in sorted(paths, key=lambda p: -p.count("/")):
-        looks, says = own.get(p, (None, None))
-        parts = [worth[c] for c in below.get(p, [])] + ([says] if says is not None and says == says else [])
-        inner = sum(parts) / len(parts) if parts else 0.0
-        value = inner if not below.get(p) or looks is None or looks != looks else (1 - BELOW) * looks + BELOW * inner
-        said = declared(p)
-        worth[p] = value if said is None else said
-        best[p] = max([worth[p], *(best[c] for c in below.get(p, []))])
-    low = sorted(p for p in paths if best[p] < LEAST and best.get(p.rpartition("/")[0], 1.0) >= LEAST)
-    return pd.DataFrame({"site": [nodes["site"].iloc[0]], "low": [low]})
-
-
-def style_trees(pages: DataFrame) -> DataFrame:
-    """(site, low): for each site, the branches of its style tree to remove. ``pages`` have site and html."""
-    nodes = pages.select("site", "html").mapInArrow(_nodes, "site string, path string, layout long, text long, n long")
+                at = (path, _hash(shape))
+                layouts[at] = layouts.get(at, 0) + 1
+            out["same"].append(_hash(*(x["key"] for x in blocks if x["kind"] == (OPEN if free else HIGHER))))
+            out["source"].append(_hash(source))
+            out["texts"].append(list(texts.values()))
+            out["layouts"].append([{"path": p, "layout": x, "n": n} for (p, x), n in layouts.items()])
+            out["blocks"].append(blocks)
+        made = [pa.array(out["same"], pa.int64()), pa.array(out["source"], pa.int64()), pa.array(out["texts"], pa.list_(_KEYS)), pa.array(out["layouts"], pa.list_(_LAYOUTS)), pa.array(out["blocks"], pa.list_(_BLOCKS))]
+        yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], b["site"], *made], names=["page_id", "url", "site", "same", "source", "texts", "layouts", "blocks"])
+
+
+def style_trees(parsed: DataFrame) -> DataFrame:
+    """(site, low, main): for each site, the keys of texts to remove and the low-named branches that stay."""
+    pages = stage(parsed.groupBy("site", "same").agg(F.min_by(F.struct("texts", "layouts"), "source").alias("page")).select("site", "page.*"))
+    most = pages.groupBy("site").agg(F.log(F.count("*") + 1).alias("most"))
     # Sums over pages give entropies without a row for each page: H = log n - (sum of c log c) / n.
-    sums = stage(nodes.groupBy("site", "path", "layout", "text").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.count("*").alias("pages")))
-    looks = sums.filter("layout is not null").groupBy("site", "path").agg(((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.greatest(F.sum("n"), F.lit(2)))).alias("looks"))
+    shapes = pages.select("site", F.inline("layouts")).groupBy("site", "path", "layout").agg(F.sum("n").alias("n"))
+    looks = shapes.groupBy("site", F.col("path").alias("parent")).agg(((F.log(F.sum("n")) - F.sum(F.col("n") * F.log("n")) / F.sum("n")) / F.log(F.greatest(F.sum("n"), F.lit(2)))).alias("looks"))
+    once = ("path", "parent", "kind", "named", "chars")
+    sums = pages.select("site", F.inline("texts")).filter(F.col("kind") != LOWER).groupBy("site", "key").agg(F.sum("n").alias("n"), F.sum("free").alias("free"), F.sum(F.col("n") * F.log("n")).alias("nlogn"), F.first(F.struct(*once)).alias("at"))
     spread = F.log("n") - F.col("nlogn") / F.col("n")
-    most = pages.groupBy("site").agg(F.greatest(F.count("*"), F.lit(2)).alias("m"))
-    says = sums.filter("text is not null").join(most, "site").groupBy("site", "path").agg((1 - F.sum(F.col("n") * spread / F.log("m")) / F.sum("n")).alias("says"))
-    both = looks.join(says, ["site", "path"], "full")
-    return both.groupBy("site").applyInPandas(_low_branches, "site string, low array<string>")
+    said = stage(sums.join(most, "site").select("site", "key", "n", "free", "at.*", (1 - spread / F.col("most")).alias("says")))
+    nodes = said.groupBy("site", "path", "parent").agg((F.sum(F.col("n") * F.col("says")) / F.sum("n")).alias("inner")).join(looks, ["site", "parent"], "left")
+    worth = nodes.select("site", "path", (BELOW * F.col("inner") + (1 - BELOW) * F.coalesce("looks", F.lit(0.0))).alias("worth"))
+    context = F.when(F.col("kind") == HIGHER, 1.0).otherwise(F.col("worth"))
+    low = said.join(worth, ["site", "path"]).filter(OWN * F.col("says") + (1 - OWN) * context < LEAST).groupBy("site").agg(F.collect_list("key").alias("low"))
+    weight = F.col("free") * F.col("chars") * F.col("says")
+    total = said.groupBy("site").agg(F.sum(weight).alias("total"))
+    named = said.select("site", F.explode("named").alias("name"), weight.alias("weight")).groupBy("site", "name").agg(F.sum("weight").alias("weight"))
+    main = named.join(total, "site").filter(F.col("weight") > MOST * F.col("total")).groupBy("site").agg(F.collect_list("name").alias("main"))
+    return low.join(main, "site", "full")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
-        for source, low in zip(b["html"].to_pylist(), b["low"].to_pylist()):
-            gone = tuple(low or ())
-            kept = []
-            for path, text in Page(source).blocks:
-                if not any(path == g or path.startswith(g + "/") for g in gone):
-                    kept.append(text)
-            texts.append("\n".join(kept))
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in b.schema.names if c not in ("html", "low")), pa.array(texts, pa.string())], names=[*(c for c in b.schema.names if c not in ("html", "low")), "text"])
+        for blocks, low, main in zip(b["blocks"].to_pylist(), b["low"].to_pylist(), b["main"].to_pylist()):
+            gone, stays = set(low or ()), set(() if any(x["kind"] == HIGHER for x in blocks) else main or ())
+            texts.append("\n".join(x["text"] for x in blocks if x["kind"] != LOWER and x["key"] not in gone and stays.issuperset(x["named"])))
+        yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages`` (page_id, url, html)."""
     arrow_rows(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
+    kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    # AQE broadcasts these tables of hosts while they are small and shuffles them once they are not.
     few = stage(rows.groupBy("host").count().filter(F.col("count") < FEW).select("host", F.lit("").alias("_few")))
-    placed = rows.join(few, "host", "left").withColumn("site", F.coalesce("_few", "host")).drop("_few", "host")
-    trees = stage(style_trees(placed))
-    kinds = {f.name: f.dataType.simpleString() for f in pages.schema}
-    joined = placed.join(trees, "site", "left").select("page_id", "url", "html", "low")
-    return joined.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string").withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.join(few, "host", "left").withColumn("site", F.coalesce("_few", "host")).drop("_few", "host")
+    parsed = stage(rows.mapInArrow(_parse, f"{kinds}, {_PARSED}"))
+    # AQE broadcasts this table of hosts while it is small and shuffles it once it is not.
+    joined = parsed.join(stage(style_trees(parsed)), "site", "left").select("page_id", "url", "blocks", "low", "main")
+    return joined.mapInArrow(_extract, f"{kinds}, text string").withColumn("n_chars", F.length("text").cast("long"))
