@@ -133,10 +133,18 @@ class Page:
         name = tag + "".join("." + x for x in sorted(" ".join(named.values()).split())[:3])
         above, names = self._open[-1][1], {x for x in _PARTS.split(" ".join(named.values())) if _LOW_NAMES.fullmatch(x)}
         path, kind, low = _hash(above.path, name), above.kind, above.named
-        if kind != LOWER and (tag in LOW or names) and not (kind == HIGHER and tag == "header"):
+        if kind == HIGHER:
+            # A header inside an article is part of it.
+            names.discard("header")
+            if tag in LOW and tag != "header":
+                kind = LOWER
+        elif kind == OPEN and tag in LOW:
             kind = LOWER
-        elif kind == OPEN and tag in HIGH:
-            kind = HIGHER
+        elif kind == OPEN and tag in HIGH and not names:
+            kind, low = HIGHER, ()
+        if names:
+            path = _hash(path, *sorted(names))
+            low = (*low, path)
         self._open[-1][2].append(name)
         self._open.append([tag, Node(path, above.path, kind, low) if len(self._open) <= DEPTH else above, []])
 

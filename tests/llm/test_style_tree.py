@@ -18,3 +18,11 @@ def test_copies_and_shared_texts(spark):
 def test_repeated_notice_in_articles(spark):
     got = extracted(spark, [("h", f"<article><p>text {i}</p><p>notice</p></article>") for i in range(30)])
     assert got == {i: f"text {i}" for i in range(30)}
+
+
+def test_low_names_are_no_hard_zero(spark):
+    wrap = '<div class="page with-menu"><div id="header-fixed">{}</div></div>'
+    pages = [("a", wrap.format(f"<article><div class=post-header><h1>t{i}</h1></div><p>x{i}</p></article>")) for i in range(5)]
+    pages += [("b", wrap.format(f"<p>main text {i}</p><div class=comments>c{i}</div>")) for i in range(5)]
+    got = extracted(spark, pages)
+    assert got == {i: f"t{i}\nx{i}" for i in range(5)} | {i + 5: f"main text {i}" for i in range(5)}
