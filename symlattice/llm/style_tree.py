@@ -5,7 +5,8 @@ below the body. Pages that have the same texts in ``article`` and ``main``, or e
 is the entropy, over its host's pages, of the ways its children are laid out. A text's importance at a node is one minus
 the entropy of its places over pages: what many pages share says little. A content node's importance is the mean of its
 texts'. A text counts ``OWN`` by itself and else by its node and the layout of the node above; texts below ``LEAST`` are
-removed, so a text that one page has always stays. Hosts with fewer than ``FEW`` pages share a tree.
+removed, so a text that one page has always stays. Every host has its own tree; a page alone shows nothing, so there only
+declared markup counts.
 
 What HTML itself declares counts as evidence in the tree: elements for navigation, page headers and footers, asides and
 forms have importance 0 with all below them; under ``article`` and ``main`` 1 stands in for the node's importance, so only
@@ -36,7 +37,6 @@ LEAST = 0.3
 #: How much of a text's importance it gives itself, and how much of a node's its texts give.
 OWN, BELOW = 0.8, 0.7
 DEPTH = 12
-FEW = 100
 #: Share of a host's text above which a branch is what its pages are for, whatever its name.
 MOST = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -130,7 +130,8 @@ class Page:
         if tag in VOID:
             return
         named = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMED.findall(attributes)}
-        name = tag + "".join("." + x for x in sorted(" ".join(named.values()).split())[:3])
+        # An id may be the page's own, so it names no path.
+        name = tag + "".join("." + x for x in sorted(f"{named.get('class', '')} {named.get('role', '')}".split())[:3])
         above, names = self._open[-1][1], {x for x in _PARTS.split(" ".join(named.values())) if _LOW_NAMES.fullmatch(x)}
         path, kind, low = _hash(above.path, name), above.kind, above.named
         if kind == HIGHER:
@@ -226,9 +227,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     arrow_rows(pages.sparkSession)
     host = F.coalesce(F.lower(F.regexp_extract("url", "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     kinds = ", ".join(f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url"))
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
-    few = stage(rows.groupBy("host").count().filter(F.col("count") < FEW).select("host", F.lit("").alias("_few")))
-    rows = rows.join(few, "host", "left").withColumn("site", F.coalesce("_few", "host")).drop("_few", "host")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("site"))
     parsed = stage(rows.mapInArrow(_parse, f"{kinds}, {_PARSED}"))
     # AQE broadcasts this table of hosts while it is small and shuffles it once it is not.
     joined = parsed.join(stage(style_trees(parsed)), "site", "left").select("page_id", "url", "blocks", "low", "main")

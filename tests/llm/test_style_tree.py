@@ -26,3 +26,12 @@ def test_low_names_are_no_hard_zero(spark):
     pages += [("b", wrap.format(f"<p>main text {i}</p><div class=comments>c{i}</div>")) for i in range(5)]
     got = extracted(spark, pages)
     assert got == {i: f"t{i}\nx{i}" for i in range(5)} | {i + 5: f"main text {i}" for i in range(5)}
+
+
+def test_small_hosts_have_their_own_trees(spark):
+    """What eight pages of a small host share goes there, and stays where one page has it, however many other hosts there are."""
+    pages = [("a", f"<div id=p{i}><p>a {i}</p><p>chrome</p></div>") for i in range(8)] + [("b", "<div id=p><p>chrome</p></div>")]
+    pages += [(f"h{k}", f"<div id=p{k}><p>of {k}</p></div>") for k in range(90)]
+    got = extracted(spark, pages)
+    assert [got[i] for i in range(9)] == [f"a {i}" for i in range(8)] + ["chrome"]
+    assert [got[9 + k] for k in range(90)] == [f"of {k}" for k in range(90)]
