@@ -36,7 +36,6 @@ from .common import arrow_rows, stage
 LEAST = 0.3
 #: How much of a text's importance it gives itself, and how much of a node's its texts give.
 OWN, BELOW = 0.8, 0.7
-DEPTH = 12
 #: Share of a host's text above which a branch is what its pages are for, whatever its name.
 MOST = 0.5
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -53,6 +52,7 @@ LOW = frozenset("nav header footer aside form menu dialog".split())
 HIGH = frozenset(("article", "main"))
 _LOW_NAMES = re.compile(r"ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice\w*|popup|modal|newsletter|subscribe|share|social|related|sidebar|menu|nav|navbar|navigation|breadcrumbs?|comments?|footer|header|toolbar|search")
 _PARTS = re.compile(r"[\s_-]+")
+_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*\Z")
 #: Kinds of nodes: declared low, declared high, neither.
 LOWER, HIGHER, OPEN = 0, 1, 2
 
@@ -88,11 +88,13 @@ class Page:
             if m[1]:
                 self._end(tag)
             elif tag in UNSHOWN:
+                if tag not in ("script", "style") and _CLOSED.search(m[3]):
+                    continue
                 if tag == "head":
                     body = re.compile(r"</head\s*>|(?=<body[\s>])", re.I).search(source, at)
                 else:
                     body = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = body.end() if body else (at if m[3].endswith("/") else len(source))
+                at = body.end() if body else len(source)
             else:
                 self._start(tag, m[3])
         self._text.append(source[at:])
@@ -147,7 +149,7 @@ class Page:
             path = _hash(path, *sorted(names))
             low = (*low, path)
         self._open[-1][2].append(name)
-        self._open.append([tag, Node(path, above.path, kind, low) if len(self._open) <= DEPTH else above, []])
+        self._open.append([tag, Node(path, above.path, kind, low), []])
 
     def _end(self, tag: str) -> None:
         if tag in INLINE:

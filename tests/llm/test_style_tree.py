@@ -35,3 +35,9 @@ def test_small_hosts_have_their_own_trees(spark):
     got = extracted(spark, pages)
     assert [got[i] for i in range(9)] == [f"a {i}" for i in range(8)] + ["chrome"]
     assert [got[9 + k] for k in range(90)] == [f"of {k}" for k in range(90)]
+
+
+def test_deep_marks_and_self_closed_elements(spark):
+    deep = "<div>" * 20
+    got = extracted(spark, [("a", f"{deep}<article><p>in</p></article><aside>no</aside><div class=comments>c</div>"), ("b", '<p>one<svg class="i"/>two</p><p>three<svg><text>no</text></svg></p><iframe/>four')])
+    assert got[0] == "in" and got[1].split() == ["onetwo", "three", "four"]
