@@ -1,14 +1,15 @@
 """Scoring texts with a log-bilinear model that numpy trains by noise-contrastive estimation.
 
-The model's vocabulary has the ``MODEL_WORDS`` most frequent training tokens, the end and one token for all others. The
-score of a token after two others is (c1 * q[h1] + c2 * q[h2]) . r[w] + b[w]. Each round, every task that reads training
-documents trains from the same parameters on its own tokens, against noise from the unigram distribution; the tasks'
-parameters, weighted by their tokens, are averaged by Spark and start the next round. Parameters have a fixed size, so
-only they and counts of bounded vocabularies reach the driver.
+Every word has a place in the model: the most frequent training words, whose number grows with the square root of the
+training tokens, have vectors of their own, and all others share vectors by a hash of their ending in classes, a quarter
+as many. The score of a token after two others is (c1 * q[h1] + c2 * q[h2]) . r[w] + b[w]. Each round, every task that
+reads training documents trains from the same parameters on its own tokens, against noise from the unigram distribution;
+the tasks' changes, weighted by their tokens, are averaged in slices by Spark and start the next round.
 
-For scores, the distinct contexts of a block are multiplied with all target vectors at once, whose log-sum-exp gives
-normalised log-probabilities. A token outside the model's vocabulary has the probability of "other" times its share of
-the other tokens' smoothed counts. Counts of words beyond the ``HOT`` most frequent ones come by a shuffled join.
+Normalising takes two levels: tokens ordered by frequency fall into groups, about the root of their number; a group has
+a probability by vectors of its own, trained likewise, and a token one among its group. A word of a class has the
+probability of the class times its share of the class's smoothed counts. Counts of words beyond the ``HOT`` most frequent
+ones come by a shuffled join.
 
 Null texts are empty and score their end alone; rows with a null doc_id are training documents; repeated rows are each
 scored. Training order within a task is seeded, so a task that runs anew gives the same parameters.
@@ -17,6 +18,7 @@ scored. Training order within a task is seeded, so a task that runs anew gives t
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,13 +31,22 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, blocks, frequent, row_ids, stage, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
-MODEL_WORDS = 2000
+#: Words with vectors of their own: so many, or this times the root of the training tokens if that is more.
+MODEL_WORDS, PER_ROOT = 2000, 2
+#: A word has its own vectors if it occurs so often; words of a class share an ending of so many characters.
+LEAST_COUNT, ENDING = 3, 3
 DIM = 32
 ROUNDS = 2
 BATCH, NOISE, RATIO, RATE = 1024, 128, 16.0, 0.1
 HOT = 1 << 18
 BLOCK = 16 << 20
-OTHER, END = 0, 1
+SLICE = 1 << 14
+END = 0
+
+
+def word_class(word: str, first: int, n: int) -> int:
+    """The id of a word without vectors of its own."""
+    return first + zlib.crc32(word[-ENDING:].encode()) % n
 
 
 class Block:
@@ -53,9 +64,10 @@ class Block:
         self.codes, self.owner, self.n = codes, owner, len(per_text)
         self.per_text = np.bincount(owner, minlength=self.n)
 
-    def stream(self, ids: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def stream(self, ids: dict[str, int], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Each token's model id, the two before it and its text; every text ends with END and begins after two of them."""
-        known = np.fromiter((ids.get(w, OTHER) for w in self.words), np.int32, len(self.words))
+        first = len(ids) + 1
+        known = np.fromiter((ids.get(w) or word_class(w, first, classes) for w in self.words), np.int32, len(self.words))
         w = np.full(len(self.codes) + self.n, END, np.int32)
         w[np.arange(len(self.codes)) + self.owner] = known[self.codes]
         starts = np.cumsum(self.per_text + 1) - (self.per_text + 1)
@@ -73,40 +85,48 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """r, q (words x DIM), b (words) and c (2 x DIM), in one flat vector."""
+    """r, q (words x DIM), b (words), gr (groups x DIM), gb (groups) and c (2 x DIM), in one flat vector."""
 
     def __init__(self, flat: np.ndarray, words: int) -> None:
-        n = words * DIM
-        self.flat, self.words = flat, words
-        self.r, self.q = flat[:n].reshape(words, DIM), flat[n : 2 * n].reshape(words, DIM)
-        self.b, self.c = flat[2 * n : 2 * n + words], flat[2 * n + words :].reshape(2, DIM)
+        self.flat, self.words, self.size = flat, words, math.isqrt(words - 1) + 1
+        self.groups, at = -(-words // self.size), 0
+        for name, rows, width in (("r", words, DIM), ("q", words, DIM), ("b", words, 0), ("gr", self.groups, DIM), ("gb", self.groups, 0), ("c", 2, DIM)):
+            end = at + rows * max(width, 1)
+            setattr(self, name, flat[at:end].reshape((rows, width) if width else rows))
+            at = end
 
     @classmethod
     def fresh(cls, unigram: np.ndarray) -> Model:
         """Small random vectors, and log-probabilities of the tokens alone as biases: at first a unigram model."""
         words, rng = len(unigram), np.random.default_rng(5)
-        return cls(np.concatenate([rng.normal(0, 0.1, 2 * words * DIM), np.log(unigram), np.ones(DIM), np.full(DIM, 0.5)]).astype(np.float32), words)
+        of_groups = np.add.reduceat(unigram, np.arange(0, words, math.isqrt(words - 1) + 1))
+        vectors = lambda n: rng.normal(0, 0.1, n * DIM)
+        return cls(np.concatenate([vectors(2 * words), np.log(unigram), vectors(len(of_groups)), np.log(of_groups), np.ones(DIM), np.full(DIM, 0.5)]).astype(np.float32), words)
 
     def contexts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         return self.c[0] * self.q[h1] + self.c[1] * self.q[h2]
 
-    def log_norms(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty(len(x), np.float32)
-        for a in range(0, len(x), 2048):
-            s = x[a : a + 2048] @ self.r.T + self.b
-            top = s.max(1)
-            s -= top[:, None]
-            out[a : a + 2048] = np.log(np.exp(s, out=s).sum(1)) + top
-        return out
+    @staticmethod
+    def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+        s -= s.max(1)[:, None]
+        own = s[np.arange(len(s)), at]
+        return own - np.log(np.exp(s, out=s).sum(1))
 
     def log_probs(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        """Natural log-probabilities; each distinct context is normalised once."""
-        pairs, at = np.unique(h1.astype(np.int64) * self.words + h2, return_inverse=True)
-        x = self.contexts(pairs // self.words, pairs % self.words)
-        norms, out = self.log_norms(x), np.empty(len(w))
-        for a in range(0, len(w), 1 << 18):
-            z = slice(a, a + (1 << 18))
-            out[z] = np.einsum("ij,ij->i", x[at[z]], self.r[w[z]]) + self.b[w[z]] - norms[at[z]]
+        """Natural log-probabilities: that of a token's group and that of the token in it."""
+        out = np.empty(len(w))
+        for a in range(0, len(w), 1 << 15):
+            z = slice(a, a + (1 << 15))
+            order = np.argsort(w[z] // self.size, kind="stable")
+            ww, x = w[z][order], self.contexts(h1[z][order], h2[z][order])
+            group = ww // self.size
+            got = self._log_softmax(x @ self.gr.T + self.gb, group)
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            for i, k in zip(cuts[:-1], cuts[1:]):
+                first = int(group[i]) * self.size
+                mine = slice(first, first + self.size)
+                got[i:k] += self._log_softmax(x[i:k] @ self.r[mine].T + self.b[mine], ww[i:k] - first)
+            out[a + order] = got
         return out
 
 
@@ -122,7 +142,18 @@ def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray,
     """One pass of AdaGrad over NCE's loss; noise is shared within a batch. Returns the number of tokens."""
     rng, seen = np.random.default_rng(seed), 0
     power = Model(np.ones_like(model.flat), model.words)
-    log_noise, cumulative = np.log(RATIO * unigram).astype(np.float32), np.cumsum(unigram)
+    cumulative, of_groups = np.cumsum(unigram), np.add.reduceat(unigram, np.arange(0, model.words, model.size))
+    log_noise, log_groups = np.log(RATIO * unigram).astype(np.float32), np.log(RATIO * of_groups).astype(np.float32)
+
+    def nce(rows: str, bias: str, x: np.ndarray, ww: np.ndarray, noise: np.ndarray, logs: np.ndarray):
+        """The gradient of the contexts, and what is to be stepped: ids with that of their vectors and biases."""
+        r, b = getattr(model, rows), getattr(model, bias)
+        rw, rn = r[ww], r[noise]
+        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", x, rw) + b[ww] - logs[ww], -30, 30)))
+        down = -(RATIO / NOISE) / (1 + np.exp(np.clip(-(x @ rn.T + b[noise] - logs[noise]), -30, 30)))
+        up, down = up.astype(np.float32), down.astype(np.float32)
+        ids, found = _spread(np.concatenate([ww, noise]), np.concatenate([np.column_stack([up[:, None] * x, up]), np.column_stack([down.T @ x, down.sum(0)])]))
+        return up[:, None] * rw + down @ rn, (rows, ids, found[:, :-1]), (bias, ids, found[:, -1])
 
     def step(name: str, ids, grad: np.ndarray) -> None:
         p, g2 = getattr(model, name), getattr(power, name)
@@ -135,17 +166,14 @@ def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray,
             at = order[a : a + BATCH]
             ww, a1, a2 = w[at], h1[at], h2[at]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), model.words - 1)
-            x, rw, rn = model.contexts(a1, a2), model.r[ww], model.r[noise]
-            up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", x, rw) + model.b[ww] - log_noise[ww], -30, 30)))
-            down = -(RATIO / NOISE) / (1 + np.exp(np.clip(-(x @ rn.T + model.b[noise] - log_noise[noise]), -30, 30)))
-            up, down = up.astype(np.float32), down.astype(np.float32)
-            dx = up[:, None] * rw + down @ rn
-            ids, rows = _spread(np.concatenate([ww, noise]), np.concatenate([np.column_stack([up[:, None] * x, up]), np.column_stack([down.T @ x, down.sum(0)])]))
+            x = model.contexts(a1, a2)
+            dx, *steps = nce("r", "b", x, ww, noise, log_noise)
+            dg, *more = nce("gr", "gb", x, ww // model.size, noise // model.size, log_groups)
+            dx = dx + dg
             dc = np.stack([(dx * model.q[a1]).sum(0), (dx * model.q[a2]).sum(0)])
             qi, qrows = _spread(np.concatenate([a1, a2]), np.concatenate([dx * model.c[0], dx * model.c[1]]))
-            step("r", ids, rows[:, :-1])
-            step("b", ids, rows[:, -1])
-            step("q", qi, qrows)
+            for one in (*steps, *more, ("q", qi, qrows)):
+                step(*one)
             step("c", slice(None), dc)
         seen += len(w)
     return seen
@@ -153,51 +181,59 @@ def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray,
 
 def _trainer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, unigram, ids = shared.value
+        flat, unigram, ids, classes = shared.value
         model = Model(flat.copy(), len(unigram))
-        n = train(model, unigram, (Block(t["text"].chunk(0)).stream(ids)[:3] for t in blocks(batches, BLOCK)), TaskContext.get().partitionId())
+        n = train(model, unigram, (Block(t["text"].chunk(0)).stream(ids, classes)[:3] for t in blocks(batches, BLOCK)), TaskContext.get().partitionId())
         if n:
-            yield pa.RecordBatch.from_pydict({"tokens": [float(n)], "flat": pa.array([model.flat], pa.list_(pa.float32()))})
+            change = (model.flat - flat).astype(np.float16)
+            for k in range(0, len(change), SLICE):
+                yield pa.RecordBatch.from_pydict({"slice": [k // SLICE], "tokens": [float(n)], "change": pa.array([change[k : k + SLICE].tobytes()], pa.binary())})
 
     return run
 
 
-def fit(train_docs: DataFrame, words: list[tuple[str, int]], end: int, other: int) -> tuple[Model, dict[str, int]]:
-    """The model after ``ROUNDS`` rounds, each over another part of all training documents, and the words' ids."""
+def _average(t: pa.Table) -> pa.Table:
+    """The mean of a slice's changes, weighted by tokens."""
+    n = t["tokens"].to_numpy()
+    total = sum(k * np.frombuffer(v.as_buffer(), np.float16).astype(np.float32) for k, v in zip(n, t["change"]))
+    return pa.table({"slice": t["slice"][:1], "change": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+
+
+def fit(train_docs: DataFrame, ids: dict[str, int], unigram: np.ndarray, classes: int) -> Model:
+    """The model after ``ROUNDS`` rounds, each over another part of all training documents."""
     spark = train_docs.sparkSession
-    ids = {w: i + 2 for i, (w, _) in enumerate(words)}
-    unigram = np.array([other + 0.5, end + 0.5, *[c for _, c in words]], float)
-    unigram /= unigram.sum()
+    unigram = unigram / unigram.sum()
     model = Model.fresh(unigram)
     part = F.pmod(F.shiftright(F.xxhash64("doc_id"), 7), F.lit(ROUNDS))
     for k in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((model.flat, unigram, ids))
-        found = train_docs.filter(part == k).select("text").mapInArrow(_trainer(shared), "tokens double, flat array<float>")
-        sums = found.select("tokens", F.posexplode("flat").alias("i", "x")).groupBy("i").agg((F.sum(F.col("tokens") * F.col("x")) / F.sum("tokens")).alias("x")).toArrow()
-        if sums.num_rows:
-            flat = model.flat.copy()
-            flat[sums["i"].to_numpy()] = sums["x"].to_numpy()
-            model = Model(flat, len(unigram))
+        shared = spark.sparkContext.broadcast((model.flat, unigram, ids, classes))
+        found = train_docs.filter(part == k).select("text").mapInArrow(_trainer(shared), "slice long, tokens double, change binary")
+        flat = model.flat.copy()
+        for row in found.groupBy("slice").applyInArrow(_average, "slice long, change binary").toLocalIterator():
+            at = row["slice"] * SLICE
+            flat[at : at + SLICE] += np.frombuffer(row["change"], np.float32)
+        model = Model(flat, len(unigram))
         shared.unpersist()
-    return model, ids
+    return model
 
 
 def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, words, ids, hot, end, other_total = shared.value
+        flat, words, ids, classes, hot, end, class_totals = shared.value
         model, seen = Model(flat, words), 0
         log_end, nothing = math.log10(end + 0.5), float("nan")
         for t in blocks(batches, BLOCK):
             b = Block(t["text"].chunk(0))
-            w, h1, h2, owner = b.stream(ids)
+            w, h1, h2, owner = b.stream(ids, classes)
             fitted = np.bincount(owner, weights=model.log_probs(w, h1, h2), minlength=b.n) / math.log(10)
             c = np.fromiter((hot.get(x, nothing) for x in b.words), float, len(b.words))
             at_hot = ~np.isnan(c[b.codes])
             logs = np.where(at_hot, np.log10(c[b.codes] + 0.5), 0.0)
-            others = w[np.arange(len(b.codes)) + b.owner] == OTHER
+            of = w[np.arange(len(b.codes)) + b.owner] - (len(ids) + 1)
+            others = of >= 0
             total = lambda x: np.bincount(b.owner, weights=x, minlength=b.n)
             base = total(logs) + log_end
-            score = fitted + total(logs * others) - total(others.astype(float)) * math.log10(other_total)
+            score = fitted + total(logs * others) - total(np.where(others, np.log10(class_totals)[np.maximum(of, 0)], 0.0))
             known = total(at_hot.astype(float)).astype(np.int64) + (1 if end else 0)
             pairs, freq = np.unique(b.owner[~at_hot].astype(np.int64) * (len(b.words) + 1) + b.codes[~at_hot], return_counts=True)
             who, what = pairs // (len(b.words) + 1), pairs % (len(b.words) + 1)
@@ -228,12 +264,21 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     counts = stage(learn.select("text").mapInArrow(_count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c")))
     end = learn.count()
     distinct, words_total = counts.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    words = sorted(((r[0], r[1]) for r in frequent(counts, "c", MODEL_WORDS).collect()), key=lambda x: (-x[1], x[0]))
-    hot = {r[0]: float(r[1]) for r in frequent(counts, "c", HOT).collect()}
-    other = words_total - sum(c for _, c in words)
+    most = min(max(MODEL_WORDS, int(PER_ROOT * math.sqrt(words_total))), HOT // 2)
+    words = [(r[0], r[1]) for r in counts.filter(F.col("c") >= LEAST_COUNT).orderBy(F.desc("c"), "word").limit(most).collect()]
+    ids = {w: i + 1 for i, (w, _) in enumerate(words)}
+    classes = max(MODEL_WORDS, len(words)) // 4
+    hot = {r[0]: float(r[1]) for r in frequent(counts, "c", HOT).collect()} | {w: float(c) for w, c in words}
+    # Each class has the smoothed counts of its words and of one unseen word.
+    class_totals = np.full(classes, 0.5)
+    of = F.crc32(F.expr(f"right(word, {ENDING})").cast("binary")) % classes
+    for k, c, n in counts.groupBy(of.alias("k")).agg(F.sum("c"), F.count("*")).collect():
+        class_totals[k] += c + 0.5 * n
+    for w, c in words:
+        class_totals[word_class(w, 0, classes)] -= c + 0.5
     total, kinds = words_total + end, distinct + (1 if end else 0)
-    model, ids = fit(learn, words, end, other)
-    shared = spark.sparkContext.broadcast((model.flat, model.words, ids, hot, end, other + 0.5 * (distinct - len(words) + 1)))
+    model = fit(learn, ids, np.concatenate([[end + 0.5], [c for _, c in words], class_totals]), classes)
+    shared = spark.sparkContext.broadcast((model.flat, model.words, ids, classes, hot, end, class_totals))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = split.mapInArrow(_scorer(shared), f"rid long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, word string, freq long")
     # A document's own row gets a key that no word has, so that these rows spread over all partitions.
