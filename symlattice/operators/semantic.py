@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 LEAST_COSINE = 0.25
 BATCH_TEXTS, BATCH_BYTES = 64, 16_000
+#: Rows in a chunk of a group, on average; a batch never spans chunks.
+CHUNK_ROWS = 1024
 
 
 class Embedder(Protocol):
@@ -58,3 +60,28 @@ def packed_batches(texts: DataFrame, group: str, order: str, size: str) -> DataF
     """``texts`` with ``batch``, by running bytes within each group: a batch begins with each BATCH_BYTES."""
     before = F.sum(size).over(W.partitionBy(group).orderBy(order).rowsBetween(W.unboundedPreceding, 0)) - F.col(size)
     return texts.withColumn("batch", F.floor(before / BATCH_BYTES))
+
+
+def embed_batches(texts: DataFrame, group: str, order: str, size: str) -> DataFrame:
+    """The texts that aren't empty, with ``chunk`` and ``batch``: a batch closes at BATCH_TEXTS texts or BATCH_BYTES bytes.
+
+    A group falls into chunks of about CHUNK_ROWS by a hash of ``order``, so none goes through one task; in a chunk texts
+    stand in order, and each batch begins where the last one closed.
+    """
+
+    def close(t):
+        import pyarrow as pa
+
+        t, batch, at, n, total = t.sort_by(order), [], 0, 0, 0
+        for x in t[size].to_pylist():
+            batch.append(at)
+            n, total = n + 1, total + x
+            if n >= BATCH_TEXTS or total >= BATCH_BYTES:
+                at, n, total = at + 1, 0, 0
+        return t.append_column("batch", pa.array(batch, pa.int64()))
+
+    full = texts.filter(F.col(size) > 0)
+    chunks = full.groupBy(F.col(group).alias("_g")).agg(F.ceil(F.count("*") / CHUNK_ROWS).alias("_k"))
+    dealt = full.join(chunks, F.col(group).eqNullSafe(F.col("_g"))).withColumn("chunk", F.pmod(F.xxhash64(order), F.col("_k"))).drop("_g", "_k")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)
+    return dealt.groupBy(group, "chunk").applyInArrow(close, f"{kinds}, batch long")
