@@ -1,19 +1,19 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, banded buckets and star-shaped candidates.
 
-A document's set holds the 64-bit hashes of its distinct 3-word shingles. Documents with equal sets form a class, and
-only its smallest id goes on. One permutation splits the hash range into bins, whose minima are the signature; an empty
-bin borrows from a bin that a fixed random sequence names first among the filled ones. Bands of the signature name
-buckets. In each bucket a random member, another one in each band, is the centre of a star of candidate pairs, so a
-bucket of n gives n - 1 pairs. Pairs are confirmed on the full sets.
+A document's set holds the 64-bit hashes of its distinct 3-word shingles. Rows with equal sets form a class, and only one
+of them goes on. One permutation splits the hash range into bins, whose minima are the signature; an empty bin borrows
+from a bin that a fixed random sequence names first among the filled ones. Bands of the signature name buckets. In each
+bucket a random member, another one in each band, is the centre of a star of candidate pairs, so a bucket of n gives
+n - 1 pairs. Pairs are confirmed on the full sets.
 
 A star can miss a link between two members neither of which is the centre. That matters only if they end up in
 different components, so the members of buckets in which several components meet go through a prefix-filtered join, which
-finds every such link among them (see ``leftover_pairs``).
+finds every such link among them (see ``leftover_links``).
 
 Components come from alternating large-star and small-star steps on edge tables in the shared folder.
 
 Null and empty texts have an empty set and are linked with nothing. A null doc_id is linked with nothing and is kept.
-Rows that share a doc_id are one document to the links. Other columns are not carried along.
+Rows that share a doc_id are judged each by its own text. Other columns are not carried along.
 """
 
 from __future__ import annotations
@@ -28,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, stage, text_or_empty, unstage
+from .common import arrow_rows, blocks, row_ids, stage, text_or_empty, unstage
 
 SHINGLE = 3
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 BINS, BANDS, ROWS = 128, 25, 5
-#: Hash slots whose counts order the shingles in the join of what stars leave: a bounded array for any corpus.
-SLOTS = 1 << 17
+#: Sizes of sets fall into levels, each so many times the one below, in the join of what stars leave.
+LEVEL = 1.04
+#: Central members of a shingle's largest component that others are compared with before all that may be linked is.
+CENTRES = 8
 BLOCK = 6 << 20
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -96,20 +98,28 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = 0
     for block in blocks(batches, BLOCK):
         keys, sizes, bands = [], [], []
         for s in shingle_sets(block["text"].chunk(0)):
             sizes.append(len(s))
             keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
             bands.append(band_keys(signature(s)) if len(s) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": block["doc_id"].chunk(0), "key": pa.array(keys, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+        same = {c: block[c].chunk(0) for c in ("doc_id", "th")}
+        yield pa.RecordBatch.from_pydict({"rid": row_ids(seen, len(keys))} | same | {"key": pa.array(keys, pa.binary()), "n_shingles": pa.array(sizes, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+        seen += len(keys)
+
+
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, text): rows with a hash that tells the texts of one doc_id apart."""
+    return docs.select("doc_id", text_or_empty().alias("text")).select("doc_id", F.xxhash64("text").alias("th"), "text")
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, n_shingles, bands): the class key of each document's set, its size and its buckets."""
+    """(rid, doc_id, th, key, n_shingles, bands): the class key of each row's set, its size and its buckets."""
     arrow_rows(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(_sketch, f"doc_id {kind}, key binary, n_shingles long, bands array<long>")
+    return _hashed(docs).mapInArrow(_sketch, f"rid long, doc_id {kind}, th long, key binary, n_shingles long, bands array<long>")
 
 
 def star_pairs(buckets: DataFrame) -> DataFrame:
@@ -142,10 +152,9 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The candidate pairs whose full sets are similar enough."""
-    kind = pairs.schema["a"].dataType.simpleString()
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, f"a {kind}, b {kind}")
+    return both.select("a", "b", "sa", "sb").mapInArrow(_confirm, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -170,82 +179,134 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
 
-def _loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(SLOTS, np.int64)
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for v in b["shingles"]:
-            total += np.bincount((np.frombuffer(v.as_buffer(), np.uint64) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"slot": at, "n": total[at]})
-
-
-def _prefixes(loads):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rank = loads.value
-        for b in batches:
-            sizes, keys = [], []
-            for v in b["shingles"]:
-                s = np.frombuffer(v.as_buffer(), np.uint64)
-                k = len(s) - -(-len(s) * PERCENT // 100) + 1
-                order = np.lexsort((s, rank[(s % np.uint64(SLOTS)).astype(np.int64)]))[:k]
-                sizes.append(len(s))
-                keys.append(s[order].view(np.int64))
-            at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-            flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_pydict({"shingle": flat, "id": b["id"].take(pa.array(at)), "component": b["component"].take(pa.array(at)), "n": np.asarray(sizes, np.int64)[at], "at": np.concatenate([np.arange(len(k)) for k in keys]) if keys else flat})
-
-    return run
-
-
-def leftover_pairs(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs that stars didn't compare and that may still link two components: a prefix-filtered join.
-
-    It takes the members of buckets in which several components meet. Shingles are ordered by how often they occur,
-    judged by counts of ``SLOTS`` hash slots, rare ones first; two sets with enough in common share one of their first
-    n - ceil(n * PERCENT / 100) + 1 shingles, whatever the order. What many documents share stands last and is no key.
+        sets = [np.frombuffer(v.as_buffer(), np.int64) for v in b["shingles"]]
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        at = pa.array(np.repeat(np.arange(len(sets)), sizes))
+        yield pa.RecordBatch.from_pydict({"id": b["id"].take(at), "component": b["component"].take(at), "n": np.repeat(sizes, sizes), "shingle": np.concatenate([np.zeros(0, np.int64), *sets])})
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(id, component, n, at, shingle): of each set (id, component, shingles), the prefix in which links have to meet.
+
+    Shingles that only one component has come first, then rare ones: any order that all sets share would do. Two sets
+    with enough in common share one of their first n - ceil(n * PERCENT / 100) + 1 shingles. Those of one component
+    are no keys, but take their places.
+    """
+    terms = sets.select("id", "component", "shingles").mapInArrow(_listed, "id long, component long, n long, shingle long")
+    met = terms.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("df")).filter("lo <> hi").select("shingle", "df")
+    own = terms.join(met.hint("merge"), "shingle").groupBy("id").agg(F.first("component").alias("component"), F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("own"))
+    alone = F.col("n") - F.size("own")
+    most = F.col("n") - F.expr(f"(n * {PERCENT} + 99) div 100") + 1 - alone
+    first = F.when(most > 0, F.slice("own", F.lit(1), F.greatest(most, F.lit(1)).cast("int")))
+    return own.select("id", "component", "n", alone.alias("alone"), F.posexplode(first).alias("k", "x")).select("id", "component", "n", (F.col("alone") + F.col("k")).alias("at"), F.col("x.shingle").alias("shingle"))
+
+
+def _similar_at(pairs: DataFrame) -> DataFrame:
+    """(a, b) for pairs of rows of ``prefixes`` that meet in a shingle and may be links.
+
+    At the first shingle that two sets share, what stands before it on either side is not in both.
+    """
+    most = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
+    found = _like_sized(pairs, "n", "o_n").filter(most * 100 >= (F.col("n") + F.col("o_n") - most) * PERCENT)
+    return found.select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")).distinct()
+
+
+def central_pairs(rows: DataFrame) -> DataFrame:
+    """Each row of ``prefixes`` outside a shingle's largest component with that component's most central members there.
+
+    The fewer shingles stand before the common one, the closer a set is to all others that have it. Most of what stars
+    missed is found here, with a few rows for each row.
     """
-    spark, kind = sets.sparkSession, sets.schema["id"].dataType.simpleString()
+    here = rows.groupBy("shingle", "component").count()
+    main = here.groupBy("shingle").agg(F.max_by("component", "count").alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    tagged = rows.join(main, "shingle")
+    slot = F.pmod(F.xxhash64("id", "shingle"), F.lit(CENTRES))
+    centres = tagged.filter("component = main").groupBy("shingle", slot.alias("slot")).agg(F.min(F.struct("at", F.xxhash64("id", "shingle").alias("h"), "id", "n")).alias("o"))
+    centres = centres.select("shingle", F.col("o.id").alias("o_id"), F.col("o.n").alias("o_n"), F.col("o.at").alias("o_at"))
+    return _similar_at(tagged.filter("component <> main").join(centres, "shingle"))
+
+
+def leftover_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs of rows of ``prefixes`` that may link two components.
+
+    A place in a prefix bounds the sizes of the sets that it can link: the smaller set of a pair shows its own size's
+    level, the larger one all levels that it can link there, and most places have none. Where they meet, members of the
+    component that has most of them meet only those of others.
+    """
+    level = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(LEVEL)))
+    # most * 100 >= (n + m - most) * PERCENT, solved for the size of the other set.
+    fits = F.expr(f"(n - at) * {100 + PERCENT} div {PERCENT} - n")
+    small = rows.filter(fits >= F.col("n")).withColumn("level", level(F.col("n")))
+    least, greatest = F.expr(f"(n * {PERCENT} + 99) div 100"), F.least("n", fits)
+    large = rows.withColumn("least", least).withColumn("most", greatest).filter("least <= most and most > 0").withColumn("level", F.explode(F.sequence(level(F.col("least")), level(F.col("most"))))).drop("least", "most")
+    key = ["shingle", "level"]
+    here = small.select(*key, "component").unionByName(large.select(*key, "component")).groupBy(*key, "component").count()
+    main = here.groupBy(*key).agg(F.max_by("component", "count").alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
+    is_main = F.col("component") == F.col("main")
+    small = small.join(main, key).withColumn("side", is_main.cast("int")).drop("main")
+    large = large.join(main, key).withColumn("side", F.explode(F.when(is_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).drop("main")
+    other = large.select(*key, "side", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", "at")])
+    return _similar_at(small.join(other, [*key, "side"]).filter("component <> o_component and (n < o_n or n = o_n and id < o_id)"))
+
+
+def relabelled(of: DataFrame, links: DataFrame) -> DataFrame:
+    """``of`` (id, component and more), which may say so several times, with the components that ``links`` (a, b) join made one."""
+    if links.isEmpty():
+        return of
+    ids = of.select("id", "component").distinct()
+    between = links.join(ids.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(ids.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    merged = stage(components(between.select(F.col("ca").alias("a"), F.col("cb").alias("b")))).select(F.col("id").alias("component"), F.col("component").alias("merged"))
+    return of.join(merged, "component", "left").withColumn("component", F.coalesce("merged", "component")).drop("merged")
+
+
+def leftover_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links (a, b) that stars didn't find and that join components, among members of buckets in which several meet."""
     tagged = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     meeting = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     members = tagged.join(meeting, "bucket").select("id", "component").distinct()
-    left = stage(sets.join(members, "id"))
-    loads = np.zeros(SLOTS, np.int64)
-    found = left.select("shingles").mapInArrow(_loads, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    loads[found["slot"].to_numpy()] = found["n"].to_numpy()
-    keys = stage(left.mapInArrow(_prefixes(spark.sparkContext.broadcast(loads)), f"shingle long, id {kind}, component {kind}, n long, at long"))
-    other = keys.select("shingle", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", "at")])
-    # At the first shingle that two sets share, what stands before it on either side is not in both.
-    most = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at"))
-    enough = most * 100 >= (F.col("n") + F.col("o_n") - most) * PERCENT
-    pairs = _like_sized(keys.join(other, "shingle").filter("id < o_id and component <> o_component").filter(enough), "n", "o_n")
-    return pairs.select(F.col("id").alias("a"), F.col("o_id").alias("b")).distinct()
+    rows = stage(prefixes(stage(sets.join(members, "id"))))
+    first = stage(confirmed(central_pairs(rows), sets))
+    return first.unionByName(stage(confirmed(leftover_pairs(stage(relabelled(rows, first))), sets)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, th, key, n_shingles) for each row, and (key, root), the least (doc_id, th) of each class's component."""
     rows = stage(sketches(docs))
     with_set = rows.filter("key is not null and doc_id is not null")
-    classes = stage(with_set.groupBy("key").agg(F.min("doc_id").alias("id"), F.min_by("bands", "doc_id").alias("bands"), F.first("n_shingles").alias("n")))
+    one = F.min(F.struct("doc_id", "th", "rid"))
+    classes = with_set.groupBy("key").agg(one.alias("one"), F.min_by("bands", F.struct("doc_id", "th", "rid")).alias("bands"), F.first("n_shingles").alias("n"))
+    classes = stage(classes.select("key", F.col("one.rid").alias("id"), F.struct("one.doc_id", "one.th").alias("own"), "bands", "n"))
     single = classes.select("id", "n", F.explode("bands").alias("bucket"))
     buckets = stage(single.join(single.groupBy("bucket").count().filter("count > 1").select("bucket"), "bucket"))
     pairs = stage(star_pairs(buckets))
-    kind = docs.schema["doc_id"].dataType.simpleString()
     # Sorted and merged at any size: the same plan for a small corpus as for a large one.
-    wanted = buckets.select("id").distinct().hint("merge")
-    source = docs.select(F.col("doc_id").alias("id"), text_or_empty().alias("text")).join(wanted, "id", "left_semi")
-    sets = stage(source.mapInArrow(_sets, f"id {kind}, shingles binary").dropDuplicates(["id"]))
-    links = stage(confirmed(pairs, sets))
-    labels = stage(components(links))
-    more = stage(confirmed(leftover_pairs(buckets, labels, sets), sets))
-    if not more.isEmpty():
-        labels = stage(components(links.unionByName(more)))
-    ids = classes.select("key", "id").join(labels, "id", "left").select("key", F.coalesce("component", "id").alias("component_id"))
-    out = rows.select("doc_id", "key", "n_shingles").join(ids, "key", "left")
-    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    wanted = classes.select("id", "own.doc_id", "own.th").join(buckets.select("id").distinct(), "id").hint("merge")
+    sets = stage(_hashed(docs).join(wanted, ["doc_id", "th"]).select("id", "text").mapInArrow(_sets, "id long, shingles binary").dropDuplicates(["id"]))
+    labels = stage(components(stage(confirmed(pairs, sets))))
+    labelled = classes.select("key", "id", "own").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    labelled = stage(relabelled(labelled, leftover_links(buckets, labels, sets)).select("key", "component", "own"))
+    roots = labelled.groupBy("component").agg(F.min("own").alias("root"))
+    return rows.select("doc_id", "th", "key", "n_shingles"), labelled.join(roots, "component").select("key", "root")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of ``docs``."""
+    rows, roots = grouped(docs)
+    out = rows.join(roots, "key", "left")
+    own = F.when(F.col("doc_id").isNotNull(), F.coalesce("root.doc_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each component: that with the smallest doc_id. Rows without a doc_id stay."""
-    kept = near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    """``docs`` with one row of each component: that with the least doc_id and, of several texts of it, the least hash.
+
+    Rows without a set stay, one for each (doc_id, text); rows without a doc_id stay all.
+    """
+    rows, roots = grouped(docs)
+    alone = rows.filter("key is null and doc_id is not null").select("doc_id", "th")
+    kept = roots.select("root.doc_id", "root.th").unionByName(alone).distinct().withColumnsRenamed({"doc_id": "_d", "th": "_t"})
+    hashed = docs.filter("doc_id is not null").withColumn("_th", F.xxhash64(text_or_empty()))
+    found = hashed.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
+    return found.dropDuplicates(["doc_id", "_th"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))

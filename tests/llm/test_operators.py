@@ -6,12 +6,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from compare import assert_same, connection
+from symlattice.llm import imatch, pretokens
 from symlattice.llm import queries as Q
 from symlattice.llm.bestfit_pack import best_fit_runs
-from symlattice.llm.near_dup import near_duplicates
+from symlattice.llm.near_dup import keep_one_of_each, near_duplicates
 from symlattice.llm.secret_scan import trigram_query
 from symlattice.llm.style_tree import Page
 
@@ -108,6 +110,19 @@ def test_quality_keeps_clean_documents(spark):
             assert r.kept == (good[r.doc_id] == 1)
 
 
+@pytest.mark.parametrize("first", range(0, 0x3400, 0x400))
+def test_ids_of_every_code_point(first):
+    tok = pretokens.tokenizer()
+    for frame in ("a{}b", "{}", "9{}'s {}A"):
+        texts = [frame.replace("{}", chr(c)) for c in range(first, first + 0x400)]
+        coded, at = pretokens.Coded(pa.array(texts)), 0
+        for i, (text, n) in enumerate(zip(texts, coded.per_text)):
+            fast = [p for k in coded.codes[at : at + n] for p in pretokens.SPLIT.findall(coded.words[k])]
+            at += n
+            found = pretokens.odd_pretokens(text, tok) if coded.odd[i] else fast
+            assert [x for p in found for x in pretokens.piece_ids(p, tok)] == tok.encode(text, add_special_tokens=False).ids, hex(first + i)
+
+
 def test_packing(spark, ids):
     places, seen = {}, {}
     for r in Q.op8_bestfit_packing(spark, SF).collect():
@@ -144,6 +159,25 @@ def test_packing_is_best_fit_decreasing():
 
 
 def test_fingerprints(spark, docs):
+    frame = Q.table(spark, SF, "documents").select("doc_id", "text")
+    codes = {}
+    for r in imatch.lexicon(frame).collect():
+        codes.setdefault(r.term, set()).add(r.code)
+    words = lambda s: {w for w in re.split(r"[\x20\x09-\x0D]+", s.lower()) if w}
+    df = Counter(w for s in docs.values() for w in words(s))
+    assert set(codes) == {w for w, k in df.items() if k >= 2 and imatch.LEAST * len(docs) <= k <= max(2, imatch.MOST * len(docs))}
+    subsets = {w: {c >> imatch.CODE for c in x} for w, x in codes.items()}
+    assert all(sum(k < imatch.EVEN for k in x) == 1 and all(k < imatch.SUBSETS for k in x) for x in subsets.values())
+
+    def cut(s):
+        """A text's terms in each subset; all its terms in each without any of the lexicon."""
+        found = words(s) & set(codes)
+        return [frozenset(w for w in found if k in subsets[w]) if found else frozenset(words(s) | {""}) for k in range(imatch.SUBSETS)]
+
+    def alike(a, b):
+        used = sum(bool(x or y) for x, y in zip(a, b))
+        return round(sum(x == y and bool(x) for x, y in zip(a, b)) / max(1, used), 6)
+
     order = sorted(docs, reverse=True)
     after = dict(zip(order, order[1:] + order[:1]))
     rows = {r.doc_id: r for r in Q.op9_imatch(spark, SF).collect()}
@@ -154,11 +188,21 @@ def test_fingerprints(spark, docs):
         edited = s[: len(s) - half] + docs[after[k]][:half]
         assert r.n_chars == len(s) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert by_text.setdefault(s, r.fingerprint) == r.fingerprint
-        assert 0 <= r.near_next <= 1 and 0 <= r.near_edited <= 1
-        if r.fingerprint == rows[after[k]].fingerprint:
-            assert r.near_next == 1
-        if r.fingerprint == r.edited_fingerprint:
-            assert r.near_edited == 1
+        assert r.near_edited == pytest.approx(alike(cut(s), cut(edited)), abs=1e-6)
+        assert r.near_next == pytest.approx(alike(cut(s), cut(docs[after[k]])), abs=1e-6)
+    assert len({r.fingerprint for r in rows.values()}) == len({tuple(cut(s)) for s in docs.values()})
+
+
+def test_ring_of_repeated_ids(spark):
+    """Repeated rows share a place; other texts of one id have places of their own; one place follows itself."""
+    rows = [(1, "aa bb"), (1, "aa bb"), (2, "cc dd"), (2, "ee ff"), (None, "gg hh"), (None, "gg hh")]
+    got = imatch.imatch_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0) for r in got) == [0, 0, 1, 1, 2, 2]
+    assert len({r.edited_sha256 for r in got if r.doc_id == 1}) == 1
+    assert {r.edited_sha256 for r in got if r.doc_id is None} == {hashlib.sha256(b"gg ").hexdigest()}
+    assert all(r.near_next == 0 for r in got)
+    alone = imatch.imatch_report(spark.createDataFrame([(7, "aa bb")], "doc_id long, text string")).collect()
+    assert alone[0].near_next == 1 and alone[0].edited_sha256 == hashlib.sha256(b"aa aa").hexdigest()
 
 
 def brute_components(docs):
@@ -199,3 +243,25 @@ def test_links_that_stars_miss(spark):
     df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
     assert got == brute_components(docs)
+
+
+def test_links_across_sizes(spark):
+    """Texts that grow out of each other, so that links have sets of unlike sizes, among copies that share most shingles."""
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    docs = {}
+    for k in range(120):
+        words = base[: int(rng.integers(95, 121))] + [f"y{k}_{i}" for i in range(int(rng.integers(0, 12)))]
+        words[int(rng.integers(0, 90))] = f"x{k % 9}"
+        docs[k] = " ".join(words)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df).collect()}
+    assert got == brute_components(docs)
+
+
+def test_one_of_each_loses_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    rows = [(1, a, 0), (1, b, 1), (2, b, 2), (3, a, 3), (4, "", 4), (4, None, 4), (5, None, 5), (None, a, 6), (None, a, 6), (1, a, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    got = sorted(((r.doc_id or 0), r.text or "") for r in keep_one_of_each(df).collect())
+    assert got == sorted([(0, a), (0, a), (1, a), (1, b), (4, ""), (5, "")])
