@@ -53,16 +53,34 @@ def pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+#: Positions that are named at a time: what stands between texts and names stays in a core's cache.
+CHUNK = 1 << 17
+
+
 def first_names(data: np.ndarray) -> np.ndarray:
     """The name of the FIRST bytes from each position on; beyond the end stand zeros."""
     n = len(data)
-    padded = np.zeros(n + 40, np.uint8)
+    padded, names = np.zeros(n + 40, np.uint8), np.empty(n, np.uint64)
     padded[:n] = data
-    words = np.empty(n + 24, np.uint64)
-    for k in range(8):
-        size = (len(words) - k + 7) // 8
-        words[k::8] = np.frombuffer(padded[k : k + 8 * size].tobytes(), "<u8")
-    return pair(pair(words[:n], words[8 : n + 8]), words[16 : n + 16])
+    for a in range(0, n, CHUNK):
+        k = min(CHUNK, n - a)
+        words = np.empty(k + 24, np.uint64)
+        for i in range(8):
+            size = (len(words) - i + 7) // 8
+            words[i::8] = np.frombuffer(padded[a + i : a + i + 8 * size].tobytes().ljust(8 * size, b"\0"), "<u8")
+        names[a : a + k] = pair(pair(words[:k], words[8 : k + 8]), words[16 : k + 16])
+    return names
+
+
+def least_names(names: np.ndarray, width: int) -> np.ndarray:
+    """The least of each ``width`` names in a row."""
+    out = np.empty(len(names) - width + 1, np.uint64)
+    for a in range(0, len(out), CHUNK):
+        m, j = names[a : a + CHUNK + width - 1], 1
+        while 2 * j <= width:
+            m, j = np.minimum(m[:-j], m[j:]), 2 * j
+        out[a : a + CHUNK] = np.minimum(m[: len(m) - (width - j)], m[width - j :])
+    return out
 
 
 class Runs:
@@ -78,10 +96,7 @@ class Runs:
         self.first_run = np.zeros(len(texts) + 1, np.int64)
         if n < LENGTH:
             return
-        w, m, j = LENGTH - FIRST + 1, self.names, 1
-        while 2 * j <= w:
-            m, j = np.minimum(m[:-j], m[j:]), 2 * j
-        m = np.minimum(m[: len(m) - (w - j)], m[w - j :])
+        m = least_names(self.names, LENGTH - FIRST + 1)
         inside = np.zeros(n + 1, np.int8)
         long = size >= LENGTH
         np.add.at(inside, self.starts[long], 1)
@@ -147,16 +162,14 @@ def _name_groups(groups: int):
             blk = int(row_ids(seen, 1)[0])
             seen += 1
             out = {"grp": [], "names": [], "index": [], "first": [], "settled": [], "ids": [], "th": []}
-            for g in range(groups):
-                v = values[cuts[g] : cuts[g + 1]]
-                if len(v) or g == home:
-                    out["grp"].append(g)
-                    out["names"].append(_planes(np.diff(v, prepend=np.uint64(0))))
-                    out["index"].append(_planes(index[cuts[g] : cuts[g + 1]]))
-                    out["first"].append(_planes(runs.first_run.astype(np.uint32)) if g == home else b"")
-                    out["settled"].append(_planes(settled.astype(np.uint32)) if g == home else b"")
-                    out["ids"].append(table["doc_id"].chunk(0).to_pylist() if g == home else [])
-                    out["th"].append(table["th"].chunk(0).to_pylist() if g == home else [])
+            for g in np.union1d(np.flatnonzero(np.diff(cuts)), home).tolist():
+                out["grp"].append(g)
+                out["names"].append(_planes(np.diff(values[cuts[g] : cuts[g + 1]], prepend=np.uint64(0))))
+                out["index"].append(_planes(index[cuts[g] : cuts[g + 1]]))
+                out["first"].append(_planes(runs.first_run.astype(np.uint32)) if g == home else b"")
+                out["settled"].append(_planes(settled.astype(np.uint32)) if g == home else b"")
+                out["ids"].append(table["doc_id"].chunk(0).to_pylist() if g == home else [])
+                out["th"].append(table["th"].chunk(0).to_pylist() if g == home else [])
             yield pa.RecordBatch.from_pydict(
                 {"grp": pa.array(out["grp"], pa.int32()), "blk": pa.array([blk] * len(out["grp"]), pa.int64())} | {k: pa.array(out[k], pa.binary()) for k in ("names", "index", "first", "settled")}
                 | {"ids": pa.array(out["ids"], pa.list_(table["doc_id"].type)), "th": pa.array(out["th"], pa.list_(pa.int64()))}
@@ -233,7 +246,7 @@ def shared(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
 
 def double(names: np.ndarray, at: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Which of the positions ``at`` start a LENGTH-byte string that a smaller document has, by doubling their prefixes."""
-    left, length, rank = np.arange(len(at)), FIRST, names[at]
+    left, length, rank = np.arange(len(at), dtype=np.int32), FIRST, names[at]
     while length < LENGTH and len(left):
         offset = min(length, LENGTH - length)
         # The second of a pair is the first rank that ends where the longer prefix ends.
