@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 VOCABULARY = "word_bpe_49k.json"
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 #: Characters for which lower-casing, NFC, white space and the letter and number classes are the same in every library.
-PLAIN = "\\x{09}-\\x{0d}\\x{20}-\\x{7e}\\x{a1}-\\x{12f}\\x{131}-\\x{2ff}\\x{2010}-\\x{2027}\\x{20ac}"
+PLAIN = "\\x{09}-\\x{0d}\\x{20}-\\x{7e}\\x{a1}-\\x{12f}\\x{131}-\\x{239}\\x{23b}-\\x{23d}\\x{23f}-\\x{2ff}\\x{2010}-\\x{2027}\\x{20ac}"
 ODD = f"[^{PLAIN}]|<\\|"
 
 
@@ -52,8 +52,11 @@ def tokenizer(name: str = VOCABULARY):
     return _TOKENIZER[name]
 
 
+_OWN = re.compile("[!-~]*")
+
+
 def mapped(pre: str) -> str:
-    return pre if pre.isascii() else "".join(map(_CHARS.__getitem__, pre.encode()))
+    return pre if _OWN.fullmatch(pre) else "".join(map(_CHARS.__getitem__, pre.encode()))
 
 
 def unmapped(chars: str) -> str:
