@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared checkpoint folder; a local one of our own only where the session names none."""
+    """``df`` written to the shared checkpoint folder; a local one of our own only on a local master without one."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()

@@ -74,17 +74,39 @@ def import_directory(path: Column, module: Column) -> Column:
 
 
 def signature_arity(signature: Column) -> Column:
-    """struct(params, results) of a flat signature ``(a, b) r`` or ``(a) (r, s)``: commas outside nested brackets count."""
-    depth0 = signature
-    for _ in range(4):  # nested brackets inside the outermost ones, inside out
-        depth0 = F.regexp_replace(depth0, "(?<=[(,].{0,400})[\\[{][^\\[\\]{}()]*[\\]}]", "x")
-    inner = F.regexp_replace(depth0, "(?<=\\([^()]{0,400})\\([^()]*\\)", "x")
-    params = F.regexp_extract(inner, "^\\(([^()]*)\\)", 1)
-    rest = F.trim(F.regexp_replace(inner, "^\\([^()]*\\)", ""))
-    listed = F.regexp_extract(rest, "^\\(([^()]*)\\)", 1)
-    count = lambda c: F.when(F.trim(c) == "", 0).otherwise(F.size(F.split(c, ",")))
-    results = F.when(rest == "", 0).when(F.startswith(rest, F.lit("(")), count(listed)).otherwise(1)
-    return F.struct(count(params).alias("n_params"), results.alias("n_results"))
+    """struct(n_params, n_results) of ``(a, b) r`` or ``(a) (r, s)``, by one walk over the characters.
+
+    Commas count inside the first brackets, and inside the second if nothing stands between, at no deeper nesting; anything
+    else behind the first ones is one result.
+    """
+    # group: 1 and 2 for the two lists, 0 elsewhere; said: whether the list says anything; tail: something stands outside.
+    names = ("depth", "groups", "group", "commas1", "said1", "commas2", "said2", "tail")
+    start = F.struct(*[F.lit(0).alias(n) for n in names])
+
+    def step(s: Column, ch: Column) -> Column:
+        opens, shuts = ch.isin("(", "[", "{"), ch.isin(")", "]", "}")
+        outside, blank = s["depth"] == 0, F.trim(ch) == ""
+        lists = outside & (ch == "(") & (s["tail"] == 0) & (s["groups"] < 2)
+        top, flag = s["depth"] == 1, lambda c: c.cast("int")
+
+        def inside(k: int) -> tuple[Column, Column]:
+            here = s["group"] == k
+            comma = here & top & (ch == ",")
+            says = here & ~outside & ~blank & ~(top & shuts)
+            return s[f"commas{k}"] + flag(comma), F.greatest(s[f"said{k}"], flag(says))
+
+        (c1, s1), (c2, s2) = inside(1), inside(2)
+        depth = s["depth"] + flag(opens) - flag(shuts & ~outside)
+        group = F.when(lists, s["groups"] + 1).when(outside, 0).otherwise(s["group"])
+        tail = F.greatest(s["tail"], flag(outside & ~blank & ~lists & (s["groups"] > 0)))
+        values = (depth, s["groups"] + flag(lists), group, c1, s1, c2, s2, tail)
+        return F.struct(*[v.alias(n) for n, v in zip(names, values)])
+
+    def count(s: Column) -> Column:
+        results = F.when(s["groups"] == 2, F.when(s["said2"] == 1, s["commas2"] + 1).otherwise(0)).otherwise(s["tail"])
+        return F.struct(F.when(s["said1"] == 1, s["commas1"] + 1).otherwise(0).alias("n_params"), results.alias("n_results"))
+
+    return F.aggregate(F.split(signature, ""), start, step, count)
 
 
 def approximate_tokens(text: Column) -> Column:

@@ -17,11 +17,11 @@ HOPS = 8
 def assign_ids(symbols: DataFrame, order: list[str]) -> DataFrame:
     """``symbols`` (file and more) with dense ids: files in the order of their paths, symbols by ``order`` within them.
 
-    Files are counted first, so only a row for each file stands in the running sum, never all symbols.
+    Files are counted first and dealt in ranges of their paths. Running sums are taken within each range, and over a row
+    for each range, so no task sees all files.
     """
     files = symbols.groupBy("file").agg(F.count("*").alias("n"))
-    # Directories narrow the running sum once more: a window over directories, then one within each.
-    placed = files.withColumn("d", F.substring("file", 1, 2))
+    placed = cut(files.repartitionByRange("file").withColumn("d", F.spark_partition_id()))
     dirs = placed.groupBy("d").agg(F.sum("n").alias("dn"))
     dirs = dirs.withColumn("dbase", F.sum("dn").over(W.orderBy("d")) - F.col("dn")).drop("dn")
     based = placed.join(dirs, "d").withColumn("base", F.col("dbase") + F.sum("n").over(W.partitionBy("d").orderBy("file")) - F.col("n"))
@@ -44,7 +44,7 @@ def resolve_refs(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> Dat
 
     A qualified name is looked up in its import's directory only, others in their own; a declared symbol comes before a
     method that is the only one of its name. ``imports`` has (file, alias, dir). What resolves to nothing or to its owner
-    is dropped; edges are not made distinct.
+    is dropped; edges are not made distinct. An ``at``, the reference's place in its file, stays with its edge.
     """
     own = directory(F.col("file"))
     named = refs.join(imports.select("file", F.col("alias").alias("pkg"), F.col("dir").alias("target")), ["file", "pkg"], "left")
@@ -52,7 +52,7 @@ def resolve_refs(refs: DataFrame, imports: DataFrame, symbols: DataFrame) -> Dat
     top = last_declared(symbols).withColumnRenamed("id", "top_id")
     alone = unique_methods(symbols).withColumnRenamed("id", "method_id")
     found = placed.join(top, ["dir", "name"], "left").join(alone, ["dir", "name"], "left").withColumn("to_id", F.coalesce("top_id", "method_id"))
-    return found.filter("to_id is not null and to_id <> owner_id").select(F.col("owner_id").alias("from_id"), "to_id", "kind", F.concat_ws(":", "file", F.col("line").cast("string")).alias("site"))
+    return found.filter("to_id is not null and to_id <> owner_id").select(F.col("owner_id").alias("from_id"), "to_id", "kind", F.concat_ws(":", "file", F.col("line").cast("string")).alias("site"), *[c for c in ("at",) if c in refs.columns])
 
 
 def closure(pairs: DataFrame, hops: int = HOPS) -> DataFrame:

@@ -25,7 +25,8 @@ def discover(edges: DataFrame, start: int, depth: int, direction: str = OUT, kin
         steps.append(calls.select(F.col("from_id").alias("cur"), F.col("to_id").alias("nxt"), "edge_id", "from_id", "to_id"))
     if direction in (IN, BOTH):
         steps.append(calls.select(F.col("to_id").alias("cur"), F.col("from_id").alias("nxt"), "edge_id", "from_id", "to_id"))
-    step = steps[0].unionByName(steps[1]) if len(steps) > 1 else steps[0]
+    # Every level reads the steps, so what the edges are made of runs once.
+    step = cut((steps[0].unionByName(steps[1]) if len(steps) > 1 else steps[0]).repartition("cur"))
     visited = spark.createDataFrame([(start,)], "nxt long")
     front = spark.createDataFrame([(start, [])], "cur long, path array<long>")
     levels = []

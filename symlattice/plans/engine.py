@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut
@@ -11,6 +12,8 @@ from ..operators import fts, graph, lexical, lookup, semantic, traverse
 from ..sources import project, symbols
 
 TABLES = ("file_graphs", "fingerprints", "nodes", "edges")
+#: Bits of an edge's id for the reference's place in its file.
+PLACES = 24
 COLUMNS = ["name", "receiver", "signature", "doc", "file"]
 #: (default, most) of depth and of rows for each question.
 LIMITS = {"search": (None, (5, 10)), "callers": ((1, 3), (20, 50)), "callees": ((1, 3), (20, 50)), "trace": ((3, 5), (40, 100)), "impact": ((2, 5), (40, 100))}
@@ -39,8 +42,11 @@ def build(graphs: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
     sets = graph.method_sets(last, methods, embeds).join(methods.select("method_id", "name", "a", "site"), "method_id").select("dir", "type", "name", F.col("a.n_params").alias("n_params"), F.col("a.n_results").alias("n_results"), "method_id", "site")
     own = methods.join(last.filter(F.col("kind") == graph.INTERFACE).select("dir", F.col("type").alias("receiver")), ["dir", "receiver"]).select("dir", F.col("receiver").alias("type"), "name", F.col("a.n_params").alias("n_params"), F.col("a.n_results").alias("n_results"), "method_id", "site")
     impls = graph.implementation_edges(own, sets).select("from_id", "to_id", F.lit(graph.IMPL).alias("kind"), "site")
-    every = calls.unionByName(impls)
-    return nodes.drop("ordinal"), every.withColumn("edge_id", F.xxhash64("from_id", "to_id", "kind", "site").bitwiseAND(F.lit((1 << 62) - 1)))
+    impls = impls.withColumn("at", F.row_number().over(W.partitionBy("from_id").orderBy("to_id", "site")) - 1)
+    # Edges stand in the order of their symbols and, for each, of its references; those that implement come last.
+    place = F.shiftleft(F.col("from_id"), PLACES).bitwiseOR(F.col("at").cast("long"))
+    every = calls.unionByName(impls).withColumn("edge_id", F.when(F.col("kind") == graph.IMPL, place.bitwiseOR(F.lit(1 << 62))).otherwise(place))
+    return nodes.drop("ordinal"), every.drop("at")
 
 
 class Engine:
@@ -138,5 +144,5 @@ class Engine:
         at = self._id(symbol)
         nodes, edges = self.read("nodes"), self.read("edges")
         own = nodes.filter(F.col("id") == at)
-        files = project.scan(self.spark, self.root).select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+        files = project.scan(self.spark, self.root).join(own.select(F.col("file").alias("path")), "path", "left_semi").select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
         return {"node": own, "edges": lookup.edges_of(edges, at).join(edges, "edge_id"), "source": lookup.source_window(files, own.select("id", "file", "line")).orderBy("num"), "blast": traverse.discover(edges, at, 2)}

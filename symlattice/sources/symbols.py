@@ -8,12 +8,17 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+from ..functions.text import clean_signature, first_doc_line
+
 NODE = "struct<line:int,kind:int,name:string,receiver:string,signature:string,doc:string,embeds:array<string>>"
 REFERENCE = "struct<kind:int,pkg:string,name:string,line:int,owner:int>"
 SCHEMA = f"path string, nodes array<{NODE}>, refs array<{REFERENCE}>, imports map<string,string>"
@@ -25,9 +30,9 @@ _SILENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n
 _HASHED = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 _KEYWORDS = frozenset("if for while switch catch return new throw else do case func function def class interface struct enum trait impl match when try using lock sizeof typeof defer go select range make len cap append panic super this self not and or in is until unless end begin".split())
 _GO = re.compile(rf"^func\s+(?:\(\s*(?:{_WORD}\s+)?\*?(?P<recv>{_WORD})[^)]*\)\s*)?(?P<func>{_WORD})(?P<sig>[^{{\n]*)|^type\s+(?P<type>{_WORD})(?:\[[^\]]*\])?\s+(?P<what>struct|interface)?|^\s*(?P<vc>var|const)\s+(?P<name>{_WORD})", re.M)
-_KINDS = {"class": TYPE, "interface": INTERFACE, "struct": STRUCT, "enum": TYPE, "trait": INTERFACE, "object": TYPE, "module": TYPE, "mixin": TYPE, "record": TYPE, "protocol": INTERFACE}
+_KINDS = {"class": STRUCT, "interface": INTERFACE, "struct": STRUCT, "union": STRUCT, "enum": TYPE, "trait": INTERFACE, "object": TYPE, "module": TYPE, "mixin": TYPE, "record": STRUCT}
 _BRACED = re.compile(
-    rf"\b(?P<kind>class|interface|struct|enum|trait|object|mixin|record)\s+(?P<type>{_WORD})|\bimpl\b[^{{;]*?(?P<impl>{_WORD})\s*(?:<[^{{]*>)?\s*\{{"
+    rf"\b(?P<kind>class|interface|struct|union|enum|trait|object|mixin|record)\s+(?P<type>{_WORD})|\bimpl\b[^{{;]*?(?P<impl>{_WORD})\s*(?:<[^{{]*>)?\s*\{{"
     rf"|\b(?:fn|fun|func|function|def)\s+(?P<func>{_WORD})(?P<fsig>\s*(?:<[^>(]*>)?\([^)]*\)[^{{;=\n]*)|(?P<call>{_WORD})(?P<csig>\s*\([^()]*\)[^{{;}}()=]*)(?=\{{)"
     rf"|\b(?P<vc>const|let|var|val)\s+(?P<name>{_WORD})|(?P<open>\{{)|(?P<shut>\}})"
 )
@@ -38,13 +43,18 @@ def _blank(pattern: re.Pattern, source: str) -> str:
     return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
 
 
+@lru_cache(maxsize=2)
+def _ends(source: str) -> list[int]:
+    return [m.start() for m in re.finditer("\n", source)]
+
+
 def _line(source: str, at: int) -> int:
-    return source.count("\n", 0, at) + 1
+    return bisect_left(_ends(source), at) + 1
 
 
 def _doc(lines: list[str], line: int) -> str:
     above = lines[line - 2].strip() if line > 1 else ""
-    return above.lstrip("/#* \t")[:160] if above.startswith(("//", "#", "/*", "*")) else ""
+    return above if above.startswith(("//", "#", "/*", "*")) else ""
 
 
 def _node(line: int, kind: int, name: str, receiver: str = "", signature: str = "", doc: str = "", embeds: list[str] | None = None) -> dict:
@@ -76,6 +86,45 @@ def _closing(source: str, at: int) -> int:
     return len(source)
 
 
+class _Entry:
+    """An entry of a grouped Go declaration, as a match of ``_GO`` would show it."""
+
+    def __init__(self, at: int, end: int, **groups: str) -> None:
+        self.at, self.ends, self.groups = at, end, groups
+
+    def start(self) -> int:
+        return self.at
+
+    def end(self) -> int:
+        return self.ends
+
+    def groupdict(self) -> dict[str, str | None]:
+        return dict.fromkeys(("func", "recv", "sig", "type", "what", "vc", "name")) | self.groups
+
+
+_ENTRIES = ("in var", "in const")
+_GROUP = re.compile(r"^(const|var|type)\s*\(", re.M)
+_NAMES = re.compile(rf"[ \t]*({_WORD}(?:[ \t]*,[ \t]*{_WORD})*)")
+_TYPE = re.compile(rf"[ \t]*({_WORD})(?:\[[^\]\n]*\])?[ \t]+(?:=[ \t]*)?(struct|interface)?")
+
+
+def _grouped(quiet: str) -> Iterator[_Entry]:
+    """The entries of ``const (``, ``var (`` and ``type (``: lines that begin at no deeper nesting."""
+    for g in _GROUP.finditer(quiet):
+        depth, at = 1, g.end()
+        while depth and at < len(quiet):
+            stop = quiet.find("\n", at)
+            stop = len(quiet) if stop < 0 else stop
+            if depth == 1 and (m := (_TYPE if g[1] == "type" else _NAMES).match(quiet, at, stop)):
+                named = {"type": m[1], "what": m[2]} if g[1] == "type" else {"vc": f"in {g[1]}", "name": m[1]}
+                yield _Entry(m.start(1), m.end(), **named)
+            for c in re.finditer(r"[(\[{]|[)\]}]", quiet[at:stop]):
+                depth += 1 if c[0] in "([{" else -1
+                if not depth:
+                    break
+            at = stop + 1
+
+
 def parse_go(source: str) -> tuple[list, list, dict]:
     lines, quiet = source.split("\n"), _blank(_SILENT, source)
     imports = {}
@@ -84,15 +133,15 @@ def parse_go(source: str) -> tuple[list, list, dict]:
             if alias not in (".", "_"):
                 imports[alias or path.rpartition("/")[2]] = path
     nodes, refs = [], []
-    for m in _GO.finditer(quiet):
-        line, owner = _line(quiet, m.start()), len(nodes)
+    for at, end, m in sorted(((m.start(), m.end(), m.groupdict()) for m in [*_GO.finditer(quiet), *_grouped(quiet)]), key=lambda x: x[0]):
+        line, owner = _line(quiet, at), len(nodes)
         if m["func"]:
             nodes.append(_node(line, METHOD if m["recv"] else FUNC, m["func"], m["recv"] or "", m["sig"], _doc(lines, line)))
-            brace = quiet.find("{", m.end())
-            if brace >= 0 and not quiet[m.end() : brace].strip():
+            brace = quiet.find("{", end)
+            if brace >= 0 and not quiet[end:brace].strip():
                 refs += _mentions(quiet, (brace, _closing(quiet, brace)), owner, imports, True)
         elif m["type"]:
-            brace = quiet.find("{", m.end()) if m["what"] else -1
+            brace = quiet.find("{", end) if m["what"] else -1
             inside = quiet[brace + 1 : _closing(quiet, brace)] if brace >= 0 else ""
             embeds = re.findall(rf"^[ \t]*\*?({_WORD}(?:\.{_WORD})?)[ \t]*$", inside, re.M)
             nodes.append(_node(line, {"struct": STRUCT, "interface": INTERFACE, None: TYPE}[m["what"]], m["type"], doc=_doc(lines, line), embeds=embeds))
@@ -100,8 +149,10 @@ def parse_go(source: str) -> tuple[list, list, dict]:
             if m["what"] == "interface":
                 for f in re.finditer(rf"^[ \t]*({_WORD})(\([^\n]*)$", inside, re.M):
                     nodes.append(_node(line + inside.count("\n", 0, f.start(1)), METHOD, f[1], m["type"], f[2]))
-        elif not lines[line - 1].startswith((" ", "\t")):
+        elif m["vc"] in ("var", "const") and not lines[line - 1].startswith((" ", "\t")):
             nodes.append(_node(line, VAR if m["vc"] == "var" else CONST, m["name"]))
+        elif m["vc"] in _ENTRIES:
+            nodes += [_node(line, VAR if m["vc"] == "in var" else CONST, n) for n in re.findall(_WORD, m["name"])]
     return nodes, refs, imports
 
 
@@ -118,9 +169,9 @@ def parse_python(source: str) -> tuple[list, list, dict]:
                 inner = ""
             elif isinstance(x, ast.ClassDef):
                 mine, inner = len(nodes), x.name
-                nodes.append(_node(x.lineno, TYPE, x.name))
-            elif isinstance(x, ast.Assign):
-                for t in x.targets:
+                nodes.append(_node(x.lineno, STRUCT, x.name))
+            elif isinstance(x, (ast.Assign, ast.AnnAssign)):
+                for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
                     if isinstance(t, ast.Name):
                         nodes.append(_node(x.lineno, VAR, t.id))
             elif isinstance(x, ast.Call):
@@ -172,7 +223,7 @@ def parse_ruby(source: str) -> tuple[list, list, dict]:
         if text.strip() == "end":
             holders = [h for h in holders if h[0] < indent]
         elif m := re.match(rf"\s*(class|module)\s+({_WORD})", text):
-            nodes.append(_node(i, TYPE, m[2], doc=_doc(lines, i)))
+            nodes.append(_node(i, STRUCT if m[1] == "class" else TYPE, m[2], doc=_doc(lines, i)))
             holders.append((indent, m[2], -1))
         elif m := re.match(rf"\s*def\s+(?:self\.)?({_WORD}[?!]?)(.*)", text):
             holder = next((h[1] for h in reversed(holders) if h[1]), "")
@@ -201,12 +252,14 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def file_graphs(files: DataFrame) -> DataFrame:
     """(path, nodes, refs, imports) for each of ``files`` (path, content) that can be parsed."""
+    ship(files.sparkSession)
     return files.select("path", "content").mapInPandas(_parse, SCHEMA)
 
 
 def exploded(graphs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Symbols (file, ordinal, ...), references (file, owner, ...) and imports (file, alias, path)."""
     nodes = graphs.select(F.col("path").alias("file"), F.posexplode("nodes").alias("ordinal", "x")).select("file", "ordinal", "x.*")
+    nodes = nodes.withColumns({"signature": clean_signature(F.col("signature")), "doc": first_doc_line(F.col("doc"))})
     refs = graphs.select(F.col("path").alias("file"), F.posexplode("refs").alias("at", "x")).select("file", "at", "x.*")
     imports = graphs.select(F.col("path").alias("file"), F.explode("imports").alias("alias", "path"))
     return nodes, refs, imports

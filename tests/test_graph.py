@@ -112,6 +112,34 @@ def test_languages(spark):
         assert "helper" in {x.name for x in r.refs}, r.path
 
 
+def test_grouped_declarations():
+    source = "package p\n\nconst (\n\tA = iota\n\tB\n\tx, y = 1, f(\n\t\t2)\n)\n\nvar (\n\tm = map[string]int{\n\t\t\"k\": 1,\n\t}\n)\n\ntype (\n\t// T is one.\n\tT struct {\n\t\tBase\n\t\tn int\n\t}\n\tI interface {\n\t\tDo(a int) error\n\t}\n\tF func(int) int\n)\n\nfunc G() { A() }\n"
+    nodes, _, _ = symbols.parse_go(source)
+    got = [(n["kind"], n["name"], n["receiver"], n["line"]) for n in nodes]
+    assert got == [(7, "A", "", 4), (7, "B", "", 5), (7, "x", "", 6), (7, "y", "", 6), (6, "m", "", 11), (5, "T", "", 18), (4, "I", "", 22), (2, "Do", "I", 23), (3, "F", "", 25), (1, "G", "", 28)]
+    assert next(n for n in nodes if n["name"] == "T")["embeds"] == ["Base"]
+
+
+def test_edges_have_ids_of_their_own(spark):
+    """Two calls on one line are two edges, in the order in which they stand."""
+    text = "package p\n\nfunc a() int { return c() + b() + c() }\n\nfunc b() int { return 1 }\n\nfunc c() int { return 2 }\n"
+    df = spark.createDataFrame([("p/x.go", bytearray(text, "utf-8"))], "path string, content binary")
+    nodes, edges = build(symbols.file_graphs(df), "m")
+    name = {r.id: r.name for r in nodes.collect()}
+    rows = sorted((r.edge_id, name[r.to_id]) for r in edges.filter("kind = 1").collect())
+    assert [n for _, n in rows] == ["c", "b", "c"] and len({k for k, _ in rows}) == 3
+
+
+def test_nested_signatures(spark):
+    want = {
+        "": (0, 0), "()": (0, 0), "() error": (0, 1), "(a, b int) (int, error)": (2, 2), "(m map[string]func(a, b int) (c, d int), n int) []string": (2, 1),
+        "(f func(func(func(a, b int)) (x, y int)), n int) func(a, b int) (int, error)": (2, 1), "(s struct{ a, b int }) (func(a, b int), map[k]v, error)": (1, 3), "(a int) ()": (1, 0),
+    }
+    df = spark.createDataFrame(list(enumerate(want)), "i int, s string")
+    got = {r.s: (r.x.n_params, r.x.n_results) for r in df.select("s", signature_arity(F.col("s")).alias("x")).collect()}
+    assert got == want
+
+
 def test_engine(spark, tree, tmp_path):
     e = Engine(spark, str(tree), str(tmp_path / "index"))
     with pytest.raises(LookupError):
