@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 #: Words are maximal runs of anything but these six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Rows in an Arrow batch: small, as a row may hold a very long text.
 BATCH_ROWS = 128
+#: Bytes after which a batch ends before it has so many rows.
+BATCH_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one of our own only where the session names none."""
+    """The folder that driver and executors share; a local one of our own only on a local master without one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and the executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -50,24 +54,11 @@ def unstage(df: DataFrame) -> None:
         at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for each Spark context, so that Python workers anywhere can import it."""
-    sc = spark.sparkContext
-    if getattr(sc, "_symlattice_shipped", False):
-        return
-    root = Path(__file__).resolve().parents[1]
-    at = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
-    with zipfile.ZipFile(at, "w") as z:
-        for f in sorted(root.rglob("*.py")):
-            z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(at))
-    sc._symlattice_shipped = True
-
-
 def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Ready the session for Python steps over long texts."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def blocks(batches: Iterable[pa.RecordBatch], target_bytes: int = 16 << 20) -> Iterator[pa.Table]:
