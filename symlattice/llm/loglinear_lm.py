@@ -31,16 +31,20 @@ from pyspark.sql import functions as F
 from .common import arrow_rows, blocks, frequent, row_ids, stage, text_or_empty
 
 FOLDS, HELD_OUT = 5, 1
-#: Words with vectors of their own: so many, or this times the root of the training tokens if that is more.
-MODEL_WORDS, PER_ROOT = 2000, 2
+#: Words with vectors of their own: so many, or this many times the root of the training tokens if that is more.
+MODEL_WORDS, PER_ROOT = 2000, 1
 #: A word has its own vectors if it occurs so often; words of a class share an ending of so many characters.
 LEAST_COUNT, ENDING = 3, 3
-DIM = 32
+DIM = 24
 ROUNDS = 2
-BATCH, NOISE, RATIO, RATE = 1024, 128, 16.0, 0.1
+BATCH, NOISE, GROUP_NOISE, RATIO, RATE = 1024, 96, 32, 16.0, 0.1
 HOT = 1 << 18
-BLOCK = 16 << 20
+BLOCK = 12 << 20
+#: Rows whose scores over a level fit a core's cache.
+ROWS = 1 << 11
 SLICE = 1 << 14
+#: Tasks whose changes are averaged first.
+TASKS = 256
 END = 0
 
 
@@ -64,8 +68,8 @@ class Block:
         self.codes, self.owner, self.n = codes, owner, len(per_text)
         self.per_text = np.bincount(owner, minlength=self.n)
 
-    def stream(self, ids: dict[str, int], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Each token's model id, the two before it and its text; every text ends with END and begins after two of them."""
+    def stream(self, ids: dict[str, int], classes: int) -> tuple[np.ndarray, ...]:
+        """Each token's model id, the two before it and its text; and each word's id. Every text ends with END and begins after two of them."""
         first = len(ids) + 1
         known = np.fromiter((ids.get(w) or word_class(w, first, classes) for w in self.words), np.int32, len(self.words))
         w = np.full(len(self.codes) + self.n, END, np.int32)
@@ -74,11 +78,11 @@ class Block:
         h1 = np.concatenate([[END], w[:-1]])[: len(w)].astype(np.int32)
         h2 = np.concatenate([[END, END], w[:-2]])[: len(w)].astype(np.int32)
         h2[starts] = END
-        return w, h1, h2, np.repeat(np.arange(self.n), self.per_text + 1)
+        return w, h1, h2, np.repeat(np.arange(self.n), self.per_text + 1), known
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for table in blocks(batches, 2 * BLOCK):
+    for table in blocks(batches, BLOCK):
         b = Block(table["text"].chunk(0))
         n = np.bincount(b.codes, minlength=len(b.words))
         yield pa.RecordBatch.from_pydict({"word": pa.array(b.words, pa.string()), "c": n}).filter(pa.array(n > 0))
@@ -107,35 +111,41 @@ class Model:
         return self.c[0] * self.q[h1] + self.c[1] * self.q[h2]
 
     @staticmethod
-    def _log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-        s -= s.max(1)[:, None]
-        own = s[np.arange(len(s)), at]
-        return own - np.log(np.exp(s, out=s).sum(1))
+    def _log_softmax(x: np.ndarray, vectors: np.ndarray, biases: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
+        """Add to ``out`` the log-probabilities of the outputs ``at`` of a level, a few rows at a time."""
+        for a in range(0, len(x), ROWS):
+            z = slice(a, a + ROWS)
+            s = x[z] @ vectors.T
+            s += biases
+            if s.max() > 60 or s.min() < -60:  # else no exponential leaves the range of its type
+                s -= s.max(1)[:, None]
+            own = s[np.arange(len(s)), at[z]]
+            out[z] += own - np.log(np.exp(s, out=s).sum(1))
 
     def log_probs(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Natural log-probabilities: that of a token's group and that of the token in it."""
-        out = np.empty(len(w))
-        for a in range(0, len(w), 1 << 15):
-            z = slice(a, a + (1 << 15))
+        out = np.empty(len(w), np.float32)
+        for a in range(0, len(w), 1 << 16):
+            z = slice(a, a + (1 << 16))
             order = np.argsort(w[z] // self.size, kind="stable")
             ww, x = w[z][order], self.contexts(h1[z][order], h2[z][order])
-            group = ww // self.size
-            got = self._log_softmax(x @ self.gr.T + self.gb, group)
-            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
+            group, got = ww // self.size, np.zeros(len(order), np.float32)
+            self._log_softmax(x, self.gr, self.gb, group, got)
+            cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
             for i, k in zip(cuts[:-1], cuts[1:]):
                 first = int(group[i]) * self.size
                 mine = slice(first, first + self.size)
-                got[i:k] += self._log_softmax(x[i:k] @ self.r[mine].T + self.b[mine], ww[i:k] - first)
+                self._log_softmax(x[i:k], self.r[mine], self.b[mine], ww[i:k] - first, got[i:k])
             out[a + order] = got
         return out
 
 
-def _spread(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct ids and the sums of their rows."""
+def _spread(ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
+    """Distinct ids and, for each of ``rows``, the sums of theirs."""
     order = np.argsort(ids, kind="stable")
     s = ids[order]
-    first = np.flatnonzero(np.diff(s, prepend=-1))
-    return s[first], np.add.reduceat(rows[order], first)
+    first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    return [s[first], *(np.add.reduceat(x.take(order, 0), first) for x in rows)]
 
 
 def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> int:
@@ -145,35 +155,50 @@ def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray,
     cumulative, of_groups = np.cumsum(unigram), np.add.reduceat(unigram, np.arange(0, model.words, model.size))
     log_noise, log_groups = np.log(RATIO * unigram).astype(np.float32), np.log(RATIO * of_groups).astype(np.float32)
 
-    def nce(rows: str, bias: str, x: np.ndarray, ww: np.ndarray, noise: np.ndarray, logs: np.ndarray):
-        """The gradient of the contexts, and what is to be stepped: ids with that of their vectors and biases."""
-        r, b = getattr(model, rows), getattr(model, bias)
-        rw, rn = r[ww], r[noise]
-        up = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", x, rw) + b[ww] - logs[ww], -30, 30)))
-        down = -(RATIO / NOISE) / (1 + np.exp(np.clip(-(x @ rn.T + b[noise] - logs[noise]), -30, 30)))
-        up, down = up.astype(np.float32), down.astype(np.float32)
-        ids, found = _spread(np.concatenate([ww, noise]), np.concatenate([np.column_stack([up[:, None] * x, up]), np.column_stack([down.T @ x, down.sum(0)])]))
-        return up[:, None] * rw + down @ rn, (rows, ids, found[:, :-1]), (bias, ids, found[:, -1])
-
     def step(name: str, ids, grad: np.ndarray) -> None:
         p, g2 = getattr(model, name), getattr(power, name)
-        g2[ids] += grad * grad
-        p[ids] += RATE * grad / np.sqrt(g2[ids])
+        total = grad * grad
+        total += g2[ids]
+        g2[ids] = total
+        np.sqrt(total, out=total)
+        np.divide(grad, total, out=total)
+        total *= np.float32(RATE)
+        p[ids] += total
+
+    def nce(rows: str, bias: str, x: np.ndarray, ww: np.ndarray, noise: np.ndarray, logs: np.ndarray) -> np.ndarray:
+        """Step a level's vectors and biases; the gradient of the contexts."""
+        r, b = getattr(model, rows), getattr(model, bias)
+        rw, rn = r.take(ww, 0), r.take(noise, 0)
+        up = np.einsum("ij,ij->i", x, rw)
+        up += b[ww] - logs[ww]
+        np.exp(up, out=up)
+        up += 1
+        np.reciprocal(up, out=up)
+        down = x @ rn.T
+        down += b[noise] - logs[noise]
+        np.exp(np.negative(down, out=down), out=down)
+        down += 1
+        np.divide(np.float32(-RATIO / len(noise)), down, out=down)
+        dx = up[:, None] * rw
+        dx += down @ rn
+        ids, of_rows, of_bias = _spread(np.concatenate([ww, noise]), np.concatenate([up[:, None] * x, down.T @ x]), np.concatenate([up, down.sum(0)]))
+        step(rows, ids, of_rows)
+        step(bias, ids, of_bias)
+        return dx
 
     for w, h1, h2 in streams:
-        order = rng.permutation(len(w))
-        for a in range(0, len(w), BATCH):
-            at = order[a : a + BATCH]
-            ww, a1, a2 = w[at], h1[at], h2[at]
+        # A batch takes every so many tokens: far apart from each other, but next to those of the batch before.
+        stride = max(1, len(w) // BATCH)
+        for a in range(stride):
+            ww, a1, a2 = w[a::stride], h1[a::stride], h2[a::stride]
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), model.words - 1)
-            x = model.contexts(a1, a2)
-            dx, *steps = nce("r", "b", x, ww, noise, log_noise)
-            dg, *more = nce("gr", "gb", x, ww // model.size, noise // model.size, log_groups)
-            dx = dx + dg
-            dc = np.stack([(dx * model.q[a1]).sum(0), (dx * model.q[a2]).sum(0)])
-            qi, qrows = _spread(np.concatenate([a1, a2]), np.concatenate([dx * model.c[0], dx * model.c[1]]))
-            for one in (*steps, *more, ("q", qi, qrows)):
-                step(*one)
+            q1, q2 = model.q.take(a1, 0), model.q.take(a2, 0)
+            x = model.c[0] * q1 + model.c[1] * q2
+            with np.errstate(over="ignore"):  # what is too large for an exponential has a gradient of 0 or 1
+                dx = nce("r", "b", x, ww, noise, log_noise)
+                dx += nce("gr", "gb", x, ww // model.size, noise[:GROUP_NOISE] // model.size, log_groups)
+            dc = np.stack([np.einsum("ij,ij->j", dx, q1), np.einsum("ij,ij->j", dx, q2)])
+            step("q", *_spread(np.concatenate([a1, a2]), np.concatenate([dx * model.c[0], dx * model.c[1]])))
             step("c", slice(None), dc)
         seen += len(w)
     return seen
@@ -187,7 +212,7 @@ def _trainer(shared):
         if n:
             change = (model.flat - flat).astype(np.float16)
             for k in range(0, len(change), SLICE):
-                yield pa.RecordBatch.from_pydict({"slice": [k // SLICE], "tokens": [float(n)], "change": pa.array([change[k : k + SLICE].tobytes()], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"slice": [k // SLICE], "part": [TaskContext.get().partitionId() // TASKS], "tokens": [float(n)], "change": pa.array([change[k : k + SLICE].tobytes()], pa.binary())})
 
     return run
 
@@ -196,7 +221,7 @@ def _average(t: pa.Table) -> pa.Table:
     """The mean of a slice's changes, weighted by tokens."""
     n = t["tokens"].to_numpy()
     total = sum(k * np.frombuffer(v.as_buffer(), np.float16).astype(np.float32) for k, v in zip(n, t["change"]))
-    return pa.table({"slice": t["slice"][:1], "change": pa.array([(total / n.sum()).astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"slice": t["slice"][:1], "tokens": [n.sum()], "change": pa.array([(total / n.sum()).astype(np.float16).tobytes()], pa.binary())})
 
 
 def fit(train_docs: DataFrame, ids: dict[str, int], unigram: np.ndarray, classes: int) -> Model:
@@ -207,11 +232,14 @@ def fit(train_docs: DataFrame, ids: dict[str, int], unigram: np.ndarray, classes
     part = F.pmod(F.shiftright(F.xxhash64("doc_id"), 7), F.lit(ROUNDS))
     for k in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model.flat, unigram, ids, classes))
-        found = train_docs.filter(part == k).select("text").mapInArrow(_trainer(shared), "slice long, tokens double, change binary")
+        found = train_docs.filter(part == k).select("text").mapInArrow(_trainer(shared), "slice long, part long, tokens double, change binary")
         flat = model.flat.copy()
-        for row in found.groupBy("slice").applyInArrow(_average, "slice long, change binary").toLocalIterator():
+        # In two levels, so that no group holds a row for each task of a large cluster.
+        means = "slice long, tokens double, change binary"
+        parts = found.groupBy("slice", "part").applyInArrow(_average, means)
+        for row in parts.groupBy("slice").applyInArrow(_average, means).toLocalIterator():
             at = row["slice"] * SLICE
-            flat[at : at + SLICE] += np.frombuffer(row["change"], np.float32)
+            flat[at : at + SLICE] += np.frombuffer(row["change"], np.float16)
         model = Model(flat, len(unigram))
         shared.unpersist()
     return model
@@ -221,21 +249,24 @@ def _scorer(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, words, ids, classes, hot, end, class_totals = shared.value
         model, seen = Model(flat, words), 0
-        log_end, nothing = math.log10(end + 0.5), float("nan")
+        log_end, log_class, nothing = math.log10(end + 0.5), np.log10(class_totals), float("nan")
         for t in blocks(batches, BLOCK):
             b = Block(t["text"].chunk(0))
-            w, h1, h2, owner = b.stream(ids, classes)
+            w, h1, h2, owner, known = b.stream(ids, classes)
+            of = known - (len(ids) + 1)
             fitted = np.bincount(owner, weights=model.log_probs(w, h1, h2), minlength=b.n) / math.log(10)
-            c = np.fromiter((hot.get(x, nothing) for x in b.words), float, len(b.words))
-            at_hot = ~np.isnan(c[b.codes])
-            logs = np.where(at_hot, np.log10(c[b.codes] + 0.5), 0.0)
-            of = w[np.arange(len(b.codes)) + b.owner] - (len(ids) + 1)
-            others = of >= 0
+            per_word = np.fromiter((hot.get(x, nothing) for x in b.words), float, len(b.words))
+            is_hot = ~np.isnan(per_word)
+            log_word = np.where(is_hot, np.log10(per_word + 0.5), 0.0)
+            # What a word of a class adds to the model's score: its share of the class, or for a rare word the part known here.
+            log_share = np.where(of >= 0, log_word - log_class[np.maximum(of, 0)], 0.0)
+            at_hot = is_hot[b.codes]
             total = lambda x: np.bincount(b.owner, weights=x, minlength=b.n)
-            base = total(logs) + log_end
-            score = fitted + total(logs * others) - total(np.where(others, np.log10(class_totals)[np.maximum(of, 0)], 0.0))
-            known = total(at_hot.astype(float)).astype(np.int64) + (1 if end else 0)
-            pairs, freq = np.unique(b.owner[~at_hot].astype(np.int64) * (len(b.words) + 1) + b.codes[~at_hot], return_counts=True)
+            base = total(log_word[b.codes]) + log_end
+            score = fitted + total(log_share[b.codes])
+            known = np.bincount(b.owner[at_hot], minlength=b.n) + (1 if end else 0)
+            rare = ~at_hot
+            pairs, freq = np.unique(b.owner[rare].astype(np.int64) * (len(b.words) + 1) + b.codes[rare], return_counts=True)
             who, what = pairs // (len(b.words) + 1), pairs % (len(b.words) + 1)
             rid = row_ids(seen, b.n)
             seen += b.n
