@@ -78,8 +78,10 @@ class Page:
         self.layouts: list[tuple[int, str]] = []
         self._open: list[list] = [["", Node(0, 0, OPEN, ()), []]]  # tag, node, children's names
         self._text: list[str] = []
-        at = 0
-        while m := _TOKEN.search(source, at):
+        at, shut = 0, source.rfind("-->")
+        # A token ends with a ">" or is a comment that never ends: behind the last of these, nothing is sought again and again.
+        end = len(source) if "<!--" in (source[shut + 3 :] if shut >= 0 else source) else source.rfind(">") + 1
+        while m := _TOKEN.search(source, at, end):
             self._text.append(source[at : m.start()])
             at = m.end()
             if not m[2]:

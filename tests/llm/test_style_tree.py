@@ -1,6 +1,8 @@
 """What a host's tree has to keep and to remove."""
 
-from symlattice.llm.style_tree import extract_pages
+import time
+
+from symlattice.llm.style_tree import Page, extract_pages
 
 
 def extracted(spark, pages):
@@ -41,3 +43,10 @@ def test_deep_marks_and_self_closed_elements(spark):
     deep = "<div>" * 20
     got = extracted(spark, [("a", f"{deep}<article><p>in</p></article><aside>no</aside><div class=comments>c</div>"), ("b", '<p>one<svg class="i"/>two</p><p>three<svg><text>no</text></svg></p><iframe/>four')])
     assert got[0] == "in" and got[1].split() == ["onetwo", "three", "four"]
+
+
+def test_broken_pages_end_soon():
+    began = time.perf_counter()
+    for part in ('<a b="', "<p ", "<!-- x ", "< "):
+        assert [t for _, t in Page("<p>one</p>" + part * 500_000).blocks][0] == "one"
+    assert time.perf_counter() - began < 60
