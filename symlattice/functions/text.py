@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -149,8 +150,36 @@ def progress_step(done: Column, total: Column, percent: int = 5) -> Column:
     return F.when(total > 0, F.floor(done * 100 / total / percent))
 
 
+# Windows-1252's characters for the bytes 80 to 9F, without the five that it leaves free.
+WINDOWS_1252 = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
+_BYTES_1252 = "".join(map(chr, (b for b in range(0x80, 0xA0) if b not in (0x81, 0x8D, 0x8F, 0x90, 0x9D))))
+
+
 def repaired(text: Column) -> Column:
     """UTF-8 that was read as Windows-1252 or Latin-1 and saved again: undone where the bytes are valid UTF-8."""
-    raw = F.encode(text, "ISO-8859-1")
-    wrong = F.rlike(text, F.lit("[\\x{c2}-\\x{f4}][\\x{80}-\\x{bf}]")) & ~F.rlike(text, F.lit("[\\x{100}-\\x{10FFFF}]"))
+    bytewise = F.translate(text, WINDOWS_1252, _BYTES_1252)
+    raw = F.encode(bytewise, "ISO-8859-1")
+    wrong = F.rlike(bytewise, F.lit("[\\x{c2}-\\x{f4}][\\x{80}-\\x{bf}]")) & ~F.rlike(bytewise, F.lit("[\\x{100}-\\x{10FFFF}]"))
     return F.when(wrong & F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(text)
+
+
+def decoded_line(raw: Column) -> Column:
+    """Bytes as text: UTF-8 where they are valid (and repaired), GBK elsewhere, which Spark's own decoding doesn't know; only the latter reach Python with content."""
+
+    @F.pandas_udf("string")
+    def _from_gbk(raw: pd.Series) -> pd.Series:
+        return raw.map(lambda b: None if b is None else bytes(b).decode("gbk", "replace"))
+
+    valid = F.is_valid_utf8(raw.cast("string"))
+    return F.when(valid, repaired(raw.cast("string"))).otherwise(_from_gbk(F.when(~valid, raw)))
+
+
+def timestamp_text(ts: Column) -> Column:
+    """RFC 3339 in UTC with as many digits of a second as it has."""
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return F.concat(F.regexp_replace(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), "\\.?0*$", ""), F.lit("Z"))
+
+
+def timestamp_of(text: Column) -> Column:
+    """The timestamp that RFC 3339 says, to the microsecond; null for anything else."""
+    return F.when(F.rlike(text, F.lit("^\\d{4}-\\d\\d-\\d\\dT\\d\\d:\\d\\d:\\d\\d(\\.\\d{1,9})?(Z|[+-]\\d\\d:\\d\\d)$")), text.try_cast("timestamp"))

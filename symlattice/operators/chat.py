@@ -16,6 +16,13 @@ def token_totals(messages: DataFrame) -> DataFrame:
     return messages.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.sum(approximate_tokens(F.coalesce("text", F.lit("")))).alias("tokens"))
 
 
+def message_tokens() -> Column:
+    """A message's tokens: its content, its reasoning and the names and arguments of the tools that it calls."""
+    of = lambda c: F.coalesce(approximate_tokens(c), F.lit(0))
+    calls = F.transform(F.coalesce("tool_calls", F.array()), lambda c: of(c["function"]["name"]) + of(c["function"]["arguments"]))
+    return of(F.col("content")) + of(F.col("reasoning_content")) + F.aggregate(calls, F.lit(0).cast("long"), lambda a, n: a + n)
+
+
 def compacted(messages: DataFrame, limit: int) -> DataFrame:
     """Messages (conv_id, turn, role, text) with ``fate``: keep, or summarise where the conversation is compacted.
 

@@ -58,8 +58,16 @@ def search(docs: DataFrame, columns: list[str], key: str, query: str, limit: int
     for a in arrays:
         dl = dl + F.size(a)
     counted = docs.select(F.col(key), dl.alias("dl"), *tf)
-    some = [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(distinct))]
-    stats = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *some)
+    stats = counted.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"), *_document_counts(distinct))
+    return _ranked(counted, stats, phrases, distinct, key, limit)
+
+
+def _document_counts(distinct: list[tuple[str, ...]]) -> list:
+    return [F.sum(F.when(F.col(f"tf{i}") > 0, 1).otherwise(0)).alias(f"n{i}") for i in range(len(distinct))]
+
+
+def _ranked(counted: DataFrame, stats: DataFrame, phrases: list[list[str]], distinct: list[tuple[str, ...]], key: str, limit: int | None) -> DataFrame:
+    """Scores of ``counted`` (key, dl, tf0, ...) by one row of ``stats`` (docs, avgdl, n0, ...)."""
     joined = counted.filter(" and ".join(f"tf{i} > 0" for i in range(len(distinct)))).crossJoin(F.broadcast(stats))
     score = F.lit(0.0)
     for p in phrases:
@@ -81,21 +89,37 @@ def _phrase(a, phrase: tuple[str, ...]):
     return F.size(F.filter(places, hit))
 
 
+def _shifted(places, by: int):
+    return F.transform(places, lambda x: x - by)
+
+
+#: Tokens of different columns are never adjacent: a column's places begin here times its number.
+COLUMN = 1 << 40
+
+
 def build_index(docs: DataFrame, columns: list[str], key: str) -> tuple[DataFrame, DataFrame]:
-    """Tables to keep: postings (term, key, tf), to be sorted by term when written, and lengths (key, dl)."""
-    return tokens(docs, columns, key).groupBy("term", key).agg(F.count("*").alias("tf")), lengths(docs, columns, key)
-
-
-def search_index(postings: DataFrame, dl: DataFrame, key: str, query: str, limit: int) -> DataFrame:
-    """``search`` over kept tables, for queries without phrases: the terms' postings are read, no texts."""
-    terms = [t for p in query_phrases(query) for t in p]
-    distinct = list(dict.fromkeys(terms))
-    stats = dl.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
-    found = postings.filter(F.col("term").isin(distinct))
-    df = found.groupBy("term").agg(F.count("*").alias("n"))
-    repeats = F.element_at(F.create_map(*[F.lit(x) for t in distinct for x in (t, terms.count(t))]), F.col("term"))
-    idf = F.greatest(F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(LEAST_IDF))
-    part = repeats * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = found.join(F.broadcast(df), "term").join(dl, key).crossJoin(F.broadcast(stats)).withColumn("part", part)
-    whole = scored.groupBy(key).agg(F.sum("part").alias("score"), F.count("*").alias("k")).filter(F.col("k") == len(distinct))
-    return whole.select(key, F.round("score", 9).alias("score")).orderBy(F.desc("score"), key).limit(limit)
+    """Tables to keep: postings (term, key, places), to be sorted by term when written, and lengths (key, dl)."""
+    place = (F.col("col") * F.lit(COLUMN) + F.col("pos")).alias("place")
+    return tokens(docs, columns, key).select("term", key, place).groupBy("term", key).agg(F.collect_list("place").alias("places")), lengths(docs, columns, key)
+
+
+def search_index(postings: DataFrame, dl: DataFrame, key: str, query: str, limit: int | None) -> DataFrame:
+    """``search`` over kept tables: the postings of the query's terms are read, no texts."""
+    phrases = query_phrases(query)
+    if not phrases or any(not p for p in phrases):
+        return dl.select(F.col(key), F.lit(0.0).alias("score")).limit(0)
+    distinct = list(dict.fromkeys(map(tuple, phrases)))
+    found = postings.filter(F.col("term").isin(list({t for p in distinct for t in p})))
+    # A row for each document: its places of each of the query's terms.
+    at = found.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+    of = lambda t: F.coalesce(F.try_element_at("at", F.lit(t)), F.array().cast("array<long>"))
+    tf = []
+    for i, p in enumerate(distinct):
+        starts = of(p[0])
+        for k, t in enumerate(p[1:], 1):
+            starts = F.array_intersect(starts, _shifted(of(t), k))
+        tf.append(F.size(starts).alias(f"tf{i}"))
+    counted = at.select(key, *tf)
+    every = dl.agg(F.count("*").alias("docs"), F.avg("dl").alias("avgdl"))
+    stats = counted.agg(*_document_counts(distinct)).crossJoin(F.broadcast(every))
+    return _ranked(counted.join(dl, key), stats, phrases, distinct, key, limit)

@@ -32,9 +32,15 @@ def line_range(files: DataFrame, key: str, start: int, end: int) -> DataFrame:
     return found.filter(F.col("num") <= end) if end > 0 else found
 
 
+# The folders in which no names are sought.
+UNSEARCHED = (".git", "node_modules", "vendor", ".idea", ".vscode", "dist", "build", "bin", "obj")
+
+
 def find_names(paths: DataFrame, path: str, pattern: str) -> DataFrame:
-    """Rows whose path's last part matches."""
-    return paths.filter(F.rlike(F.element_at(F.split(path, "/"), -1), F.lit(pattern)))
+    """Rows whose path's last part matches and lies in none of the folders UNSEARCHED."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, 1, F.size(parts) - 1)
+    return paths.filter(F.rlike(F.element_at(parts, -1), F.lit(pattern)) & ~F.arrays_overlap(folders, F.array(*map(F.lit, UNSEARCHED))))
 
 
 def replaced(text: Column, old: str, new: str) -> tuple[Column, Column]:
@@ -43,6 +49,13 @@ def replaced(text: Column, old: str, new: str) -> tuple[Column, Column]:
     return F.replace(text, F.lit(old), F.lit(new)), ((F.length(text) - F.length(gone)) / len(old)).cast("long")
 
 
+def edited(text: Column, old: str, new: str) -> Column:
+    """The text with every occurrence replaced; a text without any fails the query, as an edit that changes nothing is a mistake."""
+    if not old:
+        raise ValueError("what is to be replaced can't be empty")
+    return F.when(F.contains(text, F.lit(old)), F.replace(text, F.lit(old), F.lit(new))).otherwise(F.raise_error(F.lit("nothing to replace: the text doesn't occur")))
+
+
 def listing(entries: DataFrame, part: str = "") -> DataFrame:
     """Directory entries (name, is_dir, size), directories first, optionally only names with ``part`` in any case."""
     shown = entries.filter(F.contains(F.lower("name"), F.lit(part.lower()))) if part else entries

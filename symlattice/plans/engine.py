@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,7 +15,18 @@ from ..functions.text import import_directory, signature_arity
 from ..operators import fts, graph, lexical, lookup, semantic, traverse
 from ..sources import project, symbols
 
-TABLES = ("file_graphs", "fingerprints", "nodes", "edges")
+#: The tables of a version and their columns.
+TABLES = {
+    "file_graphs": symbols.SCHEMA,
+    "fingerprints": "path string, fingerprint string",
+    "nodes": "id long, file string, line int, kind int, name string, receiver string, signature string, doc string, embeds array<string>",
+    "edges": "edge_id long, from_id long, to_id long, kind int, site string",
+    "postings": "term string, id long, places array<long>",
+    "lengths": "id long, dl int",
+    "vectors": "id long, embedding array<float>",
+}
+#: Symbols that agree in these have the same vector.
+VECTOR_KEY = ["file", "kind", "name", "receiver", "signature", "doc"]
 #: Bits of an edge's id for the reference's place in its file.
 PLACES = 24
 COLUMNS = ["name", "receiver", "signature", "doc", "file"]
@@ -50,37 +65,68 @@ def build(graphs: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
 
 
 class Engine:
-    """Answers about the project under ``root``, from tables under ``home``; each build is a new version there."""
+    """Answers about the project under ``root``, from tables under ``home``; each build is a new version there.
+
+    With an ``embedder``, versions hold a vector for each symbol, and searches rerank by them.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, home: str, embedder: semantic.Embedder | None = None) -> None:
+        self.spark, self.root, self.home, self.embedder = spark, root, home, embedder
 
-    def __init__(self, spark: SparkSession, root: str, home: str) -> None:
-        self.spark, self.root, self.home = spark, root, home
+    def _at(self, name: str = ""):
+        """A path under ``home`` and its file system."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/{name}" if name else self.home)
+        return at, at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _has(self, name: str) -> bool:
+        at, fs = self._at(name)
+        return fs.exists(at)
 
     def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(self.home)
-        fs = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        at, fs = self._at()
         found = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
-        done = [int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.home}/{n}/DONE"))]
-        return sorted(done)
+        return sorted(int(n[1:]) for n in found if n[:1] == "v" and n[1:].isdigit() and self._has(f"{n}/DONE"))
 
     def _mark(self, version: int) -> None:
         """The last step of a version: readers take versions with this mark only, so they never see half of one."""
-        jvm = self.spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(f"{self.home}/v{version}/DONE")
-        at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).create(at).close()
+        at, fs = self._at(f"v{version}/DONE")
+        fs.create(at).close()
+
+    @contextmanager
+    def _alone(self) -> Iterator[None]:
+        """One builder at a time; a lock that a lost driver left behind has to be removed by hand."""
+        at, fs = self._at("LOCK")
+        if not fs.createNewFile(at):
+            raise BlockingIOError(f"{at.toString()} says that another build is under way")
+        try:
+            yield
+        finally:
+            fs.delete(at, False)
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            raise LookupError("nothing is indexed yet")
-        return self.spark.read.parquet(f"{self.home}/v{version or versions[-1]}/{name}")
+        """A table of a version, the last one by default; empty before the first build, and vectors if it has none."""
+        versions = [version] if version else self._versions()
+        if not versions or name == "vectors" and not self._has(f"v{versions[-1]}/vectors"):
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.parquet(f"{self.home}/v{versions[-1]}/{name}")
+
+    def purge(self, keep: int = 2) -> None:
+        """Delete all versions but the last ``keep``, which readers may still use."""
+        for v in self._versions()[: -max(keep, 1)]:
+            at, fs = self._at(f"v{v}")
+            fs.delete(at, True)
 
     def reindex(self) -> int:
         """Bring the index up to date and return its version; without changes it stays as it is.
 
         Files that changed are parsed anew, the others' parsed rows are kept; files that can't be parsed keep no
-        fingerprint, so the next build tries them again.
+        fingerprint, so the next build tries them again. Symbols that didn't change keep their vectors. An embedder that
+        fails leaves the last version as it was.
         """
+        with self._alone():
+            return self._reindex()
+
+    def _reindex(self) -> int:
         files, versions = project.scan(self.spark, self.root), self._versions()
         marks = files.select("path", "fingerprint")
         if versions:
@@ -99,14 +145,25 @@ class Engine:
         marks.join(graphs.select("path"), "path", "left_semi").write.mode("overwrite").parquet(f"{at}/fingerprints")
         nodes, edges = build(graphs, project.module_name(self.spark, self.root))
         nodes.sort("id").write.mode("overwrite").parquet(f"{at}/nodes")
+        nodes = self.spark.read.parquet(f"{at}/nodes")
+        postings, lengths = fts.build_index(nodes, COLUMNS, "id")
+        postings.sort("term", "id").write.mode("overwrite").parquet(f"{at}/postings")
+        lengths.write.mode("overwrite").parquet(f"{at}/lengths")
+        if self.embedder:
+            known = self.read("nodes").join(self.read("vectors"), "id").select(*VECTOR_KEY, "embedding")
+            found = graph.reuse_vectors(nodes, known, VECTOR_KEY).select("id", "embedding", semantic.node_text().alias("text"))
+            todo = semantic.embedded(found.filter("embedding is null"), "id", "text", self.embedder)
+            found.filter("embedding is not null").select("id", "embedding").unionByName(todo).sort("id").write.mode("overwrite").parquet(f"{at}/vectors")
         edges.sort("from_id").write.mode("overwrite").parquet(f"{at}/edges")
         self._mark(version)
         return version
 
     def search(self, query: str, limit: int | None = None, vectors: DataFrame | None = None, vector: list[float] | None = None) -> DataFrame:
-        """Full-text hits, reranked if vectors are given; lexical hits where full text finds none."""
+        """Full-text hits from the kept postings, reranked by vectors if given or kept; lexical hits where full text finds none."""
         k, nodes = clamped(limit, LIMITS["search"][1]), self.read("nodes")
-        found = fts.search(nodes, COLUMNS, "id", query, 8 * k)
+        found = fts.search_index(self.read("postings"), self.read("lengths"), "id", query, 8 * k)
+        if vectors is None and self.embedder:
+            vectors, vector = self.read("vectors"), self.embedder.embed([query])[0]
         if found.isEmpty():
             return lexical.explore(nodes, query, k)
         hits = nodes.join(found, "id")
@@ -144,5 +201,7 @@ class Engine:
         at = self._id(symbol)
         nodes, edges = self.read("nodes"), self.read("edges")
         own = nodes.filter(F.col("id") == at)
-        files = project.scan(self.spark, self.root).join(own.select(F.col("file").alias("path")), "path", "left_semi").select(F.col("path").alias("file"), F.decode("content", "UTF-8").alias("text"))
+        file = own.first()["file"]
+        one = self.spark.read.text(re.sub(r"([\[\]{}*?\\])", r"\\\1", f"{self.root}/{file}"), wholetext=True)
+        files = one.select(F.lit(file).alias("file"), F.col("value").alias("text"))
         return {"node": own, "edges": lookup.edges_of(edges, at).join(edges, "edge_id"), "source": lookup.source_window(files, own.select("id", "file", "line")).orderBy("num"), "blast": traverse.discover(edges, at, 2)}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import fts, lexical, semantic
 from .carriers import SYMBOLS, symbols, table
 
-WORD, WORDS, TOP = "that", "license under the the", 10
+WORD, WORDS, PHRASE, TOP = "that", "license under the the", "the_and that", 10
 LEXICAL, NOWHERE = "small ring", "qqzx"
 
 
@@ -26,6 +26,21 @@ def fts_index_search(spark: SparkSession, d: str) -> DataFrame:
     return fts.search_index(postings, dl, "doc_id", WORDS, TOP)
 
 
+def fts_index_phrase(spark: SparkSession, d: str) -> DataFrame:
+    """All documents with a phrase and a word, from postings."""
+    postings, dl = fts.build_index(table(spark, d, "documents"), ["source", "text"], "doc_id")
+    return fts.search_index(postings, dl, "doc_id", PHRASE, None)
+
+
+def pooled_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """For each event type's users the mean, the first and the last of their events' (value, id) vectors."""
+    e = table(spark, d, "events").filter("value is not null")
+    tokens = e.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", "value"))).alias("x"))
+    vectors = F.transform("x", lambda x: F.array(x["value"].cast("float"), x["event_id"].cast("float")))
+    modes = [F.round(semantic.pooled(vectors, m)[0].cast("double"), 3).alias(m) for m in ("mean", "cls", "last")]
+    return tokens.select("user_id", *modes)
+
+
 def lexical_explore(spark: SparkSession, d: str) -> DataFrame:
     return lexical.explore(symbols(spark, d), LEXICAL, TOP).select("id", "name", "receiver", "score")
 
@@ -74,16 +89,18 @@ def vec_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def batch_pack(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of documents by running bytes, within each source."""
+    """Batches of documents to embed, within each source's chunks of 1024 ids."""
     docs = table(spark, d, "documents").select("doc_id", "source", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
-    return semantic.packed_batches(docs, "source", "doc_id", "size").groupBy("source", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    batches = semantic.embed_batches(docs, "source", "doc_id", "size", F.floor(F.col("doc_id") / semantic.CHUNK_ROWS))
+    return batches.groupBy("source", "chunk", "batch").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
 
 
-def _bm25_sql(source: str, key: str, columns: list[str], query: str, limit: int) -> str:
-    phrases = [p[0] for p in fts.query_phrases(query)]
+def _bm25_sql(source: str, key: str, columns: list[str], query: str, limit: int | None) -> str:
+    phrases = [tuple(p) for p in fts.query_phrases(query)]
     distinct = list(dict.fromkeys(phrases))
     text = " || ' ' || ".join(f"coalesce({c}, '')" for c in columns)
-    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) as tf{i}" for i, w in enumerate(distinct))
+    at = lambda p: " and ".join(f"t[i + {k}] = '{w}'" for k, w in enumerate(p))
+    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{p[0]}')) as tf{i}" if len(p) == 1 else f"len(list_filter(range(1, len(t) + 1), lambda i: {at(p)})) as tf{i}" for i, p in enumerate(distinct))
     stats = ", ".join(f"count(*) filter (tf{i} > 0) as n{i}" for i in range(len(distinct)))
     score = " + ".join(
         f"greatest(ln((docs - n{i} + 0.5::double) / (n{i} + 0.5::double)), 0.000001::double) * tf{i} * 2.2::double / (tf{i} + 1.2::double * (0.25::double + 0.75::double * dl / avgdl))" for i in (distinct.index(w) for w in phrases)
@@ -92,7 +109,7 @@ def _bm25_sql(source: str, key: str, columns: list[str], query: str, limit: int)
     return f"""select {key}, round({score}, 9) as score from (
         select {key}, len(t) as dl, {tf} from (select {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') as t from {source})) c,
         (select count(*) as docs, avg(dl)::double as avgdl, {stats} from (select len(t) as dl, {tf} from (select regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') as t from {source}))) s
-        where {where} order by score desc, {key} limit {limit}"""
+        where {where} order by score desc, {key} {f"limit {limit}" if limit else ""}"""
 
 
 def _lexical_sql(query: str, limit: int) -> str:
@@ -116,6 +133,8 @@ SQL: dict[str, str] = {
     "fts_search": _bm25_sql("documents", "doc_id", ["source", "text"], WORD, TOP),
     "fts_multi_term": _bm25_sql("documents", "doc_id", ["source", "text"], WORDS, TOP),
     "fts_index_search": _bm25_sql("documents", "doc_id", ["source", "text"], WORDS, TOP),
+    "fts_index_phrase": _bm25_sql("documents", "doc_id", ["source", "text"], PHRASE, None),
+    "pooled_vectors": "select user_id, round(avg(value::float::double), 3) as mean, round(min_by(value, event_id)::float::double, 3) as cls, round(max_by(value, event_id)::float::double, 3) as last from events where value is not null group by user_id",
     "lexical_explore": f"with {SYMBOLS} {_lexical_sql(LEXICAL, TOP)}",
     "cosine_topk": f"select e.vec_id, {_NEAR} as cosine from embeddings e, (select embedding from embeddings where vec_id = 0) q order by cosine desc, e.vec_id limit {TOP}",
     "semantic_rerank": f"""with {SYMBOLS}, c as (select s.id, case when lower(name) = 'small.ring' then 100 when receiver <> '' and lower(receiver) || '.' || lower(name) = 'small.ring' then 95 when lower(file) = 'small.ring' then 90 else 0 end as exact, {_NEAR} as cosine
@@ -125,6 +144,10 @@ SQL: dict[str, str] = {
         union all select '{NOWHERE} ring', 'lexical', id, score::double from ({_lexical_sql(NOWHERE + ' ring', TOP)})""",
     "node_text": f"with {SYMBOLS} select id, concat_ws(' ', case when receiver <> '' then receiver || '.' || name else name end, nullif(signature, ''), nullif(doc, '')) as text from symbols",
     "vec_reuse": f"with {SYMBOLS}, v as (select name, doc, file, min(id) as vector_id from symbols where id - 1 in (select vec_id from embeddings) group by all) select id, coalesce(vector_id, -1) as vector_id from symbols left join v using (name, doc, file)",
-    "batch_pack": "with d as (select doc_id, source, strlen(coalesce(text, ''))::bigint as size from documents), b as (select source, size, (sum(size) over (partition by source order by doc_id rows unbounded preceding) - size)::bigint // 16000 as batch from d) select source, batch, count(*) as n, sum(size)::bigint as bytes from b group by all",
+    "batch_pack": """with recursive d as (select source, doc_id // 1024 as chunk, strlen(text)::bigint as size, row_number() over (partition by source, doc_id // 1024 order by doc_id) as i from documents where text <> ''),
+        b as (select source, chunk, i, 0::bigint as batch, 1 as n, size as total, size from d where i = 1 union all
+            select d.source, d.chunk, d.i, b.batch + (b.n >= 64 or b.total >= 16000)::bigint, case when b.n >= 64 or b.total >= 16000 then 1 else b.n + 1 end, case when b.n >= 64 or b.total >= 16000 then d.size else b.total + d.size end, d.size
+            from b join d on d.source is not distinct from b.source and d.chunk = b.chunk and d.i = b.i + 1)
+        select source, chunk, batch, count(*) as n, sum(size)::bigint as bytes from b group by source, chunk, batch""",
 }
 QUERIES = {k: globals()[k] for k in SQL}

@@ -118,6 +118,12 @@ def list_dir(spark: SparkSession, d: str) -> DataFrame:
     return N.listing(entries.filter("name <> ''"), "E")
 
 
+def timestamps(spark: SparkSession, d: str) -> DataFrame:
+    """Each event's time as RFC 3339, and what parsing that gives."""
+    said = table(spark, d, "events").select("event_id", X.timestamp_text(F.col("ts")).alias("said"))
+    return said.withColumn("seconds", F.unix_seconds(X.timestamp_of(F.col("said"))))
+
+
 _ASCII = "regexp_replace(coalesce(text, ''), '[^\\x00-\\x7F]', '?', 'g')"
 _D = "d as (select doc_id, coalesce(text, '') as text, lang, source from documents)"
 _L = f"{_D}, l as (select doc_id, unnest(string_split(text, chr(10))) as line, unnest(range(1, len(string_split(text, chr(10))) + 1))::int as num, len(string_split(text, chr(10))) as n from d)"
@@ -128,7 +134,7 @@ SQL: dict[str, str] = {
     "fingerprint_files": f"with {_D} select doc_id, sha256(text) || ':' || strlen(text) as fingerprint from d",
     "incremental_diff": f"""with {_D}, o as (select doc_id::varchar as path, sha256(case when lang = 'fr' then text || '.' else text end) as f from d where source <> 'src3'), n as (select doc_id::varchar as path, sha256(text) as f from d where source <> 'src5')
         select coalesce(o.path, n.path) as path, case when o.f is null then 'added' when n.f is null then 'deleted' when o.f <> n.f then 'changed' else 'same' end as status from o full join n on o.path = n.path""",
-    "search_names": "select page_id, url from pages where regexp_matches(split_part(url, '/', -1), '\\.html$')",
+    "search_names": f"select page_id, url from pages where regexp_matches(split_part(url, '/', -1), '\\.html$') and not list_has_any(string_split(url, '/')[:-2], {list(N.UNSEARCHED)})",
     "grep_content": f"with {_L} select doc_id, num, trim(line) as line from l where regexp_matches(line, '[Ll]icense')",
     "line_range": f"with {_L} select doc_id, num, line from l where num between 2 and 4",
     "tail_lines": f"with {_L} select doc_id, num, line from l where num > n - 2",
@@ -143,6 +149,7 @@ SQL: dict[str, str] = {
     "approx_tokens": f"with {_D}, x as (select doc_id, length(text) as n, length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g')) as a from d) select doc_id, (a // 4 + floor((n - a) * 0.6::double))::bigint as tokens from x",
     "ring_tail": f"with {_L} select doc_id, num, line from l where num > n - case when n <= 10 then n else 6 + (n - 11) % 5 end",
     "modified_files": "select user_id, min(event_id) as first from events group by user_id",
+    "timestamps": "select event_id, regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.?0*$', '') || 'Z' as said, floor(epoch(ts))::bigint as seconds from events",
     "progress_steps": "select conv_id, turn, floor((row_number() over (partition by conv_id order by turn)) * 100 / (count(*) over (partition by conv_id)) / 5)::bigint as step from conversations",
     "list_dir": "with p as (select string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*/?', ''), '[?#].*$', ''), '/') as p, length(html)::bigint as size from pages) select p[1] as name, len(p) > 1 as is_dir, sum(size)::bigint as size from p where p[1] <> '' and contains(lower(p[1]), 'e') group by all",
 }

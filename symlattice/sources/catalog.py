@@ -63,6 +63,18 @@ def skills(spark: SparkSession, root: str) -> DataFrame:
     return parsed_skills(files.select("path", F.decode("content", "UTF-8").alias("text"))).orderBy("name")
 
 
+def skill_text(spark: SparkSession, root: str, name: str) -> str:
+    """The whole SKILL.md of a skill's folder below ``root``; a name that leads elsewhere is refused."""
+    name = name.strip()
+    if not name or "/" in name or "\\" in name or ".." in name or name == ".":
+        raise ValueError(f"no name of a skill: {name!r}")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "SKILL.md").load(root).filter(F.element_at(F.split("path", "/"), -2) == name)
+    row = found.orderBy(F.length("path")).select(F.decode("content", "UTF-8")).first()
+    if row is None:
+        raise LookupError(f"no skill {name!r}")
+    return row[0]
+
+
 def matching(found: DataFrame, query: str) -> DataFrame:
     """Skills with the query in their name, category or description, in any case, by name."""
     q = query.lower()

@@ -10,7 +10,7 @@ import ast
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -30,11 +30,11 @@ _SILENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n
 _HASHED = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
 _KEYWORDS = frozenset("if for while switch catch return new throw else do case func function def class interface struct enum trait impl match when try using lock sizeof typeof defer go select range make len cap append panic super this self not and or in is until unless end begin".split())
 _GO = re.compile(rf"^func\s+(?:\(\s*(?:{_WORD}\s+)?\*?(?P<recv>{_WORD})[^)]*\)\s*)?(?P<func>{_WORD})(?P<sig>[^{{\n]*)|^type\s+(?P<type>{_WORD})(?:\[[^\]]*\])?\s+(?P<what>struct|interface)?|^\s*(?P<vc>var|const)\s+(?P<name>{_WORD})", re.M)
-_KINDS = {"class": STRUCT, "interface": INTERFACE, "struct": STRUCT, "union": STRUCT, "enum": TYPE, "trait": INTERFACE, "object": TYPE, "module": TYPE, "mixin": TYPE, "record": STRUCT}
+_KINDS = {"class": STRUCT, "interface": INTERFACE, "struct": STRUCT, "union": STRUCT, "enum": TYPE, "trait": INTERFACE, "object": TYPE, "module": TYPE, "mod": TYPE, "mixin": TYPE, "record": STRUCT}
 _BRACED = re.compile(
-    rf"\b(?P<kind>class|interface|struct|union|enum|trait|object|mixin|record)\s+(?P<type>{_WORD})|\bimpl\b[^{{;]*?(?P<impl>{_WORD})\s*(?:<[^{{]*>)?\s*\{{"
+    rf"\b(?P<kind>class|interface|struct|union|enum|trait|object|mixin|record|mod)\s+(?P<type>{_WORD})|\b(?:type|typealias)\s+(?P<alias>{_WORD})\s*(?:<[^=;{{\n]*>)?\s*=(?!=)|\bimpl\b[^{{;]*?(?P<impl>{_WORD})\s*(?:<[^{{]*>)?\s*\{{"
     rf"|\b(?:fn|fun|func|function|def)\s+(?P<func>{_WORD})(?P<fsig>\s*(?:<[^>(]*>)?\([^)]*\)[^{{;=\n]*)|(?P<call>{_WORD})(?P<csig>\s*\([^()]*\)[^{{;}}()=]*)(?=\{{)"
-    rf"|\b(?P<vc>const|let|var|val)\s+(?P<name>{_WORD})|(?P<open>\{{)|(?P<shut>\}})"
+    rf"|\b(?P<vc>const|let|var|val|static)\s+(?:mut\s+)?(?P<name>{_WORD})|(?P<open>\{{)|(?P<shut>\}})"
 )
 
 
@@ -184,7 +184,13 @@ def parse_python(source: str) -> tuple[list, list, dict]:
     return nodes, refs, {}
 
 
-def parse_braced(source: str) -> tuple[list, list, dict]:
+#: What ``const`` and the like declare, by extension; a missing word declares nothing there.
+_VARIABLES = {".rs": {"const": CONST, "static": VAR}} | dict.fromkeys(".c .h .cc .cpp .cxx .hh .hpp .hxx .java .php .dart".split(), {}) | {".cs": {"var": VAR}}
+_ANY_VARIABLE = {"const": VAR, "let": VAR, "var": VAR, "val": VAR}
+
+
+def parse_braced(source: str, extension: str = "") -> tuple[list, list, dict]:
+    declared = _VARIABLES.get(extension, _ANY_VARIABLE)
     lines, quiet = source.split("\n"), _blank(_SILENT, source)
     nodes, refs = [], []
     holders: list[tuple[int, str]] = []  # where a type's body ends, and its name
@@ -194,7 +200,11 @@ def parse_braced(source: str) -> tuple[list, list, dict]:
         holders = [h for h in holders if h[0] > at]
         inside = [e for e in inside if e > at]
         line, owner = _line(quiet, at), len(nodes)
-        if m["type"] or m["impl"]:
+        if m["kind"] == "mod" and extension != ".rs":
+            continue
+        if m["alias"]:
+            nodes.append(_node(line, TYPE, m["alias"], doc=_doc(lines, line)))
+        elif m["type"] or m["impl"]:
             brace = quiet.find("{", m.end() - 1)
             if m["type"]:
                 nodes.append(_node(line, _KINDS[m["kind"]], m["type"], doc=_doc(lines, line)))
@@ -210,8 +220,8 @@ def parse_braced(source: str) -> tuple[list, list, dict]:
                 end = _closing(quiet, brace)
                 inside.append(end)
                 refs += _mentions(quiet, (brace, end), owner, None, False)
-        elif m["name"]:
-            nodes.append(_node(line, CONST if m["vc"] == "const" else VAR, m["name"]))
+        elif m["name"] and m["vc"] in declared:
+            nodes.append(_node(line, declared[m["vc"]], m["name"]))
     return nodes, refs, {}
 
 
@@ -241,7 +251,8 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for path, content in zip(f["path"], f["content"]):
-            parse = _PARSERS.get(_LANGUAGE.get(path[path.rfind(".") :].lower(), ""), parse_braced)
+            extension = path[path.rfind(".") :].lower()
+            parse = _PARSERS.get(_LANGUAGE.get(extension, ""), partial(parse_braced, extension=extension))
             try:
                 nodes, refs, imports = parse(bytes(content).decode("utf-8", "replace"))
             except (SyntaxError, ValueError, RecursionError):

@@ -8,18 +8,21 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Engine
 
-FILES = "path string, modificationTime timestamp, length long, content binary"
-
-
 def follow(engine: Engine, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
-    """Re-index after each micro-batch of new files; the batch only says that something came."""
-    came = engine.spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(engine.root)
+    """Bring the index up to date at each tick; without changes that is one scan.
+
+    A stream of files tells neither what was deleted nor what changed under a known path, so a clock is the source and the
+    fingerprints say what happened. A tick during another's build leaves the work to the next one.
+    """
+    ticks = engine.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
 
-    def update(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
+    def update(_: DataFrame, __: int) -> None:
+        try:
             engine.reindex()
+        except BlockingIOError:
+            pass
 
-    return came.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    return ticks.writeStream.foreachBatch(update).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
 
 
 def idle_sessions(events: DataFrame, key: str, ts: str, gap: str = "3 seconds", late: str = "1 minute") -> DataFrame:

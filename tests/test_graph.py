@@ -7,9 +7,9 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
-from symlattice.functions.text import approximate_tokens, cut_bytes, import_directory, is_blocked_path, is_dangerous, is_sensitive, signature_arity
-from symlattice.operators import chat, fts, lines, traverse
-from symlattice.plans.engine import Engine, build, clamped
+from symlattice.functions.text import approximate_tokens, cut_bytes, decoded_line, import_directory, is_blocked_path, is_dangerous, is_sensitive, signature_arity, timestamp_of, timestamp_text
+from symlattice.operators import chat, fts, lines, semantic, traverse
+from symlattice.plans.engine import COLUMNS, TABLES, Engine, build, clamped
 from symlattice.sources import catalog, project, symbols
 
 SHAPES = """package shapes
@@ -156,6 +156,70 @@ def test_engine(spark, tree, tmp_path):
     assert e.callers("Twice", depth=1).count() == 2
 
 
+def letters(works=True):
+    """An embedder for tests: counts of four letters. Its class is a local one, as workers don't import this module."""
+
+    class Letters:
+        dim = 4
+
+        def embed(self, texts):
+            if not works:
+                raise RuntimeError("no model")
+            assert len(texts) <= 64 and all(texts)
+            return [[float(t.lower().count(c)) for c in "wtsn"] for t in texts]
+
+    return Letters()
+
+
+def test_engine_keeps_vectors_and_locks(spark, tree, tmp_path):
+    home = str(tmp_path / "index")
+    e = Engine(spark, str(tree), home, letters())
+    assert all(e.read(t).count() == 0 for t in TABLES) and e.search("Twice").count() == 0
+    assert e.reindex() == 1
+    nodes = {r.id: r for r in e.read("nodes").collect()}
+    text = lambda r: " ".join(x for x in ((r.receiver + "." if r.receiver else "") + r.name, r.signature, r.doc) if x)
+    want = lambda ns: {i: letters().embed([text(r)])[0] for i, r in ns.items()}
+    assert {r.id: r.embedding for r in e.read("vectors").collect()} == want(nodes)
+    assert e.search("Twice").first()["name"] == "Twice"
+    # Symbols that stay keep their vectors, so an embedder that only refuses does no harm where a file goes.
+    (tree / "tools/greet.py").unlink()
+    assert Engine(spark, str(tree), home, letters(False)).reindex() == 2
+    assert {r.id: r.embedding for r in e.read("vectors").collect()} == want({r.id: r for r in e.read("nodes").collect()})
+    (tree / "mathx/mathx.go").write_text(MATHX + "\nfunc Thrice(n int) int { return Twice(n) + n }\n")
+    with pytest.raises(Exception, match="no model"):
+        Engine(spark, str(tree), home, letters(False)).reindex()
+    assert e._versions() == [1, 2] and not e._has("LOCK")
+    with e._alone(), pytest.raises(BlockingIOError):
+        e.reindex()
+    assert e.reindex() == 3
+    e.purge(1)
+    assert e._versions() == [3] and e.search("Thrice").first()["name"] == "Thrice"
+    kept = {q: [(r.id, r.score) for r in fts.search_index(e.read("postings"), e.read("lengths"), "id", q, None).collect()] for q in ("sum", "a int", "mathx_mathx go", "int_a", "adds_sum")}
+    assert kept == {q: [(r.id, r.score) for r in fts.search(e.read("nodes"), COLUMNS, "id", q, None).collect()] for q in kept} and kept["mathx_mathx go"]
+
+
+def test_vectors_of_empty_and_many_texts(spark):
+    rows = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else "w" * (i % 50 + 1)) for i in range(500)]
+    got = {r.id: r.embedding for r in semantic.embedded(spark.createDataFrame(rows, "id long, t string"), "id", "t", letters()).collect()}
+    assert got == {i: [float(len(t or "")), 0.0, 0.0, 0.0] for i, t in rows}
+
+
+def test_pooling(spark):
+    v = F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(6.0)))
+    assert [one(spark, semantic.pooled(v, m)) for m in ("mean", "cls", "last", "unspecified")] == [[2.0, 4.0], [1.0, 2.0], [3.0, 6.0], [2.0, 4.0]]
+    none = F.array().cast("array<array<float>>")
+    assert one(spark, semantic.pooled(none, "mean")) is None and one(spark, semantic.pooled(none, "last")) is None
+    with pytest.raises(ValueError):
+        semantic.pooled(v, "max")
+
+
+def test_variables_and_aliases():
+    kinds = lambda text, e: [(n["kind"], n["name"]) for n in symbols.parse_braced(text, e)[0]]
+    assert kinds("type Id<T> = string | T;\nexport const f = (x) => g(x);\nlet n = 1;\n", ".ts") == [(3, "Id"), (6, "f"), (6, "n")]
+    assert kinds("mod m { static N: i32 = 1; const K: i32 = 2; fn f() { let x = 1; } }\ntype R = i32;\n", ".rs") == [(3, "m"), (6, "N"), (7, "K"), (2, "f"), (3, "R")]
+    assert kinds("static const int n = 1;\nunion U { int a; };\n", ".c") == [(5, "U")]
+
+
 def test_bfs_equals_nested_loops(spark):
     rng = random.Random(4)
     pairs = [(i, *rng.sample(range(12), 2)) for i in range(40)]
@@ -206,7 +270,29 @@ def test_text_functions(spark):
     assert one(spark, is_blocked_path(F.lit("/etc/passwd"))) and not one(spark, is_blocked_path(F.lit("/home/me/proj/bin")))
 
 
+def test_timestamps(spark):
+    at = lambda s: F.lit(s).cast("timestamp")
+    for s, want in {"2024-01-01 00:00:10": "2024-01-01T00:00:10Z", "2024-01-01 00:00:10.5": "2024-01-01T00:00:10.5Z", "2024-12-31 23:59:00.000001": "2024-12-31T23:59:00.000001Z"}.items():
+        assert one(spark, timestamp_text(at(s))) == want and one(spark, timestamp_of(F.lit(want)) == at(s))
+    assert one(spark, timestamp_of(F.lit("2024-01-01T02:00:00.123456789+02:00")) == at("2024-01-01 00:00:00.123456"))
+    assert one(spark, timestamp_of(F.lit("yesterday"))) is None and one(spark, timestamp_of(F.lit("2024-13-01T00:00:00Z"))) is None
+
+
+def test_message_tokens(spark):
+    calls = "array<struct<function:struct<name:string,arguments:string>>>"
+    rows = [("a" * 8, "b" * 9, [(("c" * 4, "d" * 8),), (("e" * 4, None),)]), (None, None, None), ("求和求", "", [])]
+    got = [r[0] for r in spark.createDataFrame(rows, f"content string, reasoning_content string, tool_calls {calls}").select(chat.message_tokens()).collect()]
+    assert got == [2 + 2 + 1 + 2 + 1, 0, 1]
+
+
 def test_lines(spark):
+    names = spark.createDataFrame([("src/a.go",), ("build/a.go",), ("x/bin/y/a.go",), ("bin",), ("src/a.goo",)], "p string")
+    assert [r.p for r in lines.find_names(names, "p", "\\.go$|^bin$").collect()] == ["src/a.go", "bin"]
+    assert one(spark, lines.edited(F.lit("a b a"), "a", "c")) == "c b c"
+    with pytest.raises(Exception, match="nothing to replace"):
+        one(spark, lines.edited(F.col("id").cast("string"), "z", "c"))
+    with pytest.raises(ValueError):
+        lines.edited(F.lit("a"), "", "c")
     df = spark.createDataFrame([("f", "line1\nfoo 2\nline3\nfoo 4")], "path string, text string")
     got = lambda x: [(r.num, r.line) for r in x.orderBy("num").collect()]
     assert got(lines.line_range(df, "path", 1, 2)) == [(1, "line1"), (2, "foo 2")] and got(lines.line_range(df, "path", -9, 0))[0] == (1, "line1")
@@ -242,3 +328,20 @@ def test_sinks_and_repair(spark, tmp_path):
     row = catalog.sessions(spark, str(tmp_path)).first()
     assert (row.name, row.working_dir, [x.content for x in row.messages]) == ("one", "/w2", ["a", "b"])
     assert one(spark, repaired(F.lit("Ã©tÃ©"))) == "été" and one(spark, repaired(F.lit("été"))) == "été"
+    for text in ("，天", "été…", "“q”", "plain"):
+        assert one(spark, repaired(F.lit(text.encode().decode("latin-1")))) == text
+    assert one(spark, repaired(F.lit("ï¼Œ"))) == "，" and one(spark, repaired(F.lit("“q” é"))) == "“q” é"
+    raw = spark.createDataFrame([(bytearray("中文", "gbk"),), (bytearray("中文", "utf-8"),), (None,)], "b binary")
+    assert [r[0] for r in raw.select(decoded_line(F.col("b"))).collect()] == ["中文", "中文", None]
+
+
+def test_skill_text(spark, tmp_path):
+    for name in ("pdf", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "SKILL.md").write_text(f"of {name}")
+    assert catalog.skill_text(spark, str(tmp_path), " pdf ") == "of pdf"
+    for bad in ("", ".", "..", "../pdf", "a/b", "a\\b"):
+        with pytest.raises(ValueError):
+            catalog.skill_text(spark, str(tmp_path), bad)
+    with pytest.raises(LookupError):
+        catalog.skill_text(spark, str(tmp_path), "none")

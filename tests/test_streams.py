@@ -18,3 +18,27 @@ def test_sessions_end_when_events_pause(spark, tmp_path):
     read = spark.readStream.schema("user string, ts timestamp, seq int, text string").option("maxFilesPerTrigger", 1).json(str(tmp_path))
     assert sorted((r.user, r.n_events) for r in run(spark, idle_sessions(read, "user", "ts"), "sessions")) == [("a", 1), ("a", 2), ("b", 1)]
     assert sorted(r.content for r in run(spark, merged_deltas(read, "user", "seq", "text", "ts"), "deltas")) == ["t0t1", "t2", "t3"]
+
+
+def test_index_follows_deletions_and_changes(spark, tmp_path):
+    import time
+
+    from symlattice.plans.engine import Engine
+    from symlattice.streaming.reindex import follow
+
+    root = tmp_path / "proj"
+    root.mkdir()
+    (root / "a.go").write_text("package p\n\nfunc A() {}\n")
+    (root / "b.go").write_text("package p\n\nfunc B() {}\n")
+    e = Engine(spark, str(root), str(tmp_path / "index"))
+    q = follow(e, str(tmp_path / "checkpoint"), "1 second")
+    try:
+        for change, want in ((lambda: None, {"A", "B"}), ((root / "b.go").unlink, {"A"}), (lambda: (root / "a.go").write_text("package p\n\nfunc Changed() {}\n"), {"Changed"})):
+            change()
+            ends = time.time() + 90
+            while {r.name for r in e.read("nodes").collect()} != want and time.time() < ends:
+                assert q.exception() is None
+                time.sleep(1)
+            assert {r.name for r in e.read("nodes").collect()} == want
+    finally:
+        q.stop()
