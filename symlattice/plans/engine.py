@@ -128,7 +128,8 @@ class Engine:
 
     def _reindex(self) -> int:
         files, versions = project.scan(self.spark, self.root), self._versions()
-        marks = files.select("path", "fingerprint")
+        # Taken once and before anything is parsed: a file that changes meanwhile differs from its mark at the next build.
+        marks = cut(files.select("path", "fingerprint"))
         if versions:
             diff = cut(graph.snapshot_diff(self.read("fingerprints"), marks).filter("status <> 'same'"))
             if diff.isEmpty():

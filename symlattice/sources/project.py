@@ -102,7 +102,7 @@ def ignored(path: Column, scopes: dict[str, list[str]]) -> Column:
 
 def listed(spark: SparkSession, root: str) -> DataFrame:
     """(path relative to the root, length, modificationTime) of every file below it; contents aren't read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("recursiveFileLookup", True).load(root)
     top = root.rstrip("/") + "/"
     rel = F.substring_index(F.col("path"), top, -1) if "://" in root else F.regexp_replace("path", "^[a-z]+:/*" + re.escape(top).lstrip("/"), "")
     return files.withColumn("full", F.col("path")).withColumn("path", rel)
