@@ -36,6 +36,8 @@ MODEL_WORDS, PER_ROOT = 2000, 1
 #: A word has its own vectors if it occurs so often; words of a class share an ending of so many characters.
 LEAST_COUNT, ENDING = 3, 3
 DIM = 24
+#: A row of output vectors ends with its bias, which meets a 1 in the contexts.
+WIDTH = DIM + 1
 ROUNDS = 2
 BATCH, NOISE, GROUP_NOISE, RATIO, RATE = 1024, 96, 32, 16.0, 0.1
 HOT = 1 << 18
@@ -89,63 +91,68 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """r, q (words x DIM), b (words), gr (groups x DIM), gb (groups) and c (2 x DIM), in one flat vector."""
+    """In one flat vector: out (words x WIDTH) with vectors r and biases b, q (words x DIM), the groups' out_g with gr and gb, and c (2 x DIM)."""
 
     def __init__(self, flat: np.ndarray, words: int) -> None:
         self.flat, self.words, self.size = flat, words, math.isqrt(words - 1) + 1
         self.groups, at = -(-words // self.size), 0
-        for name, rows, width in (("r", words, DIM), ("q", words, DIM), ("b", words, 0), ("gr", self.groups, DIM), ("gb", self.groups, 0), ("c", 2, DIM)):
-            end = at + rows * max(width, 1)
-            setattr(self, name, flat[at:end].reshape((rows, width) if width else rows))
+        for name, rows, width in (("out", words, WIDTH), ("q", words, DIM), ("out_g", self.groups, WIDTH), ("c", 2, DIM)):
+            end = at + rows * width
+            setattr(self, name, flat[at:end].reshape(rows, width))
             at = end
+        self.r, self.b, self.gr, self.gb = self.out[:, :DIM], self.out[:, DIM], self.out_g[:, :DIM], self.out_g[:, DIM]
 
     @classmethod
     def fresh(cls, unigram: np.ndarray) -> Model:
         """Small random vectors, and log-probabilities of the tokens alone as biases: at first a unigram model."""
         words, rng = len(unigram), np.random.default_rng(5)
         of_groups = np.add.reduceat(unigram, np.arange(0, words, math.isqrt(words - 1) + 1))
-        vectors = lambda n: rng.normal(0, 0.1, n * DIM)
-        return cls(np.concatenate([vectors(2 * words), np.log(unigram), vectors(len(of_groups)), np.log(of_groups), np.ones(DIM), np.full(DIM, 0.5)]).astype(np.float32), words)
+        vectors = lambda n: rng.normal(0, 0.1, (n, DIM))
+        r, q, gr = vectors(words), vectors(words), vectors(len(of_groups))
+        parts = [np.column_stack([r, np.log(unigram)]), q, np.column_stack([gr, np.log(of_groups)]), np.ones(DIM), np.full(DIM, 0.5)]
+        return cls(np.concatenate([p.ravel() for p in parts]).astype(np.float32), words)
 
-    def contexts(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-        return self.c[0] * self.q[h1] + self.c[1] * self.q[h2]
+    def _context_tables(self) -> list[np.ndarray]:
+        """What a word adds to a context from either place before the token."""
+        return [np.column_stack([c * self.q, np.full(self.words, 0.5, np.float32)]) for c in self.c]
 
     @staticmethod
-    def _log_softmax(x: np.ndarray, vectors: np.ndarray, biases: np.ndarray, at: np.ndarray, out: np.ndarray) -> None:
-        """Add to ``out`` the log-probabilities of the outputs ``at`` of a level, a few rows at a time."""
+    def _log_softmax(x: np.ndarray, rows: np.ndarray, at: np.ndarray, got: np.ndarray) -> None:
+        """Add to ``got`` the log-probabilities of the outputs ``at`` of a level, a few contexts at a time."""
+        ones = np.ones(len(rows), np.float32)
         for a in range(0, len(x), ROWS):
             z = slice(a, a + ROWS)
-            s = x[z] @ vectors.T
-            s += biases
+            s = x[z] @ rows.T
             if s.max() > 60 or s.min() < -60:  # else no exponential leaves the range of its type
                 s -= s.max(1)[:, None]
             own = s[np.arange(len(s)), at[z]]
-            out[z] += own - np.log(np.exp(s, out=s).sum(1))
+            got[z] += own - np.log(np.exp(s, out=s) @ ones)
 
     def log_probs(self, w: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
         """Natural log-probabilities: that of a token's group and that of the token in it."""
-        out = np.empty(len(w), np.float32)
+        result, (near, far) = np.empty(len(w), np.float32), self._context_tables()
         for a in range(0, len(w), 1 << 16):
             z = slice(a, a + (1 << 16))
             order = np.argsort(w[z] // self.size, kind="stable")
-            ww, x = w[z][order], self.contexts(h1[z][order], h2[z][order])
+            ww, x = w[z][order], near.take(h1[z][order], 0)
+            x += far.take(h2[z][order], 0)
             group, got = ww // self.size, np.zeros(len(order), np.float32)
-            self._log_softmax(x, self.gr, self.gb, group, got)
+            self._log_softmax(x, self.out_g, group, got)
             cuts = np.flatnonzero(np.diff(group, prepend=-1, append=-1)).tolist()
             for i, k in zip(cuts[:-1], cuts[1:]):
                 first = int(group[i]) * self.size
                 mine = slice(first, first + self.size)
-                self._log_softmax(x[i:k], self.r[mine], self.b[mine], ww[i:k] - first, got[i:k])
-            out[a + order] = got
-        return out
+                self._log_softmax(x[i:k], self.out[mine], ww[i:k] - first, got[i:k])
+            result[a + order] = got
+        return result
 
 
-def _spread(ids: np.ndarray, *rows: np.ndarray) -> list[np.ndarray]:
-    """Distinct ids and, for each of ``rows``, the sums of theirs."""
+def _spread(ids: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ids and the sums of their ``rows``."""
     order = np.argsort(ids, kind="stable")
     s = ids[order]
     first = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
-    return [s[first], *(np.add.reduceat(x.take(order, 0), first) for x in rows)]
+    return s[first], np.add.reduceat(rows.take(order, 0), first)
 
 
 def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], seed: int) -> int:
@@ -165,38 +172,43 @@ def train(model: Model, unigram: np.ndarray, streams: Iterator[tuple[np.ndarray,
         total *= np.float32(RATE)
         p[ids] += total
 
-    def nce(rows: str, bias: str, x: np.ndarray, ww: np.ndarray, noise: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    def nce(name: str, x: np.ndarray, ww: np.ndarray, noise: np.ndarray, logs: np.ndarray) -> np.ndarray:
         """Step a level's vectors and biases; the gradient of the contexts."""
-        r, b = getattr(model, rows), getattr(model, bias)
-        rw, rn = r.take(ww, 0), r.take(noise, 0)
+        n, rows = len(ww), getattr(model, name)
+        rw, rn = rows.take(ww, 0), rows.take(noise, 0)
         up = np.einsum("ij,ij->i", x, rw)
-        up += b[ww] - logs[ww]
+        up -= logs[ww]
         np.exp(up, out=up)
         up += 1
         np.reciprocal(up, out=up)
-        down = x @ rn.T
-        down += b[noise] - logs[noise]
-        np.exp(np.negative(down, out=down), out=down)
+        against = -rn
+        against[:, DIM] += logs[noise]
+        down = x @ against.T
+        np.exp(down, out=down)
         down += 1
         np.divide(np.float32(-RATIO / len(noise)), down, out=down)
-        dx = up[:, None] * rw
-        dx += down @ rn
-        ids, of_rows, of_bias = _spread(np.concatenate([ww, noise]), np.concatenate([up[:, None] * x, down.T @ x]), np.concatenate([up, down.sum(0)]))
-        step(rows, ids, of_rows)
-        step(bias, ids, of_bias)
+        dx = up[:, None] * rw[:, :DIM]
+        dx += down @ rn[:, :DIM]
+        grad = np.empty((n + len(noise), WIDTH), np.float32)
+        np.multiply(up[:, None], x, out=grad[:n])
+        np.matmul(down.T, x, out=grad[n:])
+        step(name, *_spread(np.concatenate([ww, noise]), grad))
         return dx
 
-    for w, h1, h2 in streams:
+    # Sorting two bytes a number takes a pass for each byte.
+    kind = np.uint16 if model.words <= 1 << 16 else np.int32
+    for w, h1, h2 in ((x.astype(kind) for x in stream) for stream in streams):
         # A batch takes every so many tokens: far apart from each other, but next to those of the batch before.
         stride = max(1, len(w) // BATCH)
         for a in range(stride):
             ww, a1, a2 = w[a::stride], h1[a::stride], h2[a::stride]
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), model.words - 1)
+            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), model.words - 1).astype(kind)
             q1, q2 = model.q.take(a1, 0), model.q.take(a2, 0)
-            x = model.c[0] * q1 + model.c[1] * q2
+            x = np.ones((len(ww), WIDTH), np.float32)
+            np.add(model.c[0] * q1, model.c[1] * q2, out=x[:, :DIM])
             with np.errstate(over="ignore"):  # what is too large for an exponential has a gradient of 0 or 1
-                dx = nce("r", "b", x, ww, noise, log_noise)
-                dx += nce("gr", "gb", x, ww // model.size, noise[:GROUP_NOISE] // model.size, log_groups)
+                dx = nce("out", x, ww, noise, log_noise)
+                dx += nce("out_g", x, ww // model.size, noise[:GROUP_NOISE] // model.size, log_groups)
             dc = np.stack([np.einsum("ij,ij->j", dx, q1), np.einsum("ij,ij->j", dx, q2)])
             step("q", *_spread(np.concatenate([a1, a2]), np.concatenate([dx * model.c[0], dx * model.c[1]])))
             step("c", slice(None), dc)
