@@ -48,7 +48,7 @@ def serp_normalise(spark: SparkSession, d: str) -> DataFrame:
     """Pages as search results (title, address, snippet); those without an address go."""
     p = table(spark, d, "pages").filter("coalesce(url, '') <> ''")
     title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    snippet = F.substring(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), 1, 80)
+    snippet = F.regexp_extract("html", "<h1>([^<]*)</h1>", 1)
     return p.select("page_id", chat.formatted_results(title, F.col("url"), snippet).alias("result"))
 
 
@@ -68,7 +68,7 @@ SQL: dict[str, str] = {
     "json_args": "with e as (select event_id, case when json_valid(props) then props else '{}' end as p from events) select event_id, len(json_keys(p))::int as n_keys, array_to_string(list_sort(json_keys(p)), ',') as keys from e",
     "catalog_filter": "select p_partkey, p_name, p_brand, p_type from part where contains(lower(p_name), 'ring') or contains(lower(p_brand), '#11') or contains(lower(p_type), 'promo')",
     "dedupe_names": "with n as (select p_partkey, p_name, row_number() over (partition by p_name order by p_partkey) as k from part) select p_partkey, case when k = 1 then p_name else p_name || '-' || k end as unique_name from n",
-    "serp_normalise": "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || url || chr(10) || left(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 80) || chr(10) || '---' as result from pages where coalesce(url, '') <> ''",
+    "serp_normalise": "select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) || chr(10) || url || chr(10) || regexp_extract(html, '<h1>([^<]*)</h1>', 1) || chr(10) || '---' as result from pages where coalesce(url, '') <> ''",
     "idle_sessions": f"""with g as (select user_id, ts, event_id, case when epoch_us(ts) - epoch_us(lag(ts) over w) > {GAP}::bigint * 1000000 then 1 else 0 end as b from events window w as (partition by user_id order by ts, event_id)),
         s as (select user_id, sum(b) over (partition by user_id order by ts, event_id rows unbounded preceding)::bigint as session from g) select user_id, session, count(*) as n_events from s group by all""",
 }
