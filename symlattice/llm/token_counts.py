@@ -25,7 +25,7 @@ from .common import arrow_rows, blocks, frequent, row_ids, stage, text_or_empty
 
 #: Rows of the broadcast table at most.
 HOT = 1 << 18
-BLOCK = 32 << 20
+BLOCK = 16 << 20
 
 
 def pretokens_of_words(words: list[str]) -> list[list[str]]:
