@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -35,11 +36,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
-def stage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends there, and a lost executor loses nothing."""
+def stage(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in a folder for each value of ``by``, and read it again: lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*by or []).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
     return out
@@ -49,9 +50,12 @@ def unstage(df: DataFrame) -> None:
     """Delete a staged table that nothing will read again."""
     path = getattr(df, "_staged_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+        delete_folder(df.sparkSession, path)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
 
 
 def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -61,6 +65,19 @@ def arrow_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Ready the session for eager Python steps over short rows, and leave its settings as they were."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], target_bytes: int = 16 << 20) -> Iterator[pa.Table]:
     """Join small Arrow batches into blocks of about ``target_bytes``, so that vectorised steps pay off."""
     held: list[pa.RecordBatch] = []

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum_mix, secret_scan
+from . import centroid_clusters, curriculum_mix, line_dedup, secret_scan
 from .bestfit_pack import pack_documents
 from .common import table
 from .imatch import imatch_report
 from .loglinear_lm import lm_scores
 from .near_dup import near_duplicates
 from .quality_cascade import quality_report
+from .spelling_groups import spelling_groups
 from .style_tree import extract_pages
 from .suffix_dedup import removed_passages
 from .token_counts import token_counts
@@ -62,5 +63,17 @@ def op10_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_token_counts, op4_style_tree, op5_loglinear_lm, op6_curriculum_mix, op7_quality_rules, op8_bestfit_packing, op9_imatch, op10_minhash_near_dup)}
-ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.oracle_sql(), "op6_curriculum_mix": curriculum_mix.ORACLE_SQL}
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_groups(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroid_clusters.cluster_report(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_suffix_dedup, op3_token_counts, op4_style_tree, op5_loglinear_lm, op6_curriculum_mix, op7_quality_rules, op8_bestfit_packing, op9_imatch, op10_minhash_near_dup, op11_line_dedup, op12_spelling_groups, op13_centroid_clusters)}
+ORACLE_SQL: dict[str, str] = {"op1_secret_scan": secret_scan.oracle_sql(), "op6_curriculum_mix": curriculum_mix.ORACLE_SQL, "op11_line_dedup": line_dedup.ORACLE_SQL, "op13_centroid_clusters": centroid_clusters.oracle_sql()}
