@@ -1,16 +1,16 @@
 """Symbols and references of source files: one row for each file, parsed where it is read.
 
-A scan of tokens and brace depth finds declarations by a pattern for each language; Python goes through its own parser.
-Rows hold what a file declares and mentions; resolving names is left to joins.
+Tokens (``lexing``) are walked once, with the symbol that owns them and the types around them; Python goes through its own
+parser. Rows hold what a file declares and mentions, in the order of their places; resolving names is left to joins.
 """
 
 from __future__ import annotations
 
 import ast
-import re
-from bisect import bisect_left
+import io
+import tokenize
+from bisect import bisect_right
 from collections.abc import Iterator
-from functools import lru_cache, partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,146 +18,916 @@ from pyspark.sql import functions as F
 
 from ..functions.shipping import ship
 from ..functions.text import clean_signature, first_doc_line
+from .lexing import Token, mates, tokens
 
 NODE = "struct<line:int,kind:int,name:string,receiver:string,signature:string,doc:string,embeds:array<string>>"
 REFERENCE = "struct<kind:int,pkg:string,name:string,line:int,owner:int>"
 SCHEMA = f"path string, nodes array<{NODE}>, refs array<{REFERENCE}>, imports map<string,string>"
 CALL, REF = 1, 2
 FUNC, METHOD, TYPE, INTERFACE, STRUCT, VAR, CONST = 1, 2, 3, 4, 5, 6, 7
-_LANGUAGE = {e: n for n, es in {"go": ".go", "py": ".py .pyw", "rb": ".rb .rake"}.items() for e in es.split()}
-_WORD = r"[A-Za-z_]\w*"
-_SILENT = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`[^`]*`", re.S)
-_HASHED = re.compile(r"#[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'")
-_KEYWORDS = frozenset("if for while switch catch return new throw else do case func function def class interface struct enum trait impl match when try using lock sizeof typeof defer go select range make len cap append panic super this self not and or in is until unless end begin".split())
-_GO = re.compile(rf"^func\s+(?:\(\s*(?:{_WORD}\s+)?\*?(?P<recv>{_WORD})[^)]*\)\s*)?(?P<func>{_WORD})(?P<sig>[^{{\n]*)|^type\s+(?P<type>{_WORD})(?:\[[^\]]*\])?\s+(?P<what>struct|interface)?|^\s*(?P<vc>var|const)\s+(?P<name>{_WORD})", re.M)
-_KINDS = {"class": STRUCT, "interface": INTERFACE, "struct": STRUCT, "union": STRUCT, "enum": TYPE, "trait": INTERFACE, "object": TYPE, "module": TYPE, "mod": TYPE, "mixin": TYPE, "record": STRUCT}
-_BRACED = re.compile(
-    rf"\b(?P<kind>class|interface|struct|union|enum|trait|object|mixin|record|mod)\s+(?P<type>{_WORD})|\b(?:type|typealias)\s+(?P<alias>{_WORD})\s*(?:<[^=;{{\n]*>)?\s*=(?!=)|\bimpl\b[^{{;]*?(?P<impl>{_WORD})\s*(?:<[^{{]*>)?\s*\{{"
-    rf"|\b(?:fn|fun|func|function|def)\s+(?P<func>{_WORD})(?P<fsig>\s*(?:<[^>(]*>)?\([^)]*\)[^{{;=\n]*)|(?P<call>{_WORD})(?P<csig>\s*\([^()]*\)[^{{;}}()=]*)(?=\{{)"
-    rf"|\b(?P<vc>const|let|var|val|static)\s+(?:mut\s+)?(?P<name>{_WORD})|(?P<open>\{{)|(?P<shut>\}})"
-)
-
-
-def _blank(pattern: re.Pattern, source: str) -> str:
-    """The source with comments and strings as spaces, lines in place."""
-    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), source)
-
-
-@lru_cache(maxsize=2)
-def _ends(source: str) -> list[int]:
-    return [m.start() for m in re.finditer("\n", source)]
-
-
-def _line(source: str, at: int) -> int:
-    return bisect_left(_ends(source), at) + 1
-
-
-def _doc(lines: list[str], line: int) -> str:
-    above = lines[line - 2].strip() if line > 1 else ""
-    return above if above.startswith(("//", "#", "/*", "*")) else ""
+LANGUAGES = {
+    "go": ".go", "python": ".py .pyw", "ruby": ".rb .rake", "typescript": ".ts .mts .cts .tsx", "javascript": ".js .mjs .cjs .jsx", "java": ".java", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp .hxx .hh",
+    "csharp": ".cs", "php": ".php .module .inc", "rust": ".rs", "kotlin": ".kt .kts", "scala": ".scala .sc", "dart": ".dart",
+}
+_LANGUAGE = {e: n for n, es in LANGUAGES.items() for e in es.split()}
+_LEXICON = {"typescript": "script", "javascript": "script", "cpp": "c"}
+_SCRIPTS, _C, _TYPED = ("typescript", "javascript"), ("c", "cpp"), ("java", "csharp")
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+#: Words that may stand before a bracket and call nothing, by language.
+_CONTROL = _words("if for while switch catch return")
+_NOT_CALLED = {
+    "go": _words("if for switch select return go defer func case range else chan map struct interface var const type"), "ruby": _words("if unless while until case when return and or not yield super defined? in then do else elsif begin end"),
+    "typescript": _CONTROL | _words("function typeof new delete void in of await async yield throw case super with constructor else do instanceof"), "java": _CONTROL | _words("synchronized try throw new this super assert case else do"),
+    "c": _CONTROL | _words("sizeof alignof _Alignof typeof __attribute__ defined else do case"), "cpp": _CONTROL | _words("sizeof alignof decltype typeid noexcept throw new delete static_assert alignas operator else do case explicit requires co_return co_await static_cast dynamic_cast const_cast reinterpret_cast"),
+    "csharp": _CONTROL | _words("foreach lock using fixed sizeof typeof nameof default checked unchecked new base this throw when case else do await stackalloc"), "php": _CONTROL | _words("foreach elseif function fn array list isset unset empty exit die echo print new declare match catch else do case and or xor include require"),
+    "rust": _words("if while for match return fn loop in as let mut move unsafe impl where else box dyn ref pub crate self Self super"), "kotlin": _CONTROL | _words("when fun constructor init try throw in is as else do super this get set by object val var"),
+    "scala": _CONTROL | _words("match case def new throw yield try else do this super given using extends with"), "dart": _CONTROL | _words("assert super this new const await throw case else do in is as"),
+}
+_NOT_CALLED["javascript"] = _NOT_CALLED["typescript"]
+_CLASS, _FACE = {"class": STRUCT}, {"interface": INTERFACE}
+_TYPES = {
+    "typescript": _CLASS | _FACE | {"enum": TYPE}, "javascript": _CLASS, "java": _CLASS | _FACE | {"enum": TYPE, "record": STRUCT}, "c": {"struct": STRUCT, "union": STRUCT, "enum": TYPE}, "cpp": _CLASS | {"struct": STRUCT, "union": STRUCT, "enum": TYPE},
+    "csharp": _CLASS | _FACE | {"struct": STRUCT, "enum": TYPE, "record": STRUCT}, "php": _CLASS | _FACE | {"trait": INTERFACE, "enum": TYPE}, "rust": {"struct": STRUCT, "union": STRUCT, "enum": TYPE, "trait": INTERFACE, "mod": TYPE},
+    "kotlin": _CLASS | _FACE | {"object": TYPE}, "scala": _CLASS | {"trait": INTERFACE, "object": TYPE, "enum": TYPE}, "dart": _CLASS | {"mixin": TYPE, "enum": TYPE},
+}
+_FUNCTIONS = {"typescript": "function", "javascript": "function", "php": "function", "rust": "fn", "kotlin": "fun", "scala": "def"}
+_ALIASES = {"typescript": "type", "rust": "type", "scala": "type", "kotlin": "typealias"}
+_VARIABLES = {"typescript": dict.fromkeys(("const", "let", "var"), VAR), "rust": {"const": CONST, "static": VAR}, "kotlin": dict.fromkeys(("val", "var"), VAR), "scala": dict.fromkeys(("val", "var"), VAR)}
+_VARIABLES["javascript"] = _VARIABLES["typescript"]
+#: Languages in which nothing is called at the beginning of a statement of a type's body: constants of enumerations look so.
+_QUIET_TYPES = ("java", "csharp", "kotlin", "dart", "php", "cpp")
+#: Words before a declaration that belong to it, and those that only stand before it.
+_MODIFIERS = _words("public private protected internal static final abstract override virtual sealed readonly async open data inner suspend inline external lateinit tailrec operator infix implicit lazy case partial unsafe extern pub native synchronized transient volatile strictfp default required covariant late factory get set new friend constexpr typename companion annotation value const var")
+_AROUND = _words("export default declare template")
+_PRIMITIVES = _words("void int long short byte char float double boolean bool string object decimal uint ulong ushort sbyte var dynamic nint nuint")
+_STATEMENTS = _words("return throw new else case goto import package using namespace await yield assert break continue do in is as if while for switch delete typeof")
 
 
 def _node(line: int, kind: int, name: str, receiver: str = "", signature: str = "", doc: str = "", embeds: list[str] | None = None) -> dict:
     return {"line": line, "kind": kind, "name": name, "receiver": receiver, "signature": " ".join(signature.split()), "doc": doc, "embeds": embeds or []}
 
 
-def _mentions(source: str, body: tuple[int, int], owner: int, imports: dict[str, str] | None, idents: bool) -> list[dict]:
-    """Calls in a body and, if asked for, other identifiers; ``pkg`` stays only for imported names."""
-    out, seen = [], set()
-    text = source[body[0] : body[1]]
-    for m in re.finditer(rf"(?:({_WORD})\s*\.\s*)?(?:{_WORD}\s*\.\s*)*({_WORD})\s*\(", text):
-        if m[2] not in _KEYWORDS:
-            pkg = m[1] if imports and m[1] in imports else ""
-            out.append({"kind": CALL, "pkg": pkg, "name": m[2], "line": _line(source, body[0] + m.start(2)), "owner": owner})
-        seen.update(range(m.start(), m.end()))
-    if idents:
-        for m in re.finditer(rf"(?<![\w.]){_WORD}", text):
-            if m.start() not in seen and m[0] not in _KEYWORDS:
-                out.append({"kind": REF, "pkg": "", "name": m[0], "line": _line(source, body[0] + m.start()), "owner": owner})
+def in_none_of(places: list[int], ranges: list[tuple[int, int]]) -> list[bool]:
+    """For each of ``places`` whether no half-open range holds it: ranges are sorted and united once, places looked up."""
+    starts, ends = [], []
+    for a, b in sorted(ranges):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        elif a < b:
+            starts.append(a)
+            ends.append(b)
+    out = []
+    for p in places:
+        k = bisect_right(starts, p) - 1
+        out.append(k < 0 or p >= ends[k])
     return out
 
 
-def _closing(source: str, at: int) -> int:
-    depth = 0
-    for m in re.compile(r"[{}]").finditer(source, at):
-        depth += 1 if m[0] == "{" else -1
-        if not depth:
-            return m.start()
-    return len(source)
-
-
-class _Entry:
-    """An entry of a grouped Go declaration, as a match of ``_GO`` would show it."""
-
-    def __init__(self, at: int, end: int, **groups: str) -> None:
-        self.at, self.ends, self.groups = at, end, groups
-
-    def start(self) -> int:
-        return self.at
-
-    def end(self) -> int:
-        return self.ends
-
-    def groupdict(self) -> dict[str, str | None]:
-        return dict.fromkeys(("func", "recv", "sig", "type", "what", "vc", "name")) | self.groups
+class _Walk:
+    """What the walks of all languages share: tokens, brackets, symbols, and references with the places that order them."""
+
+    def __init__(self, source: str, language: str) -> None:
+        self.source, self.language = source, language
+        self.ts = tokens(source, _LEXICON.get(language, language))
+        self.mate = mates(self.ts)
+        self.nodes: list[dict] = []
+        self.found: list[tuple[int, int, dict]] = []
+        self.not_called = _NOT_CALLED[language]
+        self.heads: set[int] = set()  # brackets of declared parameters
+
+    def text(self, i: int) -> str:
+        return self.ts[i].text if 0 <= i < len(self.ts) else ""
+
+    def is_name(self, i: int) -> bool:
+        return 0 <= i < len(self.ts) and self.ts[i].kind == "n"
+
+    def between(self, lo: int, hi: int) -> str:
+        """The source from one token's end to another one's start."""
+        return self.source[self.ts[lo].end : self.ts[hi].start if hi < len(self.ts) else len(self.source)]
+
+    def closed(self, i: int) -> int:
+        """The place after the bracket at ``i`` and all in it."""
+        return min(self.mate[i], len(self.ts) - 1) + 1
+
+    def angles(self, i: int) -> int:
+        """The place after ``<...>`` from ``i`` on; ``i`` if what stands there are no type arguments."""
+        depth, k = 0, i
+        while k < len(self.ts) and k < i + 200:
+            t = self.ts[k].text
+            if t == "<":
+                depth += 1
+            elif t == ">":
+                depth -= 1
+                if not depth:
+                    return k + 1
+            elif t in ("(", "[") or t == "{" and self.language in _SCRIPTS:
+                k = self.closed(k)
+                continue
+            elif t in (";", "{", "}", "&&", "||", ")", "]"):
+                return i
+            k += 1
+        return i
+
+    def led_byangles(self, i: int) -> int:
+        """The place before ``<...>`` that ends at ``i``; ``i`` if it is none."""
+        depth, k = 0, i
+        while k >= 0 and k > i - 60:
+            t = self.ts[k]
+            if t.text in (">", "<"):
+                depth += 1 if t.text == ">" else -1
+                if not depth:
+                    return k - 1
+            elif t.text in (")", "]"):
+                k = max(self.mate[k], 0)
+            elif t.kind == "p" and t.text not in (",", ".", "::", "?", "&", "|", "*", "->", "[", "=>", ":"):
+                return i
+            k -= 1
+        return i
+
+    def head(self, k: int, hi: int) -> None:
+        """Note the bracket of parameters that follows a declared name, maybe after type parameters."""
+        k = self.angles(k) if self.text(k) == "<" else self.closed(k) if self.text(k) == "[" else k
+        if k < hi and self.text(k) == "(":
+            self.heads.add(k)
+
+    def refer(self, i: int, end: int, kind: int, name: str, owner: int, pkg: str = "") -> None:
+        self.found.append((self.ts[i].start, -self.ts[min(end, len(self.ts) - 1)].end, {"kind": kind, "pkg": pkg, "name": name, "line": self.ts[i].line, "owner": owner}))
+
+    def function_word(self, k: int) -> int:
+        """The word of the function without a name whose head ends at ``k``; -1 if none does."""
+        while k > 0:
+            t = self.text(k)
+            if t in ("func", "function"):
+                return k
+            if t in (")", "]", "}") and self.mate[k] > 0 and (t != "}" or self.text(self.mate[k] - 1) in ("interface", "struct", ":")):
+                k = self.mate[k] - 1
+            elif t in (".", "*", ":") or self.is_name(k) and t not in ("return", "if", "for", "case", "switch", "range"):
+                k -= 1
+            else:
+                return -1
+        return -1
+
+    def chain_start(self, i: int) -> int:
+        """Where the chain of members begins whose last part stands at ``i``: a name, or the end of brackets."""
+        while i > 0:
+            if self.ts[i].text in (")", "]", "}") and self.mate[i] >= 0:
+                k = self.mate[i]
+                before = k - 1
+                if self.text(i) == "}":
+                    at = self.function_word(before)
+                    if at >= 0:
+                        return at
+                    if self.language != "go" or not self.is_name(before) or self.text(before) in self.not_called:
+                        return i
+                    i = before  # a value of a named type
+                    continue
+                if self.text(before) == ">" and (b := self.led_byangles(before)) != before:
+                    before = b
+                if before >= 0 and (self.is_name(before) and self.text(before) not in self.not_called or self.text(before) in (")", "]")) and not (self.ts[k].first and self.language != "go"):
+                    i = before
+                    continue
+                i = k
+            step = i - 1
+            if step > 0 and self.text(step) in (".", "?.", "::", "->", "!.") and (self.is_name(step - 1) or self.text(step - 1) in (")", "]", "}", ">", "?", "!") or self.ts[step - 1].kind == "v"):
+                i = step - 1
+                if self.text(i) in ("?", "!"):
+                    i -= 1
+                if self.text(i) == ">":
+                    i = self.led_byangles(i)
+                if self.ts[i].kind == "v":
+                    return i
+                continue
+            return i - 1 if self.text(i - 1) == "new" else i
+        return i
+
+    def last_name(self, lo: int, hi: int) -> str:
+        return next((self.ts[k].text for k in range(hi, lo - 1, -1) if self.is_name(k)), "")
+
+    def call(self, i: int, owner: int) -> None:
+        """A call if one's bracket opens at ``i``; its place is where its chain begins."""
+        if i in self.heads:
+            return
+        k = i - 1
+        if self.text(k) == "?." and self.language in _SCRIPTS:
+            k -= 1
+        if self.text(k) == ">":
+            k = self.led_byangles(k)
+            k = k - 1 if self.text(k) == "::" else k
+        if k < 0 or not self.is_name(k) or self.text(k) in self.not_called and self.text(k - 1) not in (".", "?.", "->"):
+            if not (k > 0 and self.text(k) in (")", "]") and self.language in (*_SCRIPTS, "go") and self.mate[k] > 0 and not self.ts[i].first):
+                return
+            if not self.is_name(self.mate[k] - 1) or self.text(self.mate[k] - 1) in self.not_called:
+                return
+        start = self.chain_start(k)
+        if self.text(start) == "new" or self.text(k - 1) == "new" or self.text(k - 1) == "@" and self.language in ("java", "kotlin", "scala", "dart") or self.text(k) in ("Fn", "FnMut", "FnOnce") and self.language == "rust":
+            return
+        self.refer(start, self.mate[i], CALL, self.ts[k].text.lstrip("#") if self.is_name(k) else self.last_name(start, k), owner)
+
+    def result(self) -> tuple[list, list, dict]:
+        return self.nodes, [r for _, _, r in sorted(self.found, key=lambda x: x[:2])], {}
+
+
+class _Go(_Walk):
+    """Go: declarations by their words, and identifiers outside of declared names and callees as references."""
+
+    def __init__(self, source: str) -> None:
+        super().__init__(source, "go")
+        self.imports: dict[str, str] = {}
+        self.skipped: list[tuple[int, int]] = []
+        self.named: list[tuple[int, int]] = []  # (token, owner) of identifiers
+
+    def skip(self, lo: int, hi: int) -> None:
+        self.skipped.append((self.ts[lo].start, self.ts[hi].end))
+
+    def line_end(self, i: int, hi: int) -> int:
+        """Where the entry that begins at ``i`` ends: at a semicolon or a line that begins outside of brackets."""
+        k = i
+        while k < hi:
+            if self.text(k) == ";" or k > i and self.ts[k].first and self.text(k - 1) not in (",", "=", ".", "+", "-", "*", "/", "&&", "||", "|", "<-", ":=", "=="):
+                return k
+            k = self.closed(k) if self.text(k) in ("(", "[", "{") else k + 1
+        return min(k, hi)
+
+    def walk(self, lo: int, hi: int, owner: int) -> None:
+        i = lo
+        while i < hi:
+            t = self.ts[i]
+            if t.kind == "n":
+                if t.text == "import" and owner < 0:
+                    i = self.take_imports(i + 1)
+                    continue
+                if t.text == "func" and owner < 0:
+                    i = self.function(i, hi)
+                    continue
+                if t.text in ("type", "var", "const") and self.text(i - 1) != ".":
+                    i = self.group(i, hi, owner)
+                    continue
+                if t.text == "package":
+                    i += 2
+                    continue
+                if owner >= 0:
+                    self.identifier(i, owner)
+            elif t.text == "(":
+                self.go_call(i, owner)
+            i += 1
+
+    def identifier(self, i: int, owner: int) -> None:
+        before, after = self.text(i - 1), self.text(i + 1)
+        if self.text(i) in ("nil", "true", "false", "iota", "_") or self.text(i) in _GO_WORDS or before == "." and self.text(i - 2) != "(":
+            if not (before == "." and self.is_name(i - 2) and self.text(i - 3) != "." and self.text(i - 2) in self.imports and not (after == "(" or after == ".")):
+                return
+            if not self.type_place(i - 2):
+                return
+        elif after == "." and self.text(i) in self.imports and self.type_place(i):
+            return  # a package before a type
+        self.named.append((i, owner))
+
+    def type_place(self, i: int) -> bool:
+        """Whether the name at ``i`` begins a type: after a name, a star, brackets or a word for a type, not in an expression."""
+        b = self.text(i - 1)
+        return b in ("*", "]", "chan", "map", "<-", "interface", "struct") or self.is_name(i - 1) and b not in _GO_WORDS
+
+    def take_imports(self, i: int) -> int:
+        end = self.closed(i) if self.text(i) == "(" else i + 1 + (self.ts[i].kind != "v" if i < len(self.ts) else 0)
+        for k in range(i, min(end, len(self.ts))):
+            if self.ts[k].kind == "v":
+                path, alias = self.ts[k].text.strip('"`'), self.text(k - 1)
+                if alias not in (".", "_"):
+                    self.imports[alias if self.is_name(k - 1) and alias != "import" else path.rpartition("/")[2]] = path
+        return end
+
+    def function(self, i: int, hi: int) -> int:
+        k, receiver = i + 1, ""
+        if self.text(k) == "(":
+            receiver = self.receiver(k + 1, self.mate[k])
+            k = self.closed(k)
+        if not self.is_name(k):
+            return i + 1
+        owner = len(self.nodes)
+        end, body = self.header_end(k + 1, hi)
+        self.skip(k, k)
+        self.head(k + 1, hi)
+        self.nodes.append(_node(self.ts[i].line, METHOD if receiver else FUNC, self.text(k), receiver, self.between(k, end), self.ts[i].doc))
+        if self.text(i + 1) == "(":
+            self.walk(i + 2, self.mate[i + 1], owner)
+        stop = self.closed(body) if body else end
+        self.walk(k + 1, stop, owner)
+        return stop
+
+    def receiver(self, lo: int, hi: int) -> str:
+        names = [k for k in range(lo, hi) if self.is_name(k)]
+        if not names:
+            return ""
+        bracket = next((k for k in range(lo, hi) if self.text(k) == "["), hi)
+        return self.text(max((k for k in names if k < bracket), default=names[-1]))
+
+    def header_end(self, k: int, hi: int) -> tuple[int, int]:
+        """(where a signature ends, the place of the body or 0)."""
+        start = k
+        while k < hi:
+            t = self.text(k)
+            if t == "{":
+                if self.text(k - 1) not in ("interface", "struct"):
+                    return k, k
+                k = self.closed(k)
+            elif t in ("(", "["):
+                k = self.closed(k)
+            elif t == ";" or k > start and self.ts[k].first:
+                return k, 0
+            else:
+                k += 1
+        return hi, 0
+
+    def group(self, i: int, hi: int, owner: int) -> int:
+        word = self.text(i)
+        if self.text(i + 1) == "(":
+            k, end = i + 2, self.mate[i + 1]
+            while k < end:
+                if self.text(k) == ";":
+                    k += 1
+                    continue
+                stop = self.line_end(k, end)
+                self.entry(word, k, stop, self.ts[k].doc)
+                k = max(stop, k + 1)
+            return self.closed(i + 1)
+        if not self.is_name(i + 1):
+            return i + 1
+        stop = self.line_end(i + 1, hi)
+        self.entry(word, i + 1, stop, self.ts[i].doc)
+        return max(stop, i + 2)
+
+    def entry(self, word: str, i: int, end: int, doc: str) -> None:
+        if not self.is_name(i):
+            return
+        owner, line = len(self.nodes), self.ts[i].line
+        self.skip(i, i)
+        if word != "type":
+            k = i
+            while True:
+                self.nodes.append(_node(line, VAR if word == "var" else CONST, self.text(k), doc=doc))
+                self.skip(k, k)
+                if self.text(k + 1) != "," or k + 2 >= end:
+                    break
+                k += 2
+            self.walk(k + 1, end, owner)
+            return
+        k = i + 1
+        if self.text(k) == "[" and self.closed(k) < end and self.text(self.closed(k) - 1) == "]" and self.closed(k) - k > 3:
+            k = self.closed(k)  # type parameters
+        k += self.text(k) == "="
+        what = {"struct": STRUCT, "interface": INTERFACE}.get(self.text(k), TYPE)
+        self.nodes.append(_node(line, what, self.text(i), doc=doc))
+        if what == TYPE or self.text(k + 1) != "{":
+            self.walk(i + 1, end, owner)
+            return
+        self.walk(i + 1, k, owner)
+        self.members(k + 2, self.mate[k + 1], owner, what == INTERFACE)
+
+    def members(self, i: int, end: int, owner: int, face: bool) -> None:
+        """Fields are no symbols, methods of an interface are; what has a type alone is embedded."""
+        while i < end:
+            if self.text(i) in (";", ","):
+                i += 1
+                continue
+            stop = max(self.line_end(i, end), i + 1)
+            k = i + (self.text(i) == "*")
+            last = k + 2 if self.text(k + 1) == "." else k
+            after = last + 1
+            if self.text(after) == "[" and self.closed(after) >= stop:
+                after = self.closed(after)
+            if face and self.is_name(i) and self.text(i + 1) == "(":
+                mine = len(self.nodes)
+                self.nodes.append(_node(self.ts[i].line, METHOD, self.text(i), self.nodes[owner]["name"], self.source[self.ts[i].end : self.ts[stop - 1].end], self.ts[i].doc))
+                self.skip(i, i)
+                self.head(i + 1, stop)
+                self.walk(i + 1, stop, mine)
+            elif self.is_name(k) and self.is_name(last) and (after >= stop or self.ts[after].kind == "v"):
+                self.nodes[owner]["embeds"].append(self.text(last))
+                self.refer(i, stop - 1, REF, self.text(last), owner)
+                self.named.append((last, owner))
+            else:
+                while self.is_name(k) and self.text(k + 1) == ",":
+                    k += 2
+                if self.text(k + 1) in ("struct", "interface") and self.text(k + 2) == "{":
+                    self.members(k + 3, self.mate[k + 2], owner, False)
+                else:
+                    self.walk(k if face else k + 1, stop, owner)
+            i = stop
+
+    def go_call(self, i: int, owner: int) -> None:
+        if i in self.heads:
+            return
+        k = i - 1
+        if self.text(k) == "]" and self.is_name(self.mate[k] - 1):
+            k = self.mate[k] - 1  # type arguments
+        if self.text(k) == "}":
+            start = self.chain_start(k)
+            if self.text(start) != "func" or self.ts[i].first:
+                return
+        elif self.text(k) == ")":
+            if self.mate[k] < 1 or self.ts[i].first or self.text(self.mate[k] - 1) in _GO_WORDS or self.text(self.mate[k] - 1) == ")":
+                return
+            start = self.chain_start(k)
+            if self.text(start - 1) == "func" or self.is_name(start - 1) and self.text(start - 2) == "func":
+                return
+        elif not self.is_name(k) or self.text(k) in _GO_WORDS or self.text(k - 1) in ("]", "func"):
+            return
+        else:
+            start = self.chain_start(k)
+            if self.text(start - 1) == "]" or self.text(start - 1) == "func":
+                return  # a conversion to a slice or array
+        operand = self.text(k - 2) if self.text(k - 1) == "." and start == k - 2 else ""
+        self.refer(start, self.mate[i], CALL, self.last_name(start, k), owner, operand if operand in self.imports else "")
+        self.skip(start, i - 1 if k == i - 1 else k)
+
+    def result(self) -> tuple[list, list, dict]:
+        free = in_none_of([self.ts[i].start for i, _ in self.named], self.skipped)
+        for (i, owner), counts in zip(self.named, free):
+            if counts:
+                self.refer(i, i, REF, self.text(i), owner)
+        nodes, refs, _ = super().result()
+        return nodes, refs, self.imports
+
+
+_GO_WORDS = _words("break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var")
+
+
+class _Braced(_Walk):
+    """Languages with braces. ``place`` is top (of a file or namespace), type (a type's body), code or args."""
+
+    def __init__(self, source: str, language: str) -> None:
+        super().__init__(source, language)
+        self.types, self.word = _TYPES[language], _FUNCTIONS.get(language, "")
+        self.variables, self.alias = _VARIABLES.get(language, {}), _ALIASES.get(language, "")
+
+    def walk(self, lo: int, hi: int, owner: int, holders: tuple[str, ...] = (), place: str = "top", direct: bool = False) -> None:
+        i = lo
+        while i < hi:
+            t = self.ts[i]
+            if t.kind == "n":
+                k = self.declared(i, hi, owner, holders, place, direct)
+                if k > i:
+                    i = k
+                    continue
+                if self.language == "kotlin" and self.text(i + 1) == "{" and place != "type" and t.text not in self.not_called and not self.ts[i + 1].first and self.text(i - 1) not in (":", "->", "class", "interface", "object"):
+                    self.refer(self.chain_start(i), self.mate[i + 1], CALL, t.text, owner)
+            elif t.text in ("(", "[", "{") and t.kind == "p":
+                if t.text == "(" and not (place == "type" and self.language in _QUIET_TYPES and self.text(i - 2) in ("{", "}", ",", ";")):
+                    self.call(i, owner)
+                inner, near = "args" if t.text != "{" else "code", direct and t.text != "{"
+                if t.text == "{" and place == "top" and self.opens_namespace(i):
+                    inner, near = "top", direct
+                elif t.text == "{" and self.opens_anonymous(i):
+                    inner, near = "type", bool(holders)
+                elif t.text == "{" and place == "type":
+                    near = False
+                self.walk(i + 1, min(self.mate[i], hi), owner, holders, inner, near)
+                i = self.closed(i)
+                continue
+            i += 1
+
+    def opens_namespace(self, i: int) -> bool:
+        k = i - 1
+        while k >= 0 and (self.ts[k].kind in "nv" or self.text(k) in (".", "::", "\\")) and i - k < 12:
+            if self.text(k) in ("namespace", "extern", "module", "package", "impl", "extension"):
+                return True
+            k -= 1
+        return False
+
+    def opens_anonymous(self, i: int) -> bool:
+        if self.language == "kotlin":
+            return any(self.text(k) == "object" for k in range(max(0, i - 8), i))
+        if self.language not in ("java", "csharp", "dart", "scala", "php") or self.text(i - 1) != ")" and self.language != "scala":
+            return False
+        k = self.chain_start(i - 1) if self.text(i - 1) == ")" else i - 1
+        return self.text(k) == "new" or self.text(k - 1) == "new"
+
+    def lead(self, i: int) -> tuple[int, int]:
+        """(first token of the declaration at ``i`` with its modifiers, first one of all that stands before it)."""
+        own = i
+        while own > 0:
+            t = self.ts[own - 1]
+            if t.kind == "n" and t.text in _MODIFIERS and self.text(own - 2) not in (".", "?."):
+                own -= 1
+            elif t.kind == "n" and self.text(own - 2) == "@" and self.language not in _SCRIPTS:
+                own -= 2
+            elif t.text == ")" and self.mate[own - 1] > 1 and self.text(self.mate[own - 1] - 2) == "@" and self.language not in _SCRIPTS:
+                own = self.mate[own - 1] - 2
+            elif t.text == "]" and self.language == "csharp" and self.mate[own - 1] >= 0 and self.text(self.mate[own - 1] - 1) in ("", ";", "{", "}", "]"):
+                own = self.mate[own - 1]
+            elif t.text == ")" and self.mate[own - 1] > 0 and self.text(self.mate[own - 1] - 1) == "pub":
+                own = self.mate[own - 1] - 1
+            else:
+                break
+        outer = own
+        while outer > 0:
+            t = self.ts[outer - 1]
+            if t.kind == "n" and (t.text in _AROUND or self.text(outer - 2) == "@"):
+                outer -= 2 if self.text(outer - 2) == "@" else 1
+            elif t.text == ")" and self.mate[outer - 1] > 1 and self.text(self.mate[outer - 1] - 2) == "@":
+                outer = self.mate[outer - 1] - 2
+            elif t.text == "]" and self.mate[outer - 1] > 0 and self.text(self.mate[outer - 1] - 1) == "#":
+                outer = self.mate[outer - 1] - 1
+            elif t.text == ">" and (b := self.led_byangles(outer - 1)) != outer - 1 and self.text(b) == "template":
+                outer = b
+            else:
+                break
+        return own, outer
+
+    def declared(self, i: int, hi: int, owner: int, holders: tuple[str, ...], place: str, direct: bool) -> int:
+        """The place after what is declared at ``i``; ``i`` if nothing is."""
+        word, before = self.text(i), self.text(i - 1)
+        if before in (".", "?.", "->") or before == "::" and not (self.language == "cpp" and self.text(i + 1) == "("):
+            return i
+        if word in self.types and self.is_name(i + 1) and not (self.language == "cpp" and before in ("<", ",")):
+            return self.type_(i, hi, owner, holders, place)
+        if word == "impl" and self.language == "rust":
+            return self.impl(i, hi, owner, holders)
+        if word == self.alias and self.is_name(i + 1) and place != "args":
+            k = self.angles(i + 2) if self.text(i + 2) == "<" else self.closed(i + 2) if self.text(i + 2) == "[" else i + 2
+            if self.text(k) == "=" or self.language == "rust" and self.text(k) in (":", ";"):
+                own, outer = self.lead(i)
+                self.nodes.append(_node(self.ts[own].line, TYPE, self.text(i + 1), doc=self.ts[outer].doc))
+                return k
+            return i
+        if word == self.word:
+            return self.function(i, hi, owner, holders, direct)
+        if word in self.variables and place != "args" and not (self.language in ("kotlin", "scala") and before == "("):
+            return self.variable(i, hi, owner, holders)
+        if self.language in _TYPED or self.language == "php":
+            k = self.typed(i, hi, owner, holders, place)
+            if k > i:
+                return k
+        if self.text(i + 1) == "(" or self.text(i + 1) == "<":
+            return self.method(i, hi, owner, holders, place, direct)
+        return i
+
+    def type_(self, i: int, hi: int, owner: int, holders: tuple[str, ...], place: str) -> int:
+        word, k, led_by = self.text(i), i + 1, self.text(i - 1)
+        if word == "enum" and self.text(k) in ("class", "struct"):
+            k += 1
+        if word == "record" and self.text(k) in ("class", "struct"):
+            k += 1
+        name = self.text(k)
+        if not self.is_name(k) or self.language == "java" and word == "record" and self.text(k + 1) not in ("(", "<") or place == "args" and self.language not in (*_SCRIPTS, *_C):
+            return i
+        own, outer = self.lead(i)
+        kind = STRUCT if self.language == "kotlin" and word == "class" else self.types[word]
+        if self.language == "kotlin" and led_by == "enum":
+            kind = TYPE
+        mine, column = len(self.nodes), self.ts[own].column
+        body, j = 0, k + 1
+        while j < hi:
+            t = self.ts[j]
+            if t.text == "{":
+                body = j
+                break
+            if t.text in (";", ")", "}", ",") and not (t.text == "," and any(self.text(x) in (":", "implements", "extends", "with", "on") for x in range(k, j))) or t.text == "=" or self.language in _C and (t.text in ("(", "*", "&") or self.is_name(j) and t.text != "final" and self.text(j - 1) not in (":", ",", "::", "<", "public", "private", "protected", "virtual")):
+                break
+            if t.first and t.column <= column and t.text not in (":", "where", "extends", "implements", "with", "permits"):
+                break
+            j = self.angles(j) if t.text == "<" and self.angles(j) > j else self.closed(j) if t.text in ("(", "[") else j + 1
+        self.nodes.append(_node(self.ts[own].line, kind, name, doc=self.ts[outer].doc))
+        self.head(k + 1, j)
+        inner = (*holders, name)
+        self.walk(k + 1, j, mine, inner, "args", False)
+        if not body:
+            return j
+        self.walk(body + 1, min(self.mate[body], hi), mine, inner, "type", True)
+        return self.closed(body)
+
+    def impl(self, i: int, hi: int, owner: int, holders: tuple[str, ...]) -> int:
+        k = self.angles(i + 1) if self.text(i + 1) == "<" else i + 1
+        name, j = "", k
+        while j < hi and self.text(j) not in ("{", ";", "where"):
+            if self.text(j) == "for":
+                name = ""
+            elif self.is_name(j) and self.text(j) not in ("dyn", "mut"):
+                name = self.text(j)
+            j = self.angles(j) if self.text(j) == "<" and self.angles(j) > j else self.closed(j) if self.text(j) in ("(", "[") else j + 1
+        while j < hi and self.text(j) not in ("{", ";"):
+            j += 1
+        if self.text(j) != "{" or not name:
+            return i
+        self.walk(j + 1, min(self.mate[j], hi), owner, (*holders, name), "type", True)
+        return self.closed(j)
+
+    def body_of(self, k: int, hi: int, column: int, arrow: bool) -> tuple[int, str]:
+        """(where a function's head ends, what follows: '{', '=' for an expression, '' for nothing)."""
+        while k < hi:
+            t = self.ts[k]
+            if t.text == "{":
+                if self.text(k - 1) not in (":", "|", "&", "<", ",") or self.language not in _SCRIPTS:
+                    return k, "{"
+                k = self.closed(k)
+                continue
+            if t.text in (";", "}", ")", "]") or t.text == "," and self.language != "java" and self.language != "rust" and self.language != "cpp":
+                return k, ""
+            if t.text == "=" and self.language in ("kotlin", "scala", "cpp") or t.text == "=>" and arrow:
+                return k, "=" if self.language != "cpp" else ""
+            if t.first and t.column <= column and t.text not in ("where", "throws", ":", "->", "const", "noexcept", "override"):
+                return k, ""
+            if t.text == "<" and self.angles(k) > k:
+                k = self.angles(k)
+            else:
+                k = self.closed(k) if t.text in ("(", "[") else k + 1
+        return hi, ""
+
+    def expression_end(self, k: int, hi: int, column: int) -> int:
+        """Where an expression ends: at a separator, or at a line that is indented no deeper than its statement."""
+        while k < hi:
+            t = self.ts[k]
+            if t.text in (";", ",", ")", "]", "}"):
+                return k
+            if t.first and t.column <= column and t.text not in (".", "?.", "?", ":", "&&", "||", "+", "-", "=>", "else", "??", "|", "&", ")", "]", "}"):
+                return k
+            k = self.closed(k) if t.text in ("(", "[", "{") else k + 1
+        return hi
+
+    def line_column(self, i: int) -> int:
+        while i > 0 and not self.ts[i].first:
+            i -= 1
+        return self.ts[i].column
+
+    def into(self, k: int, what: str, hi: int, owner: int, holders: tuple[str, ...], column: int) -> int:
+        """Walk the body that begins at ``k``."""
+        if what == "{":
+            self.walk(k + 1, min(self.mate[k], hi), owner, holders, "code")
+            return self.closed(k)
+        if what == "=":
+            end = self.expression_end(k + 1, hi, column)
+            self.walk(k + 1, end, owner, holders, "code")
+            return end
+        return k
+
+    def function(self, i: int, hi: int, owner: int, holders: tuple[str, ...], direct: bool) -> int:
+        k = i + 1
+        k += self.text(k) in ("*", "&")
+        if self.language == "kotlin":
+            k = self.angles(k) if self.text(k) == "<" else k
+            while self.is_name(k) and self.text(k + 1) in (".", "<", "?."):
+                after = self.angles(k + 1) if self.text(k + 1) == "<" else k + 1
+                if self.text(after) not in (".", "?."):
+                    break
+                k = after + 1
+        if not self.text(k).startswith("`") and not self.is_name(k) or self.language in _SCRIPTS and self.text(self.lead(i)[0] - 1) in ("=", "(", ",", ":", "return", "=>", "?", "||", "&&", "new"):
+            self.head(k + 1, hi)
+            return i
+        own, outer = self.lead(i)
+        column, mine = self.line_column(own), len(self.nodes)
+        end, what = self.body_of(k + 1, hi, column, self.language == "php")
+        head = end + 1 if what == "=" and self.language == "scala" else end
+        sign = self.source[self.ts[k].end : self.ts[end - 1].end] if head == end else self.source[self.ts[k].end : self.ts[end].end]
+        kind = METHOD if direct and holders else FUNC
+        self.nodes.append(_node(self.ts[own].line, kind, self.text(k).strip("`"), holders[-1] if kind == METHOD else "", sign, self.ts[outer].doc))
+        self.head(k + 1, end)
+        self.walk(k + 1, end, mine, holders, "args")
+        return self.into(end, what, hi, mine, holders, column)
+
+    def variable(self, i: int, hi: int, owner: int, holders: tuple[str, ...]) -> int:
+        """``const`` and the like: each declarator owns what its value mentions."""
+        k, kind, column = i + 1, self.variables[self.text(i)], self.line_column(i)
+        if self.text(k) in ("fn", "unsafe", "extern", "async", "enum") or self.language == "rust" and self.text(k) == "{":
+            return i
+        k += self.text(k) == "mut"
+        own, outer = self.lead(i)
+        line, doc = (self.ts[k] if self.language in _SCRIPTS else self.ts[own]).line if k < len(self.ts) else 0, self.ts[outer].doc
+        while k < hi:
+            pattern = self.text(k) in ("{", "[", "(")
+            after = self.closed(k) if pattern else k + 1
+            if self.language == "kotlin" and self.text(k) == "<":
+                k = self.angles(k)
+                continue
+            if not pattern and not self.is_name(k) or self.text(after) in ("of", "in"):
+                return k
+            name = self.source[self.ts[k].start : self.ts[after - 1].end] if pattern and self.language in _SCRIPTS else next((self.text(x) for x in range(k, after) if self.is_name(x)), "")
+            if not name or name == "_":
+                return after
+            mine = len(self.nodes)
+            self.nodes.append(_node(line, kind, " ".join(name.split()), doc=doc))
+            end = self.expression_end(after, hi, column)
+            self.walk(after, end, mine, holders, "code")
+            k = end
+            if self.text(k) != "," or self.language not in _SCRIPTS:
+                return k
+            k += 1
+            line, doc = self.ts[min(k, len(self.ts) - 1)].line, ""
+        return k
+
+    def typed(self, i: int, hi: int, owner: int, holders: tuple[str, ...], place: str) -> int:
+        """Variables declared by a type before their names, at the beginning of a statement, and properties."""
+        own, outer = self.lead(i)
+        if self.language == "php":
+            own = self.statement_start(i)
+            if place != "type" or not self.text(i).startswith("$") or self.text(own) not in _MODIFIERS or self.text(i + 1) not in (";", "=", ","):
+                return i
+            outer, k = own, i
+        elif place == "args" and not (self.text(own - 1) == "(" and self.text(own - 2) in ("for", "using", "try", "fixed")) or own > 0 and self.text(own - 1) not in (";", "{", "}", "(", ")", ":", "]"):
+            return i
+        else:
+            k = i
+            if self.text(k) in _STATEMENTS or self.text(k) in _MODIFIERS and self.text(k) != "var":
+                return i
+            k += 1
+            while self.text(k) in (".", "::") and self.is_name(k + 1):
+                k += 2
+            k = self.angles(k) if self.text(k) == "<" else k
+            while self.text(k) in ("[", "?", "*"):
+                k = self.closed(k) if self.text(k) == "[" else k + 1
+            if not self.is_name(k) or k == i or self.text(k) in ("instanceof", "is", "as", "in"):
+                return i
+            prop = self.language == "csharp" and place == "type" and self.text(k + 1) in ("{", "=>")
+            if self.text(k + 1) not in ("=", ";", ",", "[") and not prop or self.text(k + 1) == "[" and self.language != "java":
+                return i
+        line, doc, column = self.ts[own].line, self.ts[outer].doc, self.line_column(own)
+        while k < hi and self.is_name(k):
+            mine = len(self.nodes)
+            self.nodes.append(_node(line, VAR, self.text(k).lstrip("$"), doc=doc))
+            end = k + 1
+            if self.text(end) == "{":
+                self.walk(end + 1, self.mate[end], mine, holders, "code")
+                end = self.closed(end)
+                if self.text(end) != "=":
+                    return end
+            stop = self.expression_end(end, hi, -1)
+            self.walk(end, stop, mine, holders, "code")
+            if self.text(stop) != ",":
+                return stop
+            k, line = stop + 1, self.ts[min(stop + 1, len(self.ts) - 1)].line
+        return k
+
+    def method(self, i: int, hi: int, owner: int, holders: tuple[str, ...], place: str, direct: bool) -> int:
+        """Functions without a word of their own: a name, parameters and a body."""
+        name, script = self.text(i), self.language in _SCRIPTS
+        open_ = self.angles(i + 1) if self.text(i + 1) == "<" else i + 1
+        if self.text(open_) != "(" or name in self.not_called - {"constructor"} or self.mate[open_] >= hi or self.language in ("php", "rust", "kotlin", "scala"):
+            return i
+        before = self.text(i - 1)
+        if before == "@":
+            return i
+        own, outer = self.lead(i)
+        if script:
+            brace = self.text(self.closed(open_)) == "{" and self.text(own - 1) in ("{", ",", "}", ";", "*")
+            if place == "args" and not brace or place != "type" and not brace:
+                return i
+            if self.text(own - 1) in (".", "=", "new", "(", ":", "=>"):
+                return i
+            own = min(own, i)
+        else:
+            if place not in ("type", "top"):
+                return i
+            typed = self.is_name(i - 1) and before not in _STATEMENTS or before in (">", "]", "*", "&", "?", "&&")
+            built = self.language in ("cpp", "dart") and direct and holders and name == holders[-1] or self.language == "cpp" and before in ("::", "~")
+            if not typed and not built:
+                if holders and name == holders[-1] and direct:  # a constructor is no symbol here, its body is the type's
+                    end, what = self.body_of(self.closed(open_), hi, -1, True)
+                    if what:
+                        self.walk(open_ + 1, end, owner, holders, "args")
+                        return self.into(end, what, hi, owner, holders, -1)
+                return i
+        end, what = self.body_of(self.closed(open_), hi, -1 if not script else self.line_column(own), not script)
+        if self.language == "cpp" and what != "{" and any(self.text(x) == ":" for x in range(self.closed(open_), min(end + 1, hi))):
+            while end < hi and self.text(end) not in ("{", ";"):
+                end = self.closed(end) if self.text(end) in ("(", "[") else end + 1
+            what = self.text(end) if self.text(end) == "{" else ""
+        if not what and not (place == "type" and self.language in ("typescript", "java", "csharp", "dart") and self.text(end) in (";", "}", ",") or place == "type" and self.language == "typescript"):
+            return i
+        if not what and self.text(self.closed(open_)) == "=":
+            return i
+        if not script:  # the type and what stands before it belong to the declaration
+            own = outer = self.statement_start(i)
+        mine = len(self.nodes)
+        kind = METHOD if script or direct and holders else FUNC
+        self.nodes.append(_node(self.ts[own].line, kind, name.lstrip("#"), holders[-1] if kind == METHOD and holders else "", self.source[self.ts[i].end : self.ts[end - 1].end], self.ts[outer].doc))
+        self.head(i + 1, end)
+        self.walk(i + 1, self.closed(open_) if self.language == "cpp" else end, mine, holders, "args")
+        return self.into(end, what, hi, mine, holders, self.line_column(own))
+
+    def statement_start(self, i: int) -> int:
+        while i > 0 and self.text(i - 1) not in (";", "{", "}") and not (self.text(i - 1) == ":" and self.text(i - 2) in ("public", "private", "protected")):
+            i = self.mate[i - 1] if self.text(i - 1) in (")", "]") and self.mate[i - 1] >= 0 else i - 1
+        return i
+
+
+class _Ruby(_Walk):
+    """Ruby: words open what ``end`` closes."""
+
+    _OPENING = _words("class module def if unless while until case begin for do")
+
+    def __init__(self, source: str) -> None:
+        super().__init__(source, "ruby")
+        self.walk()
+
+    def modifies(self, i: int) -> bool:
+        """Whether ``if`` and the like at ``i`` follow a statement instead of beginning one."""
+        t, b = self.ts[i], self.ts[i - 1] if i else None
+        return bool(b) and not t.first and (b.kind == "v" or b.kind == "n" and b.text not in ("then", "do", "else", "and", "or", "not", "begin", "ensure", "in", "when", "elsif") or b.text in (")", "]", "}"))
+
+    def walk(self) -> None:
+        held: list[tuple[int, str]] = []  # (owner, type name) of what is open; owner -1 for what is no symbol
+        loop = short = -1
+        for i, t in enumerate(self.ts):
+            short = -1 if t.first else short
+            owner = short if short >= 0 else next((o for o, _ in reversed(held) if o >= 0), -1)
+            if t.kind == "n" and self.text(i - 1) not in (".", "&."):
+                if t.text == "end":
+                    if held:
+                        held.pop()
+                    continue
+                if t.text in self._OPENING and self.text(i + 1) != ":":
+                    if t.text in ("if", "unless", "while", "until") and self.modifies(i):
+                        continue
+                    if t.text == "do" and loop >= 0 and not any(self.ts[k].first for k in range(loop + 1, i)):
+                        loop = -1
+                        continue
+                    if t.text in ("while", "until", "for"):
+                        loop = i
+                    held.append(self.opened(i, held))
+                    if held[-1] == (-2, ""):
+                        held.pop()
+                        short = len(self.nodes) - 1
+                    continue
+                if self.text(i + 1) == "=" and t.text[0] != "@" and (t.first or self.text(i - 1) in (";", "=", "then")) and not self.text(i + 2) == "=":
+                    self.nodes.append(_node(t.line, VAR, t.text))
+            if t.kind == "n" and self.called(i) and t.text not in self.not_called and t.text not in self._OPENING:
+                self.refer(self.chain_start(i), i, CALL, t.text, owner)
+
+    def called(self, i: int) -> bool:
+        """A call has a receiver, brackets or an argument on its line."""
+        if self.text(i - 1) == "def" or self.text(i - 3) == "def" and self.text(i - 1) == "." or self.text(i - 1) == ":" and self.ts[i - 1].end == self.ts[i].start:
+            return False
+        t, after = self.ts[i], self.ts[i + 1] if i + 1 < len(self.ts) else None
+        if self.text(i - 1) in (".", "&."):
+            return True
+        if not after or after.first or t.text[0] == "@" or t.text[0].isupper() and after.text != "(":
+            return False
+        if after.text == "(" and after.start == t.end:
+            return True
+        return (after.kind == "v" or after.kind == "n" and after.text not in self.not_called and after.text not in ("end", "rescue", "ensure")) and after.start > t.end
+
+    def opened(self, i: int, held: list[tuple[int, str]]) -> tuple[int, str]:
+        word, doc, line = self.text(i), self.ts[i].doc, self.ts[i].line
+        if word in ("class", "module") and self.is_name(i + 1):
+            k = i + 1
+            while self.text(k + 1) == "::":
+                k += 2
+            self.nodes.append(_node(line, STRUCT if word == "class" else TYPE, self.text(k), doc=doc))
+            return len(self.nodes) - 1, self.text(k)
+        if word == "def":
+            k = i + 3 if self.text(i + 2) == "." else i + 1
+            after = k + 1
+            if self.text(after) == "(":
+                after = self.closed(after)
+            else:
+                while after < len(self.ts) and not self.ts[after].first and self.text(after) not in (";", "="):
+                    after += 1
+            holder = next((n for _, n in reversed(held) if n), "")
+            sign = self.source[self.ts[k].end : self.ts[after - 1].end] if k < len(self.ts) else ""
+            self.nodes.append(_node(line, METHOD if holder else FUNC, self.text(k), holder, sign, doc))
+            if self.text(after) == "=" and not self.ts[after].first:
+                return -2, ""  # one expression and no end
+            return len(self.nodes) - 1, ""
+        return -1, ""
 
 
-_ENTRIES = ("in var", "in const")
-_GROUP = re.compile(r"^(const|var|type)\s*\(", re.M)
-_NAMES = re.compile(rf"[ \t]*({_WORD}(?:[ \t]*,[ \t]*{_WORD})*)")
-_TYPE = re.compile(rf"[ \t]*({_WORD})(?:\[[^\]\n]*\])?[ \t]+(?:=[ \t]*)?(struct|interface)?")
+def parse_go(source: str) -> tuple[list, list, dict]:
+    w = _Go(source)
+    w.walk(0, len(w.ts), -1)
+    return w.result()
 
 
-def _grouped(quiet: str) -> Iterator[_Entry]:
-    """The entries of ``const (``, ``var (`` and ``type (``: lines that begin at no deeper nesting."""
-    for g in _GROUP.finditer(quiet):
-        depth, at = 1, g.end()
-        while depth and at < len(quiet):
-            stop = quiet.find("\n", at)
-            stop = len(quiet) if stop < 0 else stop
-            if depth == 1 and (m := (_TYPE if g[1] == "type" else _NAMES).match(quiet, at, stop)):
-                named = {"type": m[1], "what": m[2]} if g[1] == "type" else {"vc": f"in {g[1]}", "name": m[1]}
-                yield _Entry(m.start(1), m.end(), **named)
-            for c in re.finditer(r"[(\[{]|[)\]}]", quiet[at:stop]):
-                depth += 1 if c[0] in "([{" else -1
-                if not depth:
-                    break
-            at = stop + 1
+def parse_braced(source: str, language: str) -> tuple[list, list, dict]:
+    w = _Braced(source, language)
+    w.walk(0, len(w.ts), -1)
+    return w.result()
 
 
-def parse_go(source: str) -> tuple[list, list, dict]:
-    lines, quiet = source.split("\n"), _blank(_SILENT, source)
-    imports = {}
-    for block in re.findall(r"^import\s+(?:\(([^)]*)\)|([^\n]+))", re.sub(r"//[^\n]*", "", source), re.M):
-        for alias, path in re.findall(rf"(?:({_WORD}|\.|_)\s+)?\"([^\"]+)\"", block[0] or block[1]):
-            if alias not in (".", "_"):
-                imports[alias or path.rpartition("/")[2]] = path
-    nodes, refs = [], []
-    for at, end, m in sorted(((m.start(), m.end(), m.groupdict()) for m in [*_GO.finditer(quiet), *_grouped(quiet)]), key=lambda x: x[0]):
-        line, owner = _line(quiet, at), len(nodes)
-        if m["func"]:
-            nodes.append(_node(line, METHOD if m["recv"] else FUNC, m["func"], m["recv"] or "", m["sig"], _doc(lines, line)))
-            brace = quiet.find("{", end)
-            if brace >= 0 and not quiet[end:brace].strip():
-                refs += _mentions(quiet, (brace, _closing(quiet, brace)), owner, imports, True)
-        elif m["type"]:
-            brace = quiet.find("{", end) if m["what"] else -1
-            inside = quiet[brace + 1 : _closing(quiet, brace)] if brace >= 0 else ""
-            embeds = re.findall(rf"^[ \t]*\*?({_WORD}(?:\.{_WORD})?)[ \t]*$", inside, re.M)
-            nodes.append(_node(line, {"struct": STRUCT, "interface": INTERFACE, None: TYPE}[m["what"]], m["type"], doc=_doc(lines, line), embeds=embeds))
-            refs += [{"kind": REF, "pkg": "", "name": e, "line": line, "owner": owner} for e in embeds]
-            if m["what"] == "interface":
-                for f in re.finditer(rf"^[ \t]*({_WORD})(\([^\n]*)$", inside, re.M):
-                    nodes.append(_node(line + inside.count("\n", 0, f.start(1)), METHOD, f[1], m["type"], f[2]))
-        elif m["vc"] in ("var", "const") and not lines[line - 1].startswith((" ", "\t")):
-            nodes.append(_node(line, VAR if m["vc"] == "var" else CONST, m["name"]))
-        elif m["vc"] in _ENTRIES:
-            nodes += [_node(line, VAR if m["vc"] == "in var" else CONST, n) for n in re.findall(_WORD, m["name"])]
-    return nodes, refs, imports
+def parse_ruby(source: str) -> tuple[list, list, dict]:
+    return _Ruby(source).result()
 
 
 def parse_python(source: str) -> tuple[list, list, dict]:
-    nodes, refs = [], []
+    nodes, found = [], []
+    comments = {t.start[0]: t.string for t in tokenize.generate_tokens(io.StringIO(source).readline) if t.type == tokenize.COMMENT}
+    filled = [bool(x.strip()) for x in source.split("\n")]
+
+    def doc(x: ast.AST) -> str:
+        """The comment above, over empty lines, if it has its line for itself or ends one."""
+        if x.decorator_list:
+            return ""
+        above = x.lineno - 1
+        while above and not filled[above - 1]:
+            above -= 1
+        return comments.get(above, "")
+
+    def target(t: ast.AST) -> str:
+        names = [n for n in ast.walk(t) if isinstance(n, ast.Name)]
+        return min(names, key=lambda n: (n.lineno, n.col_offset)).id if names else ""
 
     def walk(body: list, owner: int, holder: str) -> None:
         for x in body:
@@ -165,99 +935,47 @@ def parse_python(source: str) -> tuple[list, list, dict]:
             if isinstance(x, (ast.FunctionDef, ast.AsyncFunctionDef)):
                 mine = len(nodes)
                 back = f" -> {ast.unparse(x.returns)}" if x.returns else ""
-                nodes.append(_node(x.lineno, METHOD if holder else FUNC, x.name, holder, f"({ast.unparse(x.args)}){back}"))
+                nodes.append(_node(x.lineno, METHOD if holder else FUNC, x.name, holder, f"({ast.unparse(x.args)}){back}", doc(x)))
                 inner = ""
             elif isinstance(x, ast.ClassDef):
                 mine, inner = len(nodes), x.name
-                nodes.append(_node(x.lineno, STRUCT, x.name))
+                nodes.append(_node(x.lineno, STRUCT, x.name, doc=doc(x)))
             elif isinstance(x, (ast.Assign, ast.AnnAssign)):
                 for t in x.targets if isinstance(x, ast.Assign) else [x.target]:
-                    if isinstance(t, ast.Name):
-                        nodes.append(_node(x.lineno, VAR, t.id))
+                    if name := target(t):
+                        nodes.append(_node(x.lineno, VAR, name))
+                        mine = len(nodes) - 1
             elif isinstance(x, ast.Call):
                 name = x.func.id if isinstance(x.func, ast.Name) else getattr(x.func, "attr", "")
                 if name:
-                    refs.append({"kind": CALL, "pkg": "", "name": name, "line": x.lineno, "owner": owner})
+                    found.append((x.lineno, x.col_offset, -x.end_lineno, -x.end_col_offset, {"kind": CALL, "pkg": "", "name": name, "line": x.lineno, "owner": owner}))
             walk(list(ast.iter_child_nodes(x)), mine, inner)
 
     walk(ast.parse(source).body, -1, "")
-    return nodes, refs, {}
-
-
-#: What ``const`` and the like declare, by extension; a missing word declares nothing there.
-_VARIABLES = {".rs": {"const": CONST, "static": VAR}} | dict.fromkeys(".c .h .cc .cpp .cxx .hh .hpp .hxx .java .php .dart".split(), {}) | {".cs": {"var": VAR}}
-_ANY_VARIABLE = {"const": VAR, "let": VAR, "var": VAR, "val": VAR}
-
-
-def parse_braced(source: str, extension: str = "") -> tuple[list, list, dict]:
-    declared = _VARIABLES.get(extension, _ANY_VARIABLE)
-    lines, quiet = source.split("\n"), _blank(_SILENT, source)
-    nodes, refs = [], []
-    holders: list[tuple[int, str]] = []  # where a type's body ends, and its name
-    inside: list[int] = []  # where functions' bodies end
-    for m in _BRACED.finditer(quiet):
-        at = m.start()
-        holders = [h for h in holders if h[0] > at]
-        inside = [e for e in inside if e > at]
-        line, owner = _line(quiet, at), len(nodes)
-        if m["kind"] == "mod" and extension != ".rs":
-            continue
-        if m["alias"]:
-            nodes.append(_node(line, TYPE, m["alias"], doc=_doc(lines, line)))
-        elif m["type"] or m["impl"]:
-            brace = quiet.find("{", m.end() - 1)
-            if m["type"]:
-                nodes.append(_node(line, _KINDS[m["kind"]], m["type"], doc=_doc(lines, line)))
-            if brace >= 0:
-                holders.append((_closing(quiet, brace), m["type"] or m["impl"]))
-        elif name := m["func"] or (m["call"] if m["call"] not in _KEYWORDS else None):
-            if m["call"] and inside:
-                continue
-            holder = holders[-1][1] if holders and not inside else ""
-            nodes.append(_node(line, METHOD if holder else FUNC, name, holder, m["fsig"] or m["csig"] or "", _doc(lines, line)))
-            brace = quiet.find("{", m.end())
-            if brace >= 0 and not re.search(r"[;}]", quiet[m.end() : brace]):
-                end = _closing(quiet, brace)
-                inside.append(end)
-                refs += _mentions(quiet, (brace, end), owner, None, False)
-        elif m["name"] and m["vc"] in declared:
-            nodes.append(_node(line, declared[m["vc"]], m["name"]))
-    return nodes, refs, {}
+    return nodes, [f[-1] for f in sorted(found, key=lambda f: f[:4])], {}
 
 
-def parse_ruby(source: str) -> tuple[list, list, dict]:
-    lines, quiet = source.split("\n"), _blank(_HASHED, source)
-    nodes, refs, holders = [], [], []
-    for i, text in enumerate(quiet.split("\n"), 1):
-        indent = len(text) - len(text.lstrip())
-        if text.strip() == "end":
-            holders = [h for h in holders if h[0] < indent]
-        elif m := re.match(rf"\s*(class|module)\s+({_WORD})", text):
-            nodes.append(_node(i, STRUCT if m[1] == "class" else TYPE, m[2], doc=_doc(lines, i)))
-            holders.append((indent, m[2], -1))
-        elif m := re.match(rf"\s*def\s+(?:self\.)?({_WORD}[?!]?)(.*)", text):
-            holder = next((h[1] for h in reversed(holders) if h[1]), "")
-            nodes.append(_node(i, METHOD if holder else FUNC, m[1], holder, m[2], _doc(lines, i)))
-            holders.append((indent, "", len(nodes) - 1))
-        elif owner := [h[2] for h in holders if h[2] >= 0]:
-            refs += [{"kind": CALL, "pkg": "", "name": c, "line": i, "owner": owner[-1]} for c in re.findall(rf"({_WORD})\s*\(", text) if c not in _KEYWORDS]
-    return nodes, refs, {}
-
-
-_PARSERS = {"go": parse_go, "py": parse_python, "rb": parse_ruby}
+_PARSERS = {"go": parse_go, "python": parse_python, "ruby": parse_ruby}
+
+
+def parse(path: str, content: bytes) -> tuple[list, list, dict] | None:
+    """Nodes, references and imports of a file; None for one of no known language or that can't be parsed."""
+    language = _LANGUAGE.get(path[path.rfind(".") :].lower())
+    if language is None:
+        return None
+    source = content.decode("utf-8", "replace").replace("\r\n", "\n")
+    try:
+        return _PARSERS[language](source) if language in _PARSERS else parse_braced(source, language)
+    except (SyntaxError, ValueError, RecursionError, tokenize.TokenError):
+        return None
 
 
 def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         out = []
         for path, content in zip(f["path"], f["content"]):
-            extension = path[path.rfind(".") :].lower()
-            parse = _PARSERS.get(_LANGUAGE.get(extension, ""), partial(parse_braced, extension=extension))
-            try:
-                nodes, refs, imports = parse(bytes(content).decode("utf-8", "replace"))
-            except (SyntaxError, ValueError, RecursionError):
-                continue  # a file that can't be parsed is tried again at the next build
-            out.append({"path": path, "nodes": nodes, "refs": refs, "imports": imports})
+            if got := parse(path, bytes(content)):  # a file that can't be parsed is tried again at the next build
+                out.append({"path": path, "nodes": got[0], "refs": got[1], "imports": got[2]})
         yield pd.DataFrame(out, columns=["path", "nodes", "refs", "imports"])
 
 
