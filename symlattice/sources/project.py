@@ -1,17 +1,12 @@
-"""Project trees: which files count, their contents and fingerprints.
-
-Ignore rules become column expressions: within one rules file the last matching line decides, a file is ignored if any
-scope above it says so, and what lies below an ignored directory is ignored whatever later lines say.
-"""
+"""Project trees: which files count, their contents and fingerprints."""
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import extension
+from ..operators.lines import listing
+from .tree import register
 
 # The file name extensions and ignore lines that results depend on.
 SOURCE_EXTENSIONS = (
@@ -40,119 +35,26 @@ SKIPPED_DIRECTORIES = r"^(\.git|\.symlattice|\.symlattice-.*)$"
 LARGEST = 1_048_576
 
 
-def ignore_regex(line: str) -> tuple[str, bool] | None:
-    """A rules line as (regex over relative paths, whether it re-includes); None for blanks and comments.
-
-    Directories are tested with a slash at their end; a question mark stands for itself.
-    """
-    line = line.rstrip("\r\n").strip()
-    if not line or line.startswith("#"):
-        return None
-    again, line = line.startswith("!"), line.removeprefix("!")
-    line = line.removeprefix("\\") if line[:2] in ("\\#", "\\!") else line
-    folder = line.endswith("/")
-    line = line.rstrip("/")
-    anchored = "/" in line
-    line = line.removeprefix("/")
-    out, i = "", 0
-    while i < len(line):
-        if line.startswith("**/", i):
-            out, i = out + "(?:.*/)?", i + 3
-        elif line.startswith("/**", i) and i + 3 == len(line):
-            out, i = out + "/.*", i + 3
-        elif line[i] == "*":
-            out, i = out + "[^/]*", i + 1
-        else:
-            out, i = out + re.escape(line[i]), i + 1
-    return f"^{'' if anchored else '(?:.*/)?'}{out}{'/.*' if folder else '(?:/.*)?'}$", again
-
-
-def _says(path: Column, lines: list[str]) -> Column:
-    """Whether one scope's lines ignore a path relative to it."""
-    rules = [r for r in map(ignore_regex, lines) if r]
-    groups: list[tuple[list[str], bool]] = []
-    for regex, again in rules:  # neighbouring lines of one kind are one alternation
-        if groups and groups[-1][1] == again:
-            groups[-1][0].append(regex)
-        else:
-            groups.append(([regex], again))
-    out = F.lit(False)
-    for regexes, again in groups:
-        out = F.when(F.rlike(path, F.lit("|".join(regexes))), F.lit(not again)).otherwise(out)
-    return out
-
-
-def ignored(path: Column, scopes: dict[str, list[str]]) -> Column:
-    """Whether a relative path is ignored, given the lines of each scope's directory ('' for the root)."""
-    parts = F.split(path, "/")
-    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.when(i == F.size(parts), path).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-
-    def by_any(p: Column) -> Column:
-        out = F.lit(False)
-        for folder, lines in scopes.items():
-            if folder:
-                inside = F.startswith(p, F.lit(folder + "/")) & (F.length(p) > len(folder) + 1)
-                out = out | (inside & _says(F.substring(p, F.lit(len(folder) + 2), F.length(p)), lines))
-            else:
-                out = out | _says(p, lines)
-        return out
-
-    return F.exists(folders, by_any)
-
-
-def listed(spark: SparkSession, root: str) -> DataFrame:
-    """(path relative to the root, length, modificationTime) of every file below it; contents aren't read."""
-    files = spark.read.format("binaryFile").option("ignoreMissingFiles", True).option("recursiveFileLookup", True).load(root)
-    top = root.rstrip("/") + "/"
-    rel = F.substring_index(F.col("path"), top, -1) if "://" in root else F.regexp_replace("path", "^[a-z]+:/*" + re.escape(top).lstrip("/"), "")
-    return files.withColumn("full", F.col("path")).withColumn("path", rel)
-
-
-def unlisted(spark: SparkSession, root: str) -> list[tuple[str, int, int, bytes]]:
-    """(path, length, mtime in ms, content) of rules files and of sources below names with a leading dot or underscore.
-
-    Spark's readers leave such names out, so these few small files are read here; skipped directories aren't entered.
-    """
-    jvm = spark._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root)
-    fs = top.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    found, todo = [], [(top, "")]
-    while todo:
-        at, rel = todo.pop()
-        for s in fs.listStatus(at):
-            name = s.getPath().getName()
-            path = f"{rel}/{name}" if rel else name
-            if s.isDirectory():
-                if not re.match(SKIPPED_DIRECTORIES, name):
-                    todo.append((s.getPath(), path))
-            elif s.isFile() and s.getLen() <= LARGEST and (name == ".gitignore" or path.lower().endswith(SOURCE_EXTENSIONS) and re.search(r"(^|/)[._]", path)):
-                stream = fs.open(s.getPath())
-                content = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
-                stream.close()
-                found.append((path, s.getLen(), s.getModificationTime(), content))
-    return found
-
-
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, content, length, fingerprint) of the source files that no rule ignores, at most 1 MiB each.
 
-    Size and kind are tested before any content is read.
+    The default rules stand before the root's own; directories that rules ignore are never entered, and only files of the
+    right kind and size are opened, by the tasks that read them.
     """
-    rest = unlisted(spark, root)
-    scopes = {"": list(DEFAULT_IGNORES)}
-    for path, _, _, content in rest:
-        text = content.decode("utf-8", "replace")
-        if path.rpartition("/")[2] == ".gitignore" and text.strip():
-            scopes.setdefault(path.rpartition("/")[0], []).extend(text.split("\n"))
-    hidden = F.exists(F.split("path", "/"), lambda p: F.rlike(p, F.lit(SKIPPED_DIRECTORIES)))
-    more = spark.createDataFrame([(p, n, t, bytearray(c)) for p, n, t, c in rest], "path string, length long, ms long, content binary")
-    files = listed(spark, root).select("path", "length", F.unix_micros("modificationTime").alias("us"), "content")
-    files = files.unionByName(more.select("path", "length", (F.col("ms") * 1000).alias("us"), "content"))
-    source = files.filter(F.col("length") <= LARGEST).filter(extension(F.col("path")).isin(*SOURCE_EXTENSIONS) & ~hidden & ~ignored(F.col("path"), scopes))
-    mark = F.concat_ws(":", F.sha2("content", 256), (F.col("us") * 1000).cast("string"), F.col("length").cast("string"))
+    register(spark)
+    found = spark.read.format("pruned_tree").option("rules", "\n".join(DEFAULT_IGNORES)).option("skip", SKIPPED_DIRECTORIES).option("content", "true").load(root)
+    source = found.filter(F.col("extension").isin(*SOURCE_EXTENSIONS)).filter(F.col("length") <= LARGEST)
+    mark = F.concat_ws(":", F.sha2("content", 256), F.col("modified").cast("string"), F.col("length").cast("string"))
     return source.select("path", "content", "length", mark.alias("fingerprint"))
 
 
+def list_directory(spark: SparkSession, root: str, part: str = "") -> DataFrame:
+    """(name, is_dir, size) of a directory's entries, directories first, optionally only names with ``part`` in any case."""
+    register(spark)
+    found = spark.read.format("pruned_tree").options(recursive="false", directories="true", gitignore="false").load(root)
+    return listing(found.select("name", "is_dir", F.col("length").alias("size")), part)
+
+
 def module_name(spark: SparkSession, root: str) -> str:
     """What the first ``module`` line of go.mod names; '' without one."""
     try:

@@ -70,22 +70,6 @@ def tree(tmp_path):
     return root
 
 
-@pytest.mark.parametrize(
-    "pattern, path, want",
-    [("build/", "build/", True), ("build/", "build", False), ("build/", "build/x.go", True), ("/foo.log", "foo.log", True), ("/foo.log", "a/foo.log", False), ("foo.log", "a/b/foo.log", True), ("?.log", "a.log", False),
-     ("*.min.js", "bundle.min.js", True), ("*.log\n!keep.log", "keep.log", False), ("*.log\n!keep.log", "drop.log", True), ("a/**/z.go", "a/b/c/z.go", True), ("# c\n\n*.log\r", "x.log", True), ("\\#foo.go", "#foo.go", True),
-     ("dir/\n!dir/keep.go", "dir/keep.go", True), ("**/res/values*/", "app/res/values-es/x.xml", True)],
-)
-def test_ignore_lines(spark, pattern, path, want):
-    assert spark.range(1).select(project.ignored(F.lit(path), {"": pattern.split("\n")})).first()[0] == want
-
-
-def test_nested_scope(spark):
-    scopes = {"": ["*.tmp"], "sub": ["/only.go"]}
-    got = {p: spark.range(1).select(project.ignored(F.lit(p), scopes)).first()[0] for p in ("sub/only.go", "only.go", "sub/x/only.go", "sub/a.tmp")}
-    assert got == {"sub/only.go": True, "only.go": False, "sub/x/only.go": False, "sub/a.tmp": True}
-
-
 def test_scan(spark, tree):
     rows = project.scan(spark, str(tree)).collect()
     assert sorted(r.path for r in rows) == ["mathx/mathx.go", "shapes.go", "tools/greet.py"]
