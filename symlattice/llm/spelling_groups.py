@@ -55,13 +55,19 @@ def letter_parts(words: DataFrame, parts: int = PARTS) -> list[str]:
 
 
 def signatures(words: DataFrame, letters: list[str]) -> DataFrame:
-    """(word, n, i, j, end, sig) for each choice of two parts and either end."""
-    pairs = list(combinations(range(len(letters)), 2))
-    ordered = words.withColumn("_s", F.array_join(F.array_sort(F.split("word", "")), ""))
-    rest = F.array(*[F.struct(F.lit(i).cast("byte").alias("i"), F.lit(j).cast("byte").alias("j"), F.translate("_s", letters[i] + letters[j], "").alias("left")) for i, j in pairs])
-    each = ordered.select("word", "n", F.explode(rest).alias("x")).select("word", "n", "x.*")
-    ends = F.array(F.struct(F.lit(0).cast("byte").alias("end"), F.substring("word", 1, END).alias("e")), F.struct(F.lit(1).cast("byte").alias("end"), F.substring("word", -END, END).alias("e")))
-    return each.select("word", "n", "i", "j", "left", F.explode(ends).alias("x")).select("word", "n", "i", "j", "x.end", F.concat("left", F.lit(" "), "x.e").alias("sig"))
+    """(word, n, c, sig) for each choice ``c`` of two parts and an end: what they leave, named by a hash.
+
+    Words with equal names are compared, so a clash of hashes costs a comparison and no more.
+    """
+    ordered = words.withColumn("_s", F.array_join(F.sort_array(F.split("word", "")), ""))  # no lambda: both sides of the join share one shuffle
+    ends = F.substring("word", 1, END), F.substring("word", -END, END)
+    names = [F.xxhash64(F.lit(c), F.translate("_s", letters[i] + letters[j], ""), ends[e]) for c, (i, j, e) in enumerate(choices(len(letters)))]
+    return ordered.select("word", "n", F.posexplode(F.array(*names)).alias("c", "sig"))
+
+
+def choices(parts: int) -> list[tuple[int, int, int]]:
+    """(part, part, 0 for the first letters or 1 for the last) of each signature."""
+    return [(i, j, e) for i, j in combinations(range(parts), 2) for e in (0, 1)]
 
 
 def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
@@ -72,20 +78,23 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     """
     letters = letter_parts(words, parts)
     sigs = signatures(words, letters)
-    a = sigs.select("i", "j", "end", "sig", F.col("word").alias("a"), F.col("n").alias("a_n"))
-    b = sigs.select("i", "j", "end", "sig", F.col("word").alias("b"), F.col("n").alias("b_n"))
+    a = sigs.select("sig", "c", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    b = sigs.select("sig", F.col("c").alias("b_c"), F.col("word").alias("b"), F.col("n").alias("b_n"))
+    at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(e).alias("end")) for i, j, e in choices(parts)])
     others = F.array(*[F.lit("".join(letters[:p] + letters[p + 1 :])) for p in range(parts)])
 
     def differ(part: Column) -> Column:
         """Whether the words, one edit apart, have unlike letters of a part."""
-        away = F.get(others, part.cast("int"))
+        away = F.get(others, part)
         return F.call_function("translate", "a", away, F.lit("")) != F.call_function("translate", "b", away, F.lit(""))
 
-    i, j = F.col("i"), F.col("j")
+    def of(field: str) -> Column:
+        return F.get(at, F.col("c"))[field]
+
+    i, j = of("i"), of("j")
     first = (differ(i) & differ(j)) | (differ(j) & (i == 0)) | (differ(i) & (i == 0) & (j == 1))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & ((F.col("end") == 0) | (F.substring("a", 1, END) != F.substring("b", 1, END)))
-    met = a.join(b, ["i", "j", "end", "sig"]).filter(near & (F.levenshtein("a", "b", 1) == 1) & first)
-    return met.select("a", "a_n", "b", "b_n")
+    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("c") - F.col("b_c") == 0) & ((of("end") == 0) | (F.substring("a", 1, END) != F.substring("b", 1, END)))
+    return a.join(b, "sig").filter(near & (F.levenshtein("a", "b", 1) == 1) & first).select("a", "a_n", "b", "b_n")
 
 
 def with_forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
