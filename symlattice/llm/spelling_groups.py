@@ -78,7 +78,7 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
     """
     letters = letter_parts(words, parts)
     sigs = signatures(words, letters)
-    a = sigs.select("sig", "c", F.col("word").alias("a"), F.col("n").alias("a_n"))
+    a = sigs.select("sig", F.col("c").alias("a_c"), F.col("word").alias("a"), F.col("n").alias("a_n"))
     b = sigs.select("sig", F.col("c").alias("b_c"), F.col("word").alias("b"), F.col("n").alias("b_n"))
     at = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(e).alias("end")) for i, j, e in choices(parts)])
     others = F.array(*[F.lit("".join(letters[:p] + letters[p + 1 :])) for p in range(parts)])
@@ -89,17 +89,18 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
         return F.call_function("translate", "a", away, F.lit("")) != F.call_function("translate", "b", away, F.lit(""))
 
     def of(field: str) -> Column:
-        return F.get(at, F.col("c"))[field]
+        return F.get(at, F.col("a_c"))[field]
 
     i, j = of("i"), of("j")
     first = (differ(i) & differ(j)) | (differ(j) & (i == 0)) | (differ(i) & (i == 0) & (j == 1))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("c") - F.col("b_c") == 0) & ((of("end") == 0) | (F.substring("a", 1, END) != F.substring("b", 1, END)))
+    near = (F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1) & (F.col("a_c") - F.col("b_c") == 0) & ((of("end") == 0) | (F.substring("a", 1, END) != F.substring("b", 1, END)))
     return a.join(b, "sig").filter(near & (F.levenshtein("a", "b", 1) == 1) & first).select("a", "a_n", "b", "b_n")
 
 
 def with_forms(words: DataFrame, pairs: DataFrame) -> DataFrame:
     """``words`` with form, n_near and form_n."""
-    ways = pairs.select(F.col("a").alias("word"), F.col("b").alias("near"), F.col("b_n").alias("near_n")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("near"), F.col("a_n").alias("near_n")))
+    one = lambda word, near: F.struct(F.col(word).alias("word"), F.col(near).alias("near"), F.col(f"{near}_n").alias("near_n"))
+    ways = pairs.select(F.inline(F.array(one("a", "b"), one("b", "a"))))
     best = ways.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("m"), F.col("near").alias("w"))).alias("best"))
     met = words.join(best, "word", "left")
     form = -F.col("best.m") >= TIMES * F.col("n")
