@@ -26,9 +26,14 @@ def resolve_fuzzy(symbols: DataFrame, text: str, limit: int) -> DataFrame:
     return symbols.filter(hit).orderBy("id").limit(limit)
 
 
-def edges_of(edges: DataFrame, node: int) -> DataFrame:
-    """(role, edge_id) of a node's edges: callers, refs, impls (both ways), tests and calls."""
+def edges_of(edges: DataFrame, node: int, by_target: DataFrame | None = None) -> DataFrame:
+    """(role, edge_id, from_id, to_id, kind, site) of a node's edges: callers, refs, impls (both ways), tests and calls.
+
+    With ``by_target``, the same edges laid out by their targets, only the node's own part of either layout is read.
+    """
     near = edges.filter((F.col("from_id") == node) | (F.col("to_id") == node))
+    if by_target is not None:
+        near = edges.filter(F.col("from_id") == node).unionByName(by_target.filter((F.col("to_id") == node) & (F.col("from_id") != node)))
     into, kind = F.col("to_id") == node, F.col("kind")
     roles = F.array_compact(
         F.array(
@@ -39,7 +44,7 @@ def edges_of(edges: DataFrame, node: int) -> DataFrame:
             F.when((F.col("from_id") == node) & (kind == CALL), "calls"),
         )
     )
-    return near.select(F.explode(roles).alias("role"), "edge_id")
+    return near.select(F.explode(roles).alias("role"), "edge_id", "from_id", "to_id", "kind", "site")
 
 
 def tested(edges: DataFrame) -> DataFrame:

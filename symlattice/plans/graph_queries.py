@@ -125,7 +125,7 @@ def impact(spark: SparkSession, d: str) -> DataFrame:
 
 
 def edges_of(spark: SparkSession, d: str) -> DataFrame:
-    return L.edges_of(edges(spark, d), WINDOW_NODE)
+    return L.edges_of(edges(spark, d), WINDOW_NODE).select("role", "edge_id")
 
 
 def test_coverage(spark: SparkSession, d: str) -> DataFrame:

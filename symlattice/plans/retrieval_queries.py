@@ -107,8 +107,8 @@ def _bm25_sql(source: str, key: str, columns: list[str], query: str, limit: int
     )
     where = " and ".join(f"tf{i} > 0" for i in range(len(distinct)))
     return f"""select {key}, round({score}, 9) as score from (
-        select {key}, len(t) as dl, {tf} from (select {key}, regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') as t from {source})) c,
-        (select count(*) as docs, avg(dl)::double as avgdl, {stats} from (select len(t) as dl, {tf} from (select regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}]+') as t from {source}))) s
+        select {key}, len(t) as dl, {tf} from (select {key}, regexp_extract_all(strip_accents(lower({text})), '[\\p{{L}}\\p{{N}}]+') as t from {source})) c,
+        (select count(*) as docs, avg(dl)::double as avgdl, {stats} from (select len(t) as dl, {tf} from (select regexp_extract_all(strip_accents(lower({text})), '[\\p{{L}}\\p{{N}}]+') as t from {source}))) s
         where {where} order by score desc, {key} {f"limit {limit}" if limit else ""}"""
 
 

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..plans.engine import Engine
 
+
 def follow(engine: Engine, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
     """Bring the index up to date at each tick; without changes that is one scan.
 

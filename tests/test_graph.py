@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from symlattice.functions.text import approximate_tokens, cut_bytes, decoded_line, import_directory, is_blocked_path, is_dangerous, is_sensitive, signature_arity, timestamp_of, timestamp_text
-from symlattice.operators import chat, fts, lines, semantic, traverse
+from symlattice.operators import chat, fts, lines, lookup, semantic, traverse
 from symlattice.plans.engine import COLUMNS, TABLES, Engine, build, clamped
 from symlattice.sources import catalog, project, symbols
 
@@ -125,7 +125,7 @@ def test_nested_signatures(spark):
 
 
 def test_engine(spark, tree, tmp_path):
-    e = Engine(spark, str(tree), str(tmp_path / "index"))
+    e = Engine(spark, str(tree), str(tmp_path / "index"), buckets=2)
     with pytest.raises(LookupError):
         e.callers("helper")
     assert e.reindex() == 1 and e.reindex() == 1
@@ -155,6 +155,61 @@ def letters(works=True):
     return Letters()
 
 
+def same_hits(e, queries):
+    """What the kept segments find, which has to be what a search over all symbols finds."""
+    key = ["file", "ordinal"]
+    kept = {q: [(r.file, r.ordinal, r.score) for r in fts.search_index(*e.postings(), key, q, None).sort(*key).collect()] for q in queries}
+    assert kept == {q: [(r.file, r.ordinal, r.score) for r in fts.search(e.read("nodes"), COLUMNS, key, q, None).sort(*key).collect()] for q in queries}
+    return kept
+
+
+def test_segments_hold_what_changed(spark, tmp_path):
+    """Builds write the files that changed; searches over segments, merged or not, equal those over a full index."""
+    root, home = tmp_path / "proj", tmp_path / "index"
+    root.mkdir()
+    for i in range(5):
+        (root / f"f{i}.go").write_text(f"package p\n\n// word{i} Café shared\nfunc F{i}() {{ Common() }}\n")
+    e = Engine(spark, str(root), str(home), buckets=2)
+    e.segments.fanout = 3
+    for step in range(4):
+        if step:
+            (root / f"f{step}.go").write_text(f"package p\n\n// changed{step} cafe shared\nfunc F{step}() {{}}\n\nfunc More{step}() {{}}\n")
+        if step == 2:
+            (root / "f0.go").unlink()
+        assert e.reindex() == step + 1
+        facts = e._facts(step + 1)
+        assert len(facts["segments"]) == [1, 2, 1, 2][step]
+        born = {(r.file, r.born) for r in spark.read.parquet(f"{home}/segments/s{step + 1}/postings").collect()}
+        assert step == 0 and len(born) == 5 or born == {(f"f{step}.go", step + 1)}
+        hits = same_hits(e, ("CAFÉ", "word2", "changed2", "cafe_shared"))
+        assert len(hits["cafe_shared"]) == len(hits["CAFÉ"]) == (5 if step < 2 else 4) and bool(hits["word2"]) == (step < 2) and bool(hits["changed2"]) == (step >= 2)
+    assert e.search("changed3").first()["name"] == "F3"
+    e.purge(1)
+    assert {x.name for x in (home / "segments").iterdir()} == {n for n, _ in e._facts(4)["segments"]}
+    other = Engine(spark, str(root), str(home))
+    assert same_hits(other, ("shared",)) and other.callers("More3").collect() == []
+
+
+def test_walks_open_only_the_buckets_of_their_frontier(spark, tree, tmp_path):
+    e = Engine(spark, str(tree), str(tmp_path / "index"), buckets=16)
+    e.reindex()
+    node = {(r.receiver, r.name): r.id for r in e.read("nodes").collect()}
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "false")  # so that plans say which buckets they open
+    for table, key in (("edges", "from_id"), ("edges_by_target", "to_id")):
+        for _ in range(2):
+            plan = e.read(table).filter(F.col(key).isin([node["", "helper"]]))._jdf.queryExecution().executedPlan().toString()
+            assert "SelectedBucketsCount: 1 out of 16" in plan and "Exchange" not in plan, plan
+            spark.sql(f"drop table {e._table(1, table)}")  # as a new session finds it
+    spark.conf.set("spark.sql.sources.bucketing.autoBucketedScan.enabled", "true")
+    plain = e.read("edges").select("*")
+    for mode in (traverse.OUT, traverse.IN, traverse.BOTH):
+        for name in ("Sum", "helper", "Twice"):
+            got = [tuple(r) for r in traverse.discover(e.read("edges"), node["", name], 3, mode, by_target=e.read("edges_by_target")).orderBy("level", "path").collect()]
+            assert got == [tuple(r) for r in traverse.discover(plain, node["", name], 3, mode).orderBy("level", "path").collect()]
+    rows = sorted((r.role, r.site) for r in e.node("Twice")["edges"].collect())
+    assert rows == sorted((r.role, r.site) for r in lookup.edges_of(plain, node["", "Twice"]).collect()) and rows
+
+
 def test_engine_keeps_vectors_and_locks(spark, tree, tmp_path):
     home = str(tmp_path / "index")
     e = Engine(spark, str(tree), home, letters())
@@ -178,8 +233,7 @@ def test_engine_keeps_vectors_and_locks(spark, tree, tmp_path):
     assert e.reindex() == 3
     e.purge(1)
     assert e._versions() == [3] and e.search("Thrice").first()["name"] == "Thrice"
-    kept = {q: [(r.id, r.score) for r in fts.search_index(e.read("postings"), e.read("lengths"), "id", q, None).collect()] for q in ("sum", "a int", "mathx_mathx go", "int_a", "adds_sum")}
-    assert kept == {q: [(r.id, r.score) for r in fts.search(e.read("nodes"), COLUMNS, "id", q, None).collect()] for q in kept} and kept["mathx_mathx go"]
+    assert same_hits(e, ("sum", "a int", "mathx_mathx go", "int_a", "adds_sum"))["mathx_mathx go"]
 
 
 def test_vectors_of_empty_and_many_texts(spark):
@@ -220,7 +274,12 @@ def test_bfs_equals_nested_loops(spark):
                         new.append(n)
                         want.append(i)
             front = new
-        assert [r.edge_id for r in traverse.discover(df, 0, 3, mode).orderBy("level", "path").collect()] == want
+        for listed in (1000, 0):  # frontiers named in a filter, and joined
+            traverse.LISTED, before = listed, traverse.LISTED
+            try:
+                assert [r.edge_id for r in traverse.discover(df, 0, 3, mode).orderBy("level", "path").collect()] == want
+            finally:
+                traverse.LISTED = before
 
 
 def test_bm25_equals_fts5(spark):
@@ -238,6 +297,27 @@ def test_bm25_equals_fts5(spark):
     assert fts.search(df, cols, "id", "，", 10).count() == 0
 
 
+def test_folding_equals_fts5(spark):
+    """Marks go from Latin letters as they do in FTS5, in texts and queries, composed or not, and in phrases."""
+    con = sqlite3.connect(":memory:")
+    con.execute("create virtual table t using fts5(a)")
+    texts = ["café crème", "CAFE creme", "cafe\u0301 creme", "naïve Über-Straße", "uber strasse", "smörgåsbord øl łódź", "aa aa aa", "aa-aá", *("x" + c + "y" for c in fts.FOLDS)]
+    con.executemany("insert into t(rowid, a) values (?, ?)", enumerate(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, a string").cache()
+    queries = ["café", "Cafe\u0301 creme", "straße", "øl lodz", "aa_aa", "cafe_creme"]
+    postings, dl = fts.build_index(df, ["a"], "id")
+    postings = postings.cache()
+    for q in queries:
+        want = [(i, round(-s, 9)) for i, s in con.execute("select rowid, rank from t where t match ? order by rank, rowid", (" ".join('"' + w.replace("_", " ") + '"' for w in q.split()),))]
+        for got in (fts.search(df, ["a"], "id", q, 500), fts.search_index(postings, dl, "id", q, 500)):
+            rows = [(r.id, r.score) for r in got.collect()]
+            assert [r[0] for r in rows] == [w[0] for w in want] and [r[1] for r in rows] == pytest.approx([w[1] for w in want], abs=1e-8), q
+    # Each folded letter is found by its base and finds texts with it, as there.
+    for c, base in list(fts.FOLDS.items())[::150]:
+        hits = {i for (i,) in con.execute("select rowid from t where t match ?", (f'"x{base}y"',))}
+        assert {r.id for r in fts.search(df, ["a"], "id", f"x{base}y", None).collect()} == hits == {r.id for r in fts.search(df, ["a"], "id", f"x{c}y", None).collect()}
+
+
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
 
