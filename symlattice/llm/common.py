@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -94,6 +95,11 @@ def blocks(batches: Iterable[pa.RecordBatch], target_bytes: int = 16 << 20) -> I
         yield pa.Table.from_batches(held).combine_chunks()
 
 
+def row_hash(df: DataFrame) -> F.Column:
+    """A hash of all columns of a row, but for maps and variants, which have no order: tells unlike rows of one id apart alike in every run."""
+    return F.xxhash64(*[df[f.name] for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())])
+
+
 def text_or_empty() -> F.Column:
     return F.coalesce(F.col("text"), F.lit(""))
 

@@ -5,7 +5,7 @@ target exceeds ``most`` times its source, and the excess is reshared by weight.
 target is the lesser of its cap and ``level * weight``, where ``level`` is the largest of the levels that result if the
 first k sources, by cap over weight, are full.
 
-Within a source, documents stand in the order of a hash of their ids, and a source takes whole rounds of them, then
+Within a source, documents stand in the order of a hash of their ids (rows of one id by size and a hash of the row), and a source takes whole rounds of them, then
 documents up to the middle nearest the rest. Places in that order are running sums of words: hash buckets are summed
 first, so a source that holds a third of all rows is spread over many windows.
 
@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stage
+from .common import WORD, row_hash, stage
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -60,7 +60,7 @@ def source_targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``docs``, which have doc_id, source and size, with source_size, target, taken and the position of the first copy.
 
-    ``rounds`` is how often the mix takes a document, and ``place`` how many words of its source stand before it.
+    Rows of one doc_id stand in the order of their size and, if there is one, of the column ``_tie``. ``rounds`` is how often the mix takes a document, and ``place`` how many words of its source stand before it.
     """
     n = docs.count()
     digits = max(1, math.ceil(math.log(max(1, n / ROWS_PER_BUCKET), 16)))
@@ -71,7 +71,7 @@ def mix(docs: DataFrame) -> DataFrame:
     before = F.sum("size").over(W.partitionBy("_s", "_none").orderBy("_b")) - F.col("size")
     targets = source_targets(sums).withColumn("_s", F.coalesce("source", F.lit(""))).withColumn("_none", F.col("source").isNull()).drop("source")
     starts = sums.select("_s", "_none", "_b", before.alias("_before")).join(targets, ["_s", "_none"]).select("_s", "_none", "_b", "_before", "source_size", "slope", "target")
-    inner = F.sum("size").over(W.partitionBy("_s", "_none", "_b").orderBy("_h", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    inner = F.sum("size").over(W.partitionBy("_s", "_none", "_b").orderBy("_h", "doc_id", "size", *["_tie"][: "_tie" in docs.columns]).rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     placed = hashed.join(starts.hint("merge"), ["_s", "_none", "_b"]).withColumn("_inner", inner)
     size = F.greatest("source_size", F.lit(1))
     whole = placed.withColumn("place", F.col("_before") + F.col("_inner")).withColumn("_full", F.floor(F.col("target") / size))
@@ -98,10 +98,10 @@ def mix_report(docs: DataFrame) -> DataFrame:
 def training_order(docs: DataFrame) -> DataFrame:
     """The rows that the mix takes, as often as it takes them, in the order of training (a sort by range)."""
     # The row travels as one column, so no name of its own can clash with a step's.
-    rows = sized(docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"))).drop("text")
+    rows = sized(docs.select("doc_id", "source", "text", F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_hash(docs).alias("_tie"))).drop("text")
     mixed = mix(rows).filter("rounds > 0")
     copies = mixed.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)))
-    return copies.withColumn("_at", position(F.col("_copy"))).orderBy("_at", "doc_id").select("_row.*")
+    return copies.withColumn("_at", position(F.col("_copy"))).orderBy("_at", "doc_id", "size", "_tie").select("_row.*")
 
 
 ORACLE_SQL = """
@@ -113,7 +113,7 @@ l as (select *, ((sum(source_size) over ())::double * 1.5::double
         / (sum(weight) over (order by cap / weight, place rows between current row and unbounded following))::double as level from w),
 t as (select source, source_size, slope, round(least(cap, max(level) over () * weight), 6) as target from l),
 p as (select d.*, t.source_size, t.slope, t.target,
-        (sum(size) over (partition by d.source order by md5(coalesce(doc_id::varchar, '')), doc_id rows unbounded preceding) - size)::bigint as place
+        (sum(size) over (partition by d.source order by md5(coalesce(doc_id::varchar, '')), doc_id, size rows unbounded preceding) - size)::bigint as place
       from d join t on d.source is not distinct from t.source),
 r as (select *, floor(target / greatest(source_size, 1)) as f from p),
 k as (select *, case when size = 0 then 0 else f + (2 * place + size <= 2 * (target - f * source_size))::int end as rounds,
