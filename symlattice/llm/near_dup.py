@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, blocks, row_ids, stage, text_or_empty, unstage
+from .common import arrow_rows, blocks, row_hash, row_ids, stage, text_or_empty, unstage
 
 SHINGLE = 3
 #: Links have 100 * intersection >= PERCENT * union.
@@ -228,12 +228,11 @@ def central_pairs(rows: DataFrame) -> DataFrame:
     return _similar_at(tagged.filter("component <> main").join(centres, "shingle"))
 
 
-def leftover_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs of rows of ``prefixes`` that may link two components.
+def _levelled(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``prefixes`` as the smaller and as the larger set of a pair, each with the levels of size where they meet.
 
     A place in a prefix bounds the sizes of the sets that it can link: the smaller set of a pair shows its own size's
-    level, the larger one all levels that it can link there, and most places have none. Where they meet, members of the
-    component that has most of them meet only those of others.
+    level, the larger one all levels that it can link there, and most places have none.
     """
     level = lambda n: F.floor(F.log(n.cast("double")) / float(np.log(LEVEL)))
     # most * 100 >= (n + m - most) * PERCENT, solved for the size of the other set.
@@ -241,14 +240,51 @@ def leftover_pairs(rows: DataFrame) -> DataFrame:
     small = rows.filter(fits >= F.col("n")).withColumn("level", level(F.col("n")))
     least, greatest = F.expr(f"(n * {PERCENT} + 99) div 100"), F.least("n", fits)
     large = rows.withColumn("least", least).withColumn("most", greatest).filter("least <= most and most > 0").withColumn("level", F.explode(F.sequence(level(F.col("least")), level(F.col("most"))))).drop("least", "most")
-    key = ["shingle", "level"]
-    here = small.select(*key, "component").unionByName(large.select(*key, "component")).groupBy(*key, "component").count()
-    main = here.groupBy(*key).agg(F.max_by("component", "count").alias("main"), F.count("*").alias("k")).filter("k > 1").drop("k")
-    is_main = F.col("component") == F.col("main")
-    small = small.join(main, key).withColumn("side", is_main.cast("int")).drop("main")
-    large = large.join(main, key).withColumn("side", F.explode(F.when(is_main, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1))))).drop("main")
-    other = large.select(*key, "side", *[F.col(c).alias(f"o_{c}") for c in ("id", "component", "n", "at")])
-    return _similar_at(small.join(other, [*key, "side"]).filter("component <> o_component and (n < o_n or n = o_n and id < o_id)"))
+    return small, large
+
+
+def component_pairs(small: DataFrame, large: DataFrame) -> DataFrame:
+    """(id, component, n, other): each set with the other components that have a set which it meets in a prefix.
+
+    A component shows itself once at each shingle and level, with its sizes and its best place, so a set meets as many
+    rows there as there are components, however many members they have.
+    """
+
+    def met(own: DataFrame, others: DataFrame) -> DataFrame:
+        best = F.max(F.col("n") - F.col("at")).alias("most")
+        whole = others.groupBy("shingle", "level", F.col("component").alias("other")).agg(best, F.min("n").alias("lo"), F.max("n").alias("hi"))
+        most = F.least(F.col("n") - F.col("at"), F.col("most"))
+        may = (F.col("component") != F.col("other")) & (most * 100 >= (F.col("n") + F.col("lo") - most) * PERCENT) & (F.col("lo") * PERCENT <= F.col("n") * 100) & (F.col("hi") * 100 >= F.col("n") * PERCENT)
+        return own.join(whole, ["shingle", "level"]).filter(may).select("id", "component", "n", "other")
+
+    return met(small, large).unionByName(met(large, small)).distinct()
+
+
+def linkable(pairs: DataFrame, full: DataFrame) -> DataFrame:
+    """The rows (id, component, other) of ``component_pairs`` that a link may join, by what a set has in common with all of a component.
+
+    No member of a component has more in common with a set than all its members together. Where that is too little, the
+    set meets none of them one by one, so groups of copies that are alike but not enough cost a look for each copy.
+    """
+    sizes = full.groupBy("component").agg(F.count("*").alias("members"), F.min("n").alias("lo"), F.max("n").alias("hi")).withColumnRenamed("component", "other")
+    known = stage(pairs.join(sizes, "other"))
+    several = known.filter("members > 1")
+    ids, groups = several.select("id").distinct(), several.select(F.col("other").alias("component")).distinct()
+    own = full.join(ids, "id").select("id", "component", "shingles").mapInArrow(_listed, "id long, component long, n long, shingle long").select("id", "shingle")
+    whole = full.join(groups, "component").select("id", "component", "shingles").mapInArrow(_listed, "id long, component long, n long, shingle long").select(F.col("component").alias("other"), "shingle").distinct()
+    common = several.join(own, "id").join(whole, ["other", "shingle"]).groupBy("id", "other").agg(F.count("*").alias("both"))
+    size = F.greatest("lo", F.least("both", "hi"))
+    left = several.join(common, ["id", "other"]).filter(F.col("both") * 100 >= (F.col("n") + size - F.least("both", size)) * PERCENT)
+    return known.filter("members = 1").select("id", "component", "other").unionByName(left.select("id", "component", "other"))
+
+
+def leftover_pairs(rows: DataFrame, full: DataFrame) -> DataFrame:
+    """All pairs of rows of ``prefixes`` that may link two components; ``full`` are the sets (id, component, n, shingles)."""
+    small, large = _levelled(rows)
+    may = stage(linkable(component_pairs(small, large), full))
+    ours = small.join(may.select("id", "other"), "id")
+    theirs = large.join(may.select("id", "other"), "id").select("shingle", "level", F.col("component").alias("other"), F.col("other").alias("component"), *[F.col(c).alias(f"o_{c}") for c in ("id", "n", "at")])
+    return _similar_at(ours.join(theirs, ["shingle", "level", "component", "other"]).filter("n < o_n or n = o_n and id < o_id"))
 
 
 def relabelled(of: DataFrame, links: DataFrame) -> DataFrame:
@@ -266,9 +302,11 @@ def leftover_links(buckets: DataFrame, labels: DataFrame, sets: DataFrame) -> Da
     tagged = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     meeting = tagged.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     members = tagged.join(meeting, "bucket").select("id", "component").distinct()
-    rows = stage(prefixes(stage(sets.join(members, "id"))))
+    full = stage(sets.join(members, "id").withColumn("n", F.expr("cast(octet_length(shingles) div 8 as long)")))
+    rows = stage(prefixes(full))
     first = stage(confirmed(central_pairs(rows), sets))
-    return first.unionByName(stage(confirmed(leftover_pairs(stage(relabelled(rows, first))), sets)))
+    rows, full = stage(relabelled(rows, first)), stage(relabelled(full, first))
+    return first.unionByName(stage(confirmed(leftover_pairs(rows, full), sets)))
 
 
 def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -302,11 +340,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each component: that with the least doc_id and, of several texts of it, the least hash.
 
-    Rows without a set stay, one for each (doc_id, text); rows without a doc_id stay all.
+    Of rows that share doc_id and text, the one with the least hash of all its columns stays, so reruns agree. Rows
+    without a set stay, one for each (doc_id, text); rows without a doc_id stay all.
     """
     rows, roots = grouped(docs)
     alone = rows.filter("key is null and doc_id is not null").select("doc_id", "th")
     kept = roots.select("root.doc_id", "root.th").unionByName(alone).distinct().withColumnsRenamed({"doc_id": "_d", "th": "_t"})
     hashed = docs.filter("doc_id is not null").withColumn("_th", F.xxhash64(text_or_empty()))
     found = hashed.join(kept, (F.col("doc_id") == F.col("_d")) & (F.col("_th") == F.col("_t")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_th"]).select(docs.columns).unionByName(docs.filter("doc_id is null"))
+    one = found.groupBy("doc_id", "_th").agg(F.min_by(F.struct(*[found[c] for c in docs.columns]), row_hash(found)).alias("_row"))
+    return one.select("_row.*").unionByName(docs.filter("doc_id is null"))

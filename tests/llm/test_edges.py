@@ -85,3 +85,17 @@ def test_pages(spark):
     got = sorted((r.page_id, r.text, r.n_chars) for r in style_tree.extract_pages(df).collect())
     assert got[0] == (1, "T & U\none two\ni\nj", 17) and got[1:] == [(2, "", 0), (3, "", 0), (3, "", 0), (4, "text", 4)]
     assert style_tree.extract_pages(df.limit(0)).collect() == []
+
+
+def test_order_of_rows_decides_nothing(spark):
+    """Rows of one id, of unlike sizes and texts, come out alike in whatever order they are read."""
+    rows = [(i % 3, " ".join(f"w{j}" for j in range(5 + i % 7)) + f" t{i % 11}", "en", f"s{i % 2}", i) for i in range(60)]
+    one, other = (spark.createDataFrame(r, "doc_id long, text string, lang string, source string, n_chars long") for r in (rows, rows[::-1]))
+    report = [sorted((r.doc_id, r["size"], r.taken) for r in curriculum_mix.mix_report(d).collect()) for d in (one, other)]
+    assert report[0] == report[1]
+    order = [[tuple(r) for r in curriculum_mix.training_order(d).collect()] for d in (one, other)]
+    assert order[0] == order[1] and order[0]
+    text = "one two three four five six seven eight nine ten"
+    twice = [(1, text, "en", "x", 10), (1, text, "en", "y", 10), (2, text, "en", "z", 10)]
+    kept = [[tuple(r) for r in near_dup.keep_one_of_each(spark.createDataFrame(t, "doc_id long, text string, lang string, source string, n_chars long")).collect()] for t in (twice, twice[::-1])]
+    assert kept[0] == kept[1] and len(kept[0]) == 1

@@ -265,3 +265,38 @@ def test_one_of_each_loses_no_text(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, n int")
     got = sorted(((r.doc_id or 0), r.text or "") for r in keep_one_of_each(df).collect())
     assert got == sorted([(0, a), (0, a), (1, a), (1, b), (4, ""), (5, "")])
+
+
+def test_groups_of_copies_that_are_not_linked(spark):
+    """Three groups of k near copies, alike by about 0.82: what is compared grows with k, not with its square."""
+    from symlattice.llm import near_dup
+
+    seen = []
+    for k in (20, 40):
+        r = np.random.default_rng(7)
+        base = [f"b{i}" for i in range(400)]
+        rows = []
+        for g in range(3):
+            own = list(base)
+            for i in range(6):
+                own[66 * i + 20 * g] = f"g{g}x{i}"  # 0.81 to 0.83 between groups
+            for c in range(k):
+                copy = list(own)
+                copy[int(r.integers(400))] = f"c{g}y{c}"
+                rows.append((g * 1000 + c, " ".join(copy)))
+        pairs = []
+        plain = near_dup.leftover_pairs
+
+        def counted(rows, full):
+            out = near_dup.stage(plain(rows, full))
+            pairs.append(out.count())
+            return out
+
+        near_dup.leftover_pairs = counted
+        try:
+            got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        finally:
+            near_dup.leftover_pairs = plain
+        assert got == {i: i // 1000 * 1000 for i, _ in rows} == {i: x[1] for i, x in brute_components(dict(rows)).items()}
+        seen.append(sum(pairs))
+    assert seen[1] <= 3 * seen[0] + 40, seen
