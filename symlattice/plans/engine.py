@@ -47,8 +47,9 @@ def build(graphs: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
     raw, refs, imports = symbols.exploded(graphs)
     ids = graph.assign_ids(raw.withColumnRenamed("ordinal", "at"), ["at"])
     nodes = ids.select("id", "file", "line", "kind", "name", "receiver", "signature", "doc", "embeds", F.col("ordinal").cast("int").alias("ordinal"))
-    owner = nodes.select("file", F.col("ordinal").alias("owner"), F.col("id").alias("owner_id"))
-    placed = refs.join(owner, ["file", "owner"])
+    owner = nodes.select("file", F.col("ordinal").alias("owner"), F.col("id").alias("owner_id"), (F.col("id") - F.col("ordinal")).alias("first"))
+    # Edges stand in the order of their files and, in each, of its references, whichever symbol owns them.
+    placed = refs.join(owner, ["file", "owner"]).withColumn("at", F.shiftleft("first", PLACES).bitwiseOR(F.col("at").cast("long"))).drop("first")
     dirs = imports.withColumn("dir", import_directory(F.col("path"), F.lit(module)))
     calls = graph.resolve_refs(placed, dirs, nodes)
     arity = signature_arity(F.col("signature"))
@@ -61,10 +62,10 @@ def build(graphs: DataFrame, module: str) -> tuple[DataFrame, DataFrame]:
     own = methods.join(last.filter(F.col("kind") == graph.INTERFACE).select("dir", F.col("type").alias("receiver")), ["dir", "receiver"]).select("dir", F.col("receiver").alias("type"), "name", F.col("a.n_params").alias("n_params"), F.col("a.n_results").alias("n_results"), "method_id", "site")
     impls = graph.implementation_edges(own, sets).select("from_id", "to_id", F.lit(graph.IMPL).alias("kind"), "site")
     impls = impls.withColumn("at", F.row_number().over(W.partitionBy("from_id").orderBy("to_id", "site")) - 1)
-    # Edges stand in the order of their symbols and, for each, of its references; those that implement come last.
-    place = F.shiftleft(F.col("from_id"), PLACES).bitwiseOR(F.col("at").cast("long"))
-    every = calls.unionByName(impls).withColumn("edge_id", F.when(F.col("kind") == graph.IMPL, place.bitwiseOR(F.lit(1 << 62))).otherwise(place))
-    return nodes, every.drop("at")
+    # Those that implement come last.
+    last = F.shiftleft("from_id", PLACES).bitwiseOR(F.col("at").cast("long")).bitwiseOR(F.lit(1 << 62))
+    every = calls.withColumnRenamed("at", "edge_id").unionByName(impls.withColumn("edge_id", last).drop("at"))
+    return nodes, every
 
 
 class Engine:

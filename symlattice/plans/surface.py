@@ -89,8 +89,8 @@ _WALK = {"symbol": (str, True), "depth": (int, False), "max_results": (int, Fals
 def tools(engine: Engine) -> Registry:
     """The questions that an engine answers, by the names under which callers know them."""
     out = Registry()
-    out.add(Tool("codegraph_search", "symbols by words", {"query": (str, True), "max_results": (int, False)}, lambda query, max_results=None: engine.search(query, max_results)))
-    out.add(Tool("codegraph_node", "a symbol with its source and edges", {"symbol": (str, True)}, lambda symbol: engine.node(symbol)))
+    out.add(Tool("symbol_search", "symbols by words", {"query": (str, True), "max_results": (int, False)}, lambda query, max_results=None: engine.search(query, max_results)))
+    out.add(Tool("symbol_node", "a symbol with its source and edges", {"symbol": (str, True)}, lambda symbol: engine.node(symbol)))
     for name, says, ask in (("callers", "what calls a symbol", engine.callers), ("callees", "what a symbol calls", engine.callees), ("trace", "calls in both directions", engine.trace), ("impact", "what a change may reach", engine.impact)):
-        out.add(Tool(f"codegraph_{name}", says, _WALK, lambda symbol, depth=None, max_results=None, ask=ask: ask(symbol, depth, max_results)))
+        out.add(Tool(f"symbol_{name}", says, _WALK, lambda symbol, depth=None, max_results=None, ask=ask: ask(symbol, depth, max_results)))
     return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,17 +22,28 @@ def save_session(messages: DataFrame, root: str, name: str, working_dir: str) ->
     fields = [c for c in messages.columns if c != "seq"]
     inner = F.sort_array(F.collect_list(F.struct("seq", F.struct(*fields).alias("m"))))
     record = messages.agg(F.to_json(F.struct(F.lit(working_dir).alias("working_dir"), F.transform(inner, lambda x: x["m"]).alias("messages"))).alias("value")).first()[0]
+    write_file(spark, f"{root}/{name}.json", record)
+    return f"{root}/{name}.json"
+
+
+def write_file(spark: SparkSession, path: str, text: str, append: bool = False) -> None:
+    """Write one file, over what is there or after it, with the folders above it; it is the old one or the new one, never half of either."""
     jvm = spark._jvm
-    at, part = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.json"), jvm.org.apache.hadoop.fs.Path(f"{root}/.{name}.json.part")
-    fs = at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    part = jvm.org.apache.hadoop.fs.Path(at.getParent(), f".{at.getName()}.part")
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    fs = at.getFileSystem(conf)
     out = fs.create(part, True)
-    out.write(bytearray(record, "utf-8"))
+    if append and fs.exists(at):
+        before = fs.open(at)
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(before, out, conf, False)
+        before.close()
+    out.write(bytearray(text, "utf-8"))
     out.close()
     fs.delete(at, False)
     fs.rename(part, at)
-    return f"{root}/{name}.json"
 
 
 def write_lines(lines: DataFrame, path: str, append: bool = False) -> None:
-    """Write a text column as lines, over what is there or after it."""
+    """Write a text column as lines of a folder's files, over what is there or after it."""
     lines.write.mode("append" if append else "overwrite").text(path)

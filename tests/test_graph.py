@@ -114,6 +114,15 @@ def test_edges_have_ids_of_their_own(spark):
     assert [n for _, n in rows] == ["c", "b", "c"] and len({k for k, _ in rows}) == 3
 
 
+def test_edges_stand_in_the_order_of_files(spark):
+    """An edge of a nested symbol doesn't come after those of the symbols around it, but where its call stands."""
+    text = "class A { one() { const x = () => { b() }; c() } }\nfunction b() {}\nfunction c() {}\nfunction d() { c() }\n"
+    nodes, edges = build(symbols.file_graphs(spark.createDataFrame([("p/x.ts", bytearray(text, "utf-8"))], "path string, content binary")), "m")
+    name = {r.id: r.name for r in nodes.collect()}
+    rows = [(name[r.from_id], name[r.to_id]) for r in edges.orderBy("edge_id").collect()]
+    assert rows == [("x", "b"), ("one", "c"), ("d", "c")] and list(name.values()).index("x") > list(name.values()).index("one")
+
+
 def test_nested_signatures(spark):
     want = {
         "": (0, 0), "()": (0, 0), "() error": (0, 1), "(a, b int) (int, error)": (2, 2), "(m map[string]func(a, b int) (c, d int), n int) []string": (2, 1),
@@ -389,6 +398,10 @@ def test_sinks_and_repair(spark, tmp_path):
     m = spark.createDataFrame([(2, "assistant", "b"), (1, "user", "a")], "seq int, role string, content string")
     sinks.save_session(m, str(tmp_path), "one", "/w")
     sinks.save_session(m, str(tmp_path), "one", "/w2")
+    at = tmp_path / "new" / "er" / "a.txt"
+    for append, text, want in ((False, "one\n", "one\n"), (True, "zwei ü", "one\nzwei ü"), (False, "three", "three")):
+        sinks.write_file(spark, str(at), text, append)
+        assert at.read_text() == want and [x.name for x in at.parent.iterdir() if not x.name.endswith(".crc")] == ["a.txt"]
     row = catalog.sessions(spark, str(tmp_path)).first()
     assert (row.name, row.working_dir, [x.content for x in row.messages]) == ("one", "/w2", ["a", "b"])
     assert one(spark, repaired(F.lit("Ã©tÃ©"))) == "été" and one(spark, repaired(F.lit("été"))) == "été"

@@ -32,12 +32,12 @@ def test_registry(spark, tmp_path):
     e = Engine(spark, str(root), str(tmp_path / "index"), buckets=2)
     e.reindex()
     t = surface.tools(e)
-    assert t.names() == sorted(f"codegraph_{x}" for x in ("search", "node", "callers", "callees", "trace", "impact"))
-    assert [r.to_label.split(" ")[0] for r in t.call("codegraph_callees", symbol="A").collect()] == ["B"]
-    assert t.call("codegraph_search", query="A", max_results=1).first()["name"] == "A" and set(t.call("codegraph_node", symbol="A")) == {"node", "edges", "source", "blast"}
-    for name, given, error in (("codegraph_callers", {}, TypeError), ("codegraph_callers", {"symbol": 3}, TypeError), ("codegraph_callers", {"symbol": "A", "depth": True}, TypeError), ("codegraph_callers", {"symbol": "A", "x": 1}, TypeError), ("nothing", {}, LookupError)):
+    assert t.names() == sorted(f"symbol_{x}" for x in ("search", "node", "callers", "callees", "trace", "impact"))
+    assert [r.to_label.split(" ")[0] for r in t.call("symbol_callees", symbol="A").collect()] == ["B"]
+    assert t.call("symbol_search", query="A", max_results=1).first()["name"] == "A" and set(t.call("symbol_node", symbol="A")) == {"node", "edges", "source", "blast"}
+    for name, given, error in (("symbol_callers", {}, TypeError), ("symbol_callers", {"symbol": 3}, TypeError), ("symbol_callers", {"symbol": "A", "depth": True}, TypeError), ("symbol_callers", {"symbol": "A", "x": 1}, TypeError), ("nothing", {}, LookupError)):
         with pytest.raises(error):
             t.call(name, **given)
     with pytest.raises(ValueError):
-        t.add(surface.Tool("codegraph_node", "", {}, lambda: None))
-    assert {(r.name, r.argument, r.type, r.required) for r in t.describe(spark).collect()} >= {("codegraph_callers", "symbol", "str", True), ("codegraph_trace", "depth", "int", False)}
+        t.add(surface.Tool("symbol_node", "", {}, lambda: None))
+    assert {(r.name, r.argument, r.type, r.required) for r in t.describe(spark).collect()} >= {("symbol_callers", "symbol", "str", True), ("symbol_trace", "depth", "int", False)}
