@@ -135,7 +135,7 @@ class Page:
             return
         named = {k.lower(): (a or b or c).lower() for k, a, b, c in _NAMED.findall(attributes)}
         # An id may be the page's own, so it names no path.
-        name = tag + "".join("." + x for x in sorted(f"{named.get('class', '')} {named.get('role', '')}".split())[:3])
+        name = tag + "".join("." + x for x in sorted(f"{named.get('class', '')} {named.get('role', '')}".split()))
         above, names = self._open[-1][1], {x for x in _PARTS.split(" ".join(named.values())) if _LOW_NAMES.fullmatch(x)}
         path, kind, low = _hash(above.path, name), above.kind, above.named
         if kind == HIGHER:
