@@ -121,5 +121,5 @@ def test_equals_plain_trees(spark):
 
 def test_all_class_words_name_a_path():
     """Branches that differ only in a later word of their class are branches of their own."""
-    paths = [[node.path for node, _ in style_tree.Page(f'<div class="a b c {x}"><p>text</p></div>').blocks] for x in ("d", "e", "d")]
+    paths = [[node.path for node, _ in Page(f'<div class="a b c {x}"><p>text</p></div>').blocks] for x in ("d", "e", "d")]
     assert paths[0] != paths[1] and paths[0] == paths[2]
