@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_queries, graph_queries, retrieval_queries, text_queries
+from . import chat_queries, graph_queries, retrieval_queries, source_queries, text_queries
 
-_MODULES = (graph_queries, retrieval_queries, text_queries, chat_queries)
+_MODULES = (graph_queries, retrieval_queries, text_queries, chat_queries, source_queries)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: f for m in _MODULES for k, f in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {k: q for m in _MODULES for k, q in m.SQL.items()}
