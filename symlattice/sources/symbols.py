@@ -902,7 +902,8 @@ def parse_go(source: str) -> tuple[list, list, dict]:
 
 
 def parse_braced(source: str, language: str) -> tuple[list, list, dict]:
-    w = _Braced(source, language)
+    """``language`` by its name or one of its extensions."""
+    w = _Braced(source, _LANGUAGE.get(language, language))
     w.walk(0, len(w.ts), -1)
     return w.result()
 
