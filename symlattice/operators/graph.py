@@ -12,6 +12,8 @@ from ..functions.text import directory
 CALL, REF, IMPL = 1, 2, 3
 FUNC, METHOD, TYPE, INTERFACE, STRUCT, VAR, CONST = 1, 2, 3, 4, 5, 6, 7
 HOPS = 8
+#: Rows of either side of a name's pairs in one cell.
+CELL = 4096
 
 
 def assign_ids(symbols: DataFrame, order: list[str]) -> DataFrame:
@@ -77,11 +79,37 @@ def method_sets(types: DataFrame, methods: DataFrame, embeds: DataFrame) -> Data
 
 
 def implementation_edges(interface_methods: DataFrame, set_methods: DataFrame) -> DataFrame:
-    """(from_id, to_id, site) for methods (dir, type, name, n_params, n_results, method_id, site) of other types."""
-    left = interface_methods.select("dir", F.col("type").alias("itype"), "name", "n_params", "n_results", F.col("method_id").alias("from_id"), "site")
-    right = set_methods.select("dir", "type", "name", "n_params", "n_results", F.col("method_id").alias("to_id"))
-    both = left.join(right, ["dir", "name", "n_params", "n_results"]).filter("itype <> type")
-    return both.select("from_id", "to_id", "site").dropDuplicates(["from_id", "to_id"])
+    """(from_id, to_id, site) for methods (dir, type, name, n_params, n_results, method_id, site) of other types; the least site.
+
+    Rows are made distinct before they meet, so the pairs, whose number grows with the square of a name's, aren't shuffled:
+    an interface method brings its least site and the least one of another type, a method its type if it has only one.
+    Only ids that have several names can meet twice; their pairs are aggregated. What a name has in excess of ``CELL``
+    rows on either side is dealt into cells, so that no task has all pairs of a frequent one.
+    """
+    key = ["dir", "name", "n_params", "n_results"]
+    several = lambda m: F.count("*").over(W.partitionBy(m)) > 1
+    own = interface_methods.filter("type is not null").withColumnRenamed("method_id", "from_id").repartition("from_id")
+    best = own.groupBy(*key, "from_id", "type").agg(F.min("site").alias("site")).groupBy(*key, "from_id").agg(F.sort_array(F.collect_list(F.struct(F.isnull("site").alias("none"), "site", "type"))).alias("x"))
+    left = best.select(*key, "from_id", F.col("x")[0]["type"].alias("itype"), F.col("x")[0]["site"].alias("site"), F.get("x", F.lit(1))["site"].alias("next"), (F.size("x") > 1).alias("has_next"), several("from_id").alias("many_a"))
+    ends = set_methods.filter("type is not null").withColumnRenamed("method_id", "to_id").repartition("to_id").groupBy(*key, "to_id").agg(F.min("type").alias("type"), F.max("type").alias("hi"))
+    right = ends.select(*key, "to_id", F.when(F.col("type") == F.col("hi"), F.col("type")).alias("only"), several("to_id").alias("many_b"))
+
+    sizes = left.select(*key, F.lit(1).alias("m"), F.lit(0).alias("n")).unionByName(right.select(*key, F.lit(0).alias("m"), F.lit(1).alias("n"))).groupBy(*key).agg(F.sum("m").alias("m"), F.sum("n").alias("n"))
+    large = sizes.filter(f"m > 0 and n > 0 and (m > {CELL} or n > {CELL})").select(*key, F.ceil(F.col("m") / CELL).alias("rows"), F.ceil(F.col("n") / CELL).alias("cols"))
+
+    # As many tasks as there are partitions, not as few as the rows' bytes would do with.
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def celled(side: DataFrame, mine: str, other: str, m: str) -> DataFrame:
+        one = F.lit(1).cast("long")
+        dealt = side.join(large, key, "left").withColumn(mine[:-1], F.pmod(F.xxhash64(m), F.coalesce(mine, one)))
+        return dealt.withColumn(other[:-1], F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(other, one) - 1))).drop("rows", "cols").repartition(tasks, *key, "row", "col")
+
+    other = ~F.col("only").eqNullSafe(F.col("itype"))
+    both = celled(left, "rows", "cols", "from_id").join(celled(right, "cols", "rows", "to_id"), [*key, "row", "col"]).filter(other | F.col("has_next"))
+    pairs = both.select("from_id", "to_id", F.when(other, F.col("site")).otherwise(F.col("next")).alias("site"), "many_a", "many_b")
+    again = pairs.filter("many_a and many_b").groupBy("from_id", "to_id").agg(F.min("site").alias("site"))
+    return pairs.filter("not (many_a and many_b)").select("from_id", "to_id", "site").unionByName(again)
 
 
 def snapshot_diff(old: DataFrame, new: DataFrame) -> DataFrame:
