@@ -53,8 +53,13 @@ def _written(template: str) -> Column:
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """A source file for each part: Go, TypeScript or Python by its key."""
-    p, k = table(spark, d, "part"), F.col("p_partkey") % 3
+    """A source file for each part: Go, TypeScript or Python by its key.
+
+    A part is a few bytes, its file a scan of tokens, so parts are dealt evenly to as many tasks as there are partitions:
+    by bytes, one task would read and parse a million of them.
+    """
+    p, k = table(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_type"), F.col("p_partkey") % 3
+    p = p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     text = F.when(k == 0, _written(_GO)).when(k == 1, _written(_TS)).otherwise(_written(_PY))
     end = F.when(k == 0, ".go").when(k == 1, ".ts").otherwise(".py")
     return p.select(F.concat("p_brand", F.lit("/"), F.col("p_partkey").cast("string"), end).alias("path"), text.cast("binary").alias("content"))

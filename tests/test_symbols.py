@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from symlattice.plans.source_queries import QUERIES
 from symlattice.sources import symbols
 from symlattice.sources.lexing import LEXICONS, mates, tokens
 
@@ -105,3 +106,10 @@ def test_file_graphs_keeps_what_parses(spark):
     files = [("a.go", b"package p\nfunc f() {}\n"), ("b.py", b"def broken(:\n"), ("c.txt", b"no code"), ("d.ts", b"\xff\xfe function g() {}"), ("e.rb", b"")]
     got = {r.path: [n.name for n in r.nodes] for r in symbols.file_graphs(spark.createDataFrame([(p, bytearray(c)) for p, c in files], "path string, content binary")).collect()}
     assert got == {"a.go": ["f"], "d.ts": ["g"], "e.rb": []}
+
+
+@pytest.mark.parametrize("query", ["extracted_calls"])
+def test_files_of_parts_are_parsed_by_many_tasks(spark, query):
+    """One small file of parts doesn't make one task parse all their sources."""
+    rows = [n for n in QUERIES[query](spark, "/root/testdata/sf0.001").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
+    assert len(rows) > 1 and max(rows) < 0.6 * sum(rows)
