@@ -108,7 +108,7 @@ def test_file_graphs_keeps_what_parses(spark):
     assert got == {"a.go": ["f"], "d.ts": ["g"], "e.rb": []}
 
 
-@pytest.mark.parametrize("query", ["extracted_calls"])
+@pytest.mark.parametrize("query", ["extracted_symbols", "extracted_calls"])
 def test_files_of_parts_are_parsed_by_many_tasks(spark, query):
     """One small file of parts doesn't make one task parse all their sources."""
     rows = [n for n in QUERIES[query](spark, "/root/testdata/sf0.001").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
