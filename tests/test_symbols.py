@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from symlattice.plans.source_queries import QUERIES
@@ -113,3 +114,11 @@ def test_files_of_parts_are_parsed_by_many_tasks(spark, query):
     """One small file of parts doesn't make one task parse all their sources."""
     rows = [n for n in QUERIES[query](spark, "/root/testdata/sf0.001").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]
     assert len(rows) > 1 and max(rows) < 0.6 * sum(rows)
+
+
+def test_files_leave_in_slices():
+    """A task holds the symbols of a slice of its files, however many files a batch has."""
+    files = [{"path": f"{i}.go" if i % 2 else f"{i}.txt", "content": b"package p\nfunc f() {}\n"} for i in range(2 * symbols.SLICE + 10)]
+    got = list(symbols._parse(iter([pa.RecordBatch.from_pylist(files)])))
+    assert [b.num_rows for b in got] == [symbols.SLICE // 2, symbols.SLICE // 2, 5]
+    assert [p for b in got for p in b["path"].to_pylist()] == [f["path"] for f in files if f["path"].endswith(".go")]
